@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from .decontaminate import op6_decontaminate
+from .langid import op10_language
+from .mixing import op1_mix_sources
 from .neardup import op8_near_duplicates
+from .pii import op3_pii
+from .urlfilter import op2_url_filter
 
 QUERIES = {
+    "op1_mix_sources": op1_mix_sources,
+    "op2_url_filter": op2_url_filter,
+    "op3_pii": op3_pii,
+    "op6_decontaminate": op6_decontaminate,
     "op8_near_duplicates": op8_near_duplicates,
+    "op10_language": op10_language,
 }
 
 ORACLE_SQL: dict[str, str] = {}
