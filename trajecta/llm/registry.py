@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .decontaminate import op6_decontaminate
+from .htmltext import op9_extract_html
 from .langid import op10_language
 from .mixing import op1_mix_sources
+from .nearest import op4_nearest
 from .neardup import op8_near_duplicates
 from .pii import op3_pii
 from .urlfilter import op2_url_filter
@@ -13,8 +15,10 @@ QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_url_filter": op2_url_filter,
     "op3_pii": op3_pii,
+    "op4_nearest": op4_nearest,
     "op6_decontaminate": op6_decontaminate,
     "op8_near_duplicates": op8_near_duplicates,
+    "op9_extract_html": op9_extract_html,
     "op10_language": op10_language,
 }
 
