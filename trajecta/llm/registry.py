@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import op6_decontaminate
 from .htmltext import op9_extract_html
 from .langid import op10_language
+from .lmscore import op7_lm_score
 from .mixing import op1_mix_sources
 from .nearest import op4_nearest
 from .neardup import op8_near_duplicates
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_pii": op3_pii,
     "op4_nearest": op4_nearest,
     "op6_decontaminate": op6_decontaminate,
+    "op7_lm_score": op7_lm_score,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_extract_html": op9_extract_html,
     "op10_language": op10_language,
