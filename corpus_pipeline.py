@@ -1,13 +1,71 @@
-"""Corpus pipeline (stages are added as their operators are built)."""
+"""Corpus pipeline: from raw documents to a weighted mix, one operator a stage.
+
+Each stage gets all that its predecessor kept and its decisions take effect at once. All
+but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
-ORACLE_SQL = None
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trajecta.llm.common import materialize
+from trajecta.llm.decontaminate import find_benchmark_text
+from trajecta.llm.langid import fit, identify, training_rows
+from trajecta.llm.mixing import mix_sources
+from trajecta.llm.neardup import near_duplicates
+from trajecta.llm.pii import redact
+
+SURE = 0.5  # least share of a document's words in its language
+
+
+def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one language: no letters, or no language with half of the words, and they go."""
+    found = identify(docs, fit(training_rows(docs)))
+    return found.where((F.col("_lang_pred") != "und") & (F.col("_score") >= SURE)).select(docs.columns)
+
+
+def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: five-word shingles at a similarity of 0.8."""
+    kept = near_duplicates(docs, k=5, percent=80).where("kept").select("doc_id").distinct()
+    own = docs.join(kept.hint("merge"), "doc_id", "left_semi").select(docs.columns)
+    return docs.where("doc_id is null").unionByName(own.dropDuplicates(["doc_id", "text"]))  # a row may be repeated
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without test items."""
+    found = find_benchmark_text(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return docs.join(materialize(found.select("doc_id").distinct(), "leaks").hint("merge"), "doc_id", "left_anti").select(docs.columns)
+
+
+def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with personal data replaced by its kind; every document stays."""
+    return redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with the words that the mix takes of them (repeats counted) and their source's target."""
+    per_doc = mix_sources(docs)[1]
+    row = F.xxhash64("text")
+    text = docs.select(F.col("doc_id").alias("_id"), row.alias("_row"), "text", "lang", "n_chars")
+    same = per_doc["doc_id"].eqNullSafe(text["_id"]) & per_doc["row"].eqNullSafe(text["_row"])
+    return per_doc.distinct().join(text.hint("merge"), same).select("doc_id", "text", "lang", "source", "n_chars", "size", "source_size", "target", "taken")
+
+
+STAGES = [
+    ("language ID", keep_languages),
+    ("MinHash near-dedup", keep_one_copy),
+    ("benchmark decontamination", drop_benchmark),
+    ("PII", hide_personal_data),
+    ("mixing sources to target weights", mix),
+]
+
+ORACLE_SQL = None  # SQL can't state the learned and sketched stages
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each result is written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), name.split()[0].lower())
     return docs

@@ -10,6 +10,7 @@ from .mixing import op1_mix_sources
 from .nearest import op4_nearest
 from .neardup import op8_near_duplicates
 from .pii import op3_pii
+from .tokencounts import op5_token_counts
 from .urlfilter import op2_url_filter
 
 QUERIES = {
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op3_pii": op3_pii,
     "op4_nearest": op4_nearest,
+    "op5_token_counts": op5_token_counts,
     "op6_decontaminate": op6_decontaminate,
     "op7_lm_score": op7_lm_score,
     "op8_near_duplicates": op8_near_duplicates,
