@@ -39,7 +39,8 @@ def v_cos(a: Column, b: Column, eps: float = 0.0) -> Column:
 
 def v_angle(a: Column, b: Column, eps: float = 1e-8) -> Column:
     """Angle in radians; the cosine is clipped to -1..1 and its denominator raised by ``eps``."""
-    return F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), v_dot(a, b) / (v_norm(a) * v_norm(b) + eps))))
+    cosine = v_dot(a, b) / (v_norm(a) * v_norm(b) + eps)
+    return F.when(cosine.isNotNull(), F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), cosine))))  # least and greatest skip nulls
 
 
 def v_unit(a: Column) -> Column:
