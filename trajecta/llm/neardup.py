@@ -10,7 +10,8 @@
 4. A likelihood estimate from the registers and both set sizes drops pairs far below the
    threshold, and the full sets confirm the rest.
 5. What the stars left apart inside a bucket is settled exactly: prefix filtering with the
-   positional bound finds every pair at the threshold between different components.
+   positional bound, and parity bits that bound the difference of two sets, find every pair
+   at the threshold between different components.
 """
 
 from __future__ import annotations
@@ -172,22 +173,30 @@ def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefixes(percent: int, counts):
-    """The first shingles of each set, rarest first by a fixed order, with their positions."""
+    """The first shingles of each set, rarest first by a fixed order, with their positions.
+
+    Each row also has 256 parity bits of its set: two sets differ in at least as many
+    shingles as their parities differ in bits.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = counts.value
         for b in batches:
             node, comp, late, size, key, pos = [], [], [], [], [], []
+            parity: list[list[np.ndarray]] = [[], [], [], []]
             for x, c, s, h in zip(*(b.column(i) for i in ("node", "comp", "late", "hashes")), strict=True):
                 h = np.frombuffer(h.as_buffer(), np.uint64)
                 take = len(h) - -(-percent * len(h) // 100) + 1
                 order = np.lexsort((h, seen[(h >> _U(44)).astype(np.int64)]))[:take]
                 key.append((h[order] >> _U(1)).astype(np.int64)), pos.append(np.arange(len(order)))
+                odd = np.packbits((np.bincount((h & _U(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)).view(np.int64)
+                for out, v in zip(parity, odd, strict=True):
+                    out.append(np.full(len(order), v))
                 for out, v in ((node, x), (comp, c), (late, s), (size, len(h))):
                     out.append(np.full(len(order), v if out is size else v.as_py()))
             if node:
-                cat = [np.concatenate(z) for z in (key, pos, node, comp, late, size)]
-                yield pa.RecordBatch.from_arrays([pa.array(z) for z in cat], names=["key", "pos", "node", "comp", "late", "n"])
+                cat = [np.concatenate(z) for z in (key, pos, node, comp, late, size, *parity)]
+                yield pa.RecordBatch.from_arrays([pa.array(z) for z in cat], names=["key", "pos", "node", "comp", "late", "n", "p0", "p1", "p2", "p3"])
 
     return run
 
@@ -258,12 +267,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, margin: floa
     for row in slots.collect():
         table[row["part"]] = np.frombuffer(row["counts"], np.int32)
     counts = spark.sparkContext.broadcast(table.reshape(-1))
-    prefixes = materialize(unsettled.mapInArrow(_prefixes(percent, counts), "key long, pos long, node long, comp long, late boolean, n long"), "prefixes")
-    x, y = (prefixes.select("key", *[F.col(c).alias(c + t) for c in ("pos", "node", "comp", "late", "n")]) for t in "xy")
+    prefixes = materialize(unsettled.mapInArrow(_prefixes(percent, counts), "key long, pos long, node long, comp long, late boolean, n long, p0 long, p1 long, p2 long, p3 long"), "prefixes")
+    x, y = (prefixes.select("key", *[F.col(c).alias(c + t) for c in ("pos", "node", "comp", "late", "n", "p0", "p1", "p2", "p3")]) for t in "xy")
     need = f"ceil({percent} * (nx + ny) / {100 + percent}.0 - 1e-9)"
+    apart = " + ".join(f"bit_count(p{i}x ^ p{i}y)" for i in range(4))
     more = x.where("latex").join(y.hint("merge"), "key").where(
         "compx <> compy and (not latey or nodex < nodey)"
-        f" and 100 * least(nx, ny) >= {percent} * greatest(nx, ny) and 1 + least(nx - posx, ny - posy) - 1 >= {need}"
+        f" and 100 * least(nx, ny) >= {percent} * greatest(nx, ny) and least(nx - posx, ny - posy) >= {need}"
+        f" and {apart} <= nx + ny - 2 * {need}"
     ).select(F.least("nodex", "nodey").alias("a"), F.greatest("nodex", "nodey").alias("b")).distinct()
     late_links = materialize(confirmed(materialize(more, "late")), "links")
     final = materialize(connected_components(links.unionByName(late_links)), "comps")
