@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Words that connect sentences.
 CONNECTIVES = (
@@ -46,7 +47,7 @@ def map_tokens(c: Column, table: dict[str, str] = BRACKETS) -> Column:
     return F.coalesce(F.create_map(*pairs)[c], c)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 

@@ -73,14 +73,14 @@ def global_prefix(df: DataFrame, order: list[str], value: str, out: str) -> Data
     Rows are range partitioned; each partition's total is small and a window over those totals
     gives what to add.
     """
-    dealt = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    dealt = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
     dealt = dealt.persist()  # the two uses must see one dealing
-    inside = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    totals = dealt.groupBy("_p").agg(F.sum(value).alias("_t"))
-    w = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
-    bases = totals.select("_p", F.coalesce(F.sum("_t").over(w), F.lit(0)).alias("_b"))
+    inside = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy("__part").agg(F.sum(value).alias("__total"))
+    w = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    bases = totals.select("__part", F.coalesce(F.sum("__total").over(w), F.lit(0)).alias("__base"))
     rows = dealt.withColumn(out, F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    return rows.join(bases.hint("shuffle_hash"), "_p").withColumn(out, F.col(out) + F.col("_b")).drop("_p", "_b")
+    return rows.join(bases.hint("shuffle_hash"), "__part").withColumn(out, F.col(out) + F.col("__base")).drop("__part", "__base")
 
 
 def first_write_wins(df: DataFrame, keys: list[str], chunk: str) -> DataFrame:
