@@ -85,3 +85,13 @@ def bounded_log(c: Column, lo: float, hi: float) -> Column:
 def neg_log_prob(p: Column, unit: str = "bits", floor: float = 1e-12) -> Column:
     p = F.greatest(p, F.lit(floor))
     return -F.log2(p) if unit == "bits" else -F.ln(p)
+
+
+def interaction(x: Column, m: Column) -> Column:
+    """The product of a predictor and a moderator."""
+    return x * m
+
+
+def dummies(c: Column, levels: list) -> list[Column]:
+    """0/1 columns of all levels but the first; many levels are better absorbed as fixed effects."""
+    return [(c == x).cast("double").alias(f"is_{x}") for x in levels[1:]]

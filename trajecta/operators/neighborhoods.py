@@ -56,6 +56,17 @@ def fit_neighborhoods(df: DataFrame, vec: str, k: int, restarts: int = 4, seed:
     return np.array(best.clusterCenters())
 
 
+def save_neighborhoods(spark, centroids: np.ndarray, sigma: float, path: str) -> None:
+    """A fitted model as a small table: one row a centroid, and the bandwidth."""
+    rows = [(i, [float(x) for x in c], float(sigma)) for i, c in enumerate(centroids)]
+    spark.createDataFrame(rows, "k int, centroid array<double>, sigma double").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_neighborhoods(spark, path: str) -> tuple[np.ndarray, float]:
+    rows = spark.read.parquet(path).orderBy("k").collect()
+    return np.array([r["centroid"] for r in rows]), rows[0]["sigma"]
+
+
 def held_out(df: DataFrame, fold: str, vec: str, k: int, restarts: int = 1, seed: int = 0) -> DataFrame:
     """Each fold assigned to centroids fitted on the other folds: adds ``distances``, ``cluster`` and ``sigma``."""
     out = None

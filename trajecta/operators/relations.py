@@ -6,16 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def holds(ok: Column, message: str) -> Column:
+    """True where ``ok`` is true; anything else fails the query. To be used as a filter, which is never pruned."""
+    return F.when(ok, F.lit(True)).otherwise(F.raise_error(F.lit(message)).cast("boolean"))
+
+
 def require(df: DataFrame, ok: Column, message: str) -> DataFrame:
     """``df``, failing when it runs if an aggregate condition over it is false."""
-    gate = df.agg(F.assert_true(ok, message).alias("_ok"))
-    return df.crossJoin(F.broadcast(gate)).drop("_ok")  # one row
+    gate = df.agg(holds(ok, message).alias("_ok"))
+    return df.crossJoin(F.broadcast(gate)).where("_ok").drop("_ok")  # one row
 
 
 def unique_keys(df: DataFrame, on: list[str], name: str) -> DataFrame:
     """``df``, failing if a key repeats; the check is a window over the join's own partitioning."""
     n = F.count(F.lit(1)).over(Window.partitionBy(*on))
-    return df.withColumn("_n", n).where(F.assert_true(F.col("_n") == 1, f"{name}: a key repeats").isNull()).drop("_n")
+    return df.withColumn("_n", n).where(holds(F.col("_n") == 1, f"{name}: a key repeats")).drop("_n")
 
 
 def checked_join(a: DataFrame, b: DataFrame, on: list[str], expect: int | None = None) -> DataFrame:
@@ -55,7 +60,7 @@ def map_spans(tokens: DataFrame, words: DataFrame, keys: list[str], bucket: int
     out = t.join(w, inside, "left" if on_miss == "error" else "inner")
     out = out.select(*tokens.columns, *[F.col(f"_w_{c}").alias(c) for c in words.columns if c not in keys])
     if on_miss == "error":
-        out = out.where(F.assert_true(F.col("w_start").isNotNull(), "a token lies in no word").isNull())
+        out = out.where(holds(F.col("w_start").isNotNull(), "a token lies in no word"))
     return out
 
 

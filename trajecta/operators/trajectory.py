@@ -31,6 +31,7 @@ def halo_blocks(df: DataFrame, keys: list[str], pos: str, k: int, size: int = 40
     Adds ``block`` and ``halo`` (true for the repeated rows, to be dropped after the measure):
     with ``keys + ["block"]`` as keys, windows of up to k rows give what they give uncut.
     """
+    size = max(size, k)  # a halo comes from one block
     own = F.floor(F.col(pos) / size)
     last = F.col(pos) % size >= size - k
     copies = F.when(last, F.array(F.struct(own.alias("block"), F.lit(False).alias("halo")), F.struct((own + 1).alias("block"), F.lit(True).alias("halo"))))
@@ -128,10 +129,16 @@ def smoothed_error(df: DataFrame, keys: list[str], pos: str, vec: str, m: int, k
     return extrapolation_error(trailing_mean(df, keys, pos, vec, m, "_m"), keys, pos, "_m", k, 1, out).drop("_m")
 
 
-def cosine_shift(df: DataFrame, keys: list[str], pos: str, vec: str, out: str = "shift") -> DataFrame:
-    """One minus the cosine to the previous row (its denominator raised by 1e-12)."""
+def cosine_shift(df: DataFrame, keys: list[str], pos: str, vec: str, out: str = "shift", adjacent: bool = False) -> DataFrame:
+    """One minus the cosine to the previous row (its denominator raised by 1e-12).
+
+    With ``adjacent``, rows whose previous position is not one less get null.
+    """
     rows = lagged(df, keys, pos, vec, 1)
-    return rows.withColumn(out, 1 - V.v_cos(F.col(vec), F.col("_l1"), 1e-12)).drop("_l1")
+    shift = 1 - V.v_cos(F.col(vec), F.col("_l1"), 1e-12)
+    if adjacent:
+        shift = F.when(F.col(pos) - F.lag(pos).over(along(keys, pos)) == 1, shift)
+    return rows.withColumn(out, shift).drop("_l1")
 
 
 def centroid_by(df: DataFrame, by: list[str], vec: str, out: str = "centroid") -> DataFrame:

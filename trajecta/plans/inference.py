@@ -173,12 +173,12 @@ def cv_ridge(df: DataFrame, by: str, fold: str, cols: list[str], y: str, alpha:
                 xx[i, j] = xx[j, i] = t[f"x{i}_{j}"]
             w = np.linalg.solve(xx - np.outer(s, s) / n + alpha * np.eye(k), np.array([t[f"y{i}"] for i in range(k)]) - s * t["sy"] / n)
             out.append((own[by], own[fold], w.tolist(), float(t["sy"] / n - w @ s / n)))
-        return pd.DataFrame(out, columns=[by, fold, "w", "b"])
+        return pd.DataFrame(out, columns=[by, fold, "_w", "_b"])
 
-    weights = sums.groupBy(by).applyInPandas(solve, f"{by} {kinds[by]}, {fold} {kinds[fold]}, w array<double>, b double")
-    guess = F.col("b")
+    weights = sums.groupBy(by).applyInPandas(solve, f"{by} {kinds[by]}, {fold} {kinds[fold]}, _w array<double>, _b double")
+    guess = F.col("_b")
     for i, v in enumerate(x):
-        guess = guess + v * F.col("w")[i]
+        guess = guess + v * F.col("_w")[i]
     pred = rows.join(weights.hint("shuffle_hash"), [by, fold]).withColumn("_g", guess)
     sd = F.stddev_pop("_g") * F.stddev_pop(y)
     return pred.groupBy(by).agg(F.when(sd > 0, F.try_divide(F.covar_pop("_g", y), sd)).alias("r"))

@@ -145,3 +145,29 @@ def robustness_grid(spark, d):
         g = G.gram(l if keep is None else l.where(keep), ["quantity", "tax", "price"])
         out += [(v, m, float(G.ols(g, "price", [m]).beta[0]), g.n) for m in ("quantity", "tax")]
     return rows(spark, out, "variant string, measure string, beta double, n long", 4)
+
+
+@query(f"""WITH {LINES}, m AS (SELECT quantile_cont(discount, 0.5) AS med FROM l), h AS (SELECT price, quantity, CASE WHEN discount > med THEN 1.0 ELSE 0.0 END AS hard FROM l, m)
+SELECT round(regr_slope(price, quantity) FILTER (WHERE hard = 0), 4) + 0.0 AS easy, round(regr_slope(price, quantity) FILTER (WHERE hard = 1) - regr_slope(price, quantity) FILTER (WHERE hard = 0), 4) + 0.0 AS moderation, count(*) AS n FROM h""")
+def moderation(spark, d):
+    """An interaction with a median-split moderator: how much the slope differs between the halves."""
+    from trajecta.functions.text import interaction
+
+    l = A.median_split(lines(spark, d), "discount", "above").withColumn("hard", F.col("above").cast("double"))
+    l = l.withColumn("xm", interaction(F.col("quantity"), F.col("hard")))
+    f = G.ols(G.gram(l, ["quantity", "hard", "xm", "price"]), "price", ["quantity", "hard", "xm"])
+    return rows(spark, [(float(f.beta[0]), float(f.beta[2]), f.n)], "easy double, moderation double, n long", 4)
+
+
+@query(f"""WITH {LINES}, p AS (SELECT quantity, price, l.flag FROM l WHERE quantity > 0),
+g AS (SELECT flag, count(*) AS n, avg(quantity) AS mq, avg(price) AS mp FROM p GROUP BY flag)
+SELECT flag, n, round(mp - (SELECT mp FROM g WHERE flag = 'A'), 4) + 0.0 AS above_first FROM g WHERE flag <> 'A'""")
+def dummy_contrasts(spark, d):
+    """Dummy coding with the first level dropped: mean differences to that level."""
+    from trajecta.functions.text import dummies
+
+    l = lines(spark, d).where("quantity > 0")
+    l = l.select("price", *dummies(F.col("flag"), ["A", "N", "R"]))
+    f = G.ols(G.gram(l, ["is_N", "is_R", "price"]), "price", ["is_N", "is_R"])
+    counts = l.agg(F.sum("is_N").cast("long"), F.sum("is_R").cast("long")).first()
+    return rows(spark, [("N", counts[0], float(f.beta[0])), ("R", counts[1], float(f.beta[1]))], "flag string, n long, above_first double", 4)

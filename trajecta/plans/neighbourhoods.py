@@ -81,6 +81,31 @@ def nbhd_cluster_audit(spark, d):
     return rows.orderBy(F.desc("share"), "cluster").limit(3)
 
 
+@query(f"""{ASSIGN} SELECT seq_id, count(*) AS n, round(quantile_cont(sqrt(list_min(d)), 0.5), 6) + 0.0 AS sigma FROM g GROUP BY seq_id""")
+def nbhd_bandwidth(spark, d):
+    """The bandwidth of each sequence on its own."""
+    seq = sequences(spark, d)
+    rows = seq.withColumn("distances", N.squared_distances(F.col("v"), given_centroids(seq)))
+    sizes = rows.groupBy("seq_id").agg(F.count("*").alias("n"))
+    return N.bandwidth(rows, "distances", ["seq_id"]).join(sizes, "seq_id").select("seq_id", "n", rounded("sigma").alias("sigma"))
+
+
+@query(f"""WITH {SEQ}, u AS (SELECT seq_id, pos // 5 AS blk, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM s),
+m AS (SELECT seq_id, blk, i, avg(x) AS x FROM u GROUP BY ALL), b AS (SELECT seq_id, blk, list(x ORDER BY i) AS v FROM m GROUP BY ALL),
+c AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS k, v AS c FROM (SELECT vec_id, v FROM s ORDER BY vec_id LIMIT {GIVEN})),
+z AS (SELECT b.seq_id, b.blk, c.k, list_sum(list_transform(generate_series(1, len(b.v)), lambda i: pow(b.v[i] - c.c[i], 2))) AS d FROM b, c),
+y AS (SELECT seq_id, blk, list(d ORDER BY k) AS d FROM z GROUP BY ALL), e AS (SELECT seq_id, blk, list_transform(d, lambda q: exp((list_min(d) - q) / 2)) AS e FROM y),
+a AS (SELECT seq_id, blk, list_transform(e, lambda q: sqrt(q / list_sum(e))) AS v FROM e), l AS (SELECT *, {lag_list(2)} FROM a WINDOW w AS (PARTITION BY seq_id ORDER BY blk))
+SELECT seq_id, blk, CASE WHEN l2 IS NOT NULL THEN round({norm_of('v[i] - ' + guess(2))}, 6) + 0.0 END AS error FROM l""")
+def sentence_scale_error(spark, d):
+    """Errors over the neighbourhoods of sentence centroids (blocks of five rows; a given bandwidth of 1)."""
+    from trajecta.plans.geometry import block_centroids
+
+    rows = block_centroids(spark, d).withColumn("d", N.squared_distances(F.col("v"), given_centroids(sequences(spark, d))))
+    rows = rows.select("seq_id", "blk", N.soft_assign(F.col("d"), F.lit(1.0)).alias("p"))
+    return T.extrapolation_error(rows, KEYS, "blk", "p", 2).select("seq_id", "blk", rounded("error").alias("error"))
+
+
 FLOW = f"""WITH {SEQ}, nx AS (SELECT *, lead(v) OVER w AS nv, lag(v) OVER w AS pv, {lag_list(3)} FROM s WINDOW w AS (PARTITION BY seq_id ORDER BY pos)),
 q AS (SELECT vec_id, seq_id, pv FROM nx WHERE pv IS NOT NULL), x AS (SELECT vec_id, seq_id, v, nv FROM nx WHERE nv IS NOT NULL),
 dd AS (SELECT q.vec_id AS query_id, x.vec_id, sqrt(list_sum(list_transform(generate_series(1, len(x.v)), lambda i: pow(q.pv[i] - x.v[i], 2)))) AS distance, x.v, x.nv FROM q JOIN x ON q.seq_id <> x.seq_id),
