@@ -124,7 +124,7 @@ def flow_prediction(neighbors: DataFrame, steps: DataFrame) -> DataFrame:
     """``query_id, flow``: the mean next step of the neighbours; ``steps`` has ``vec_id, step``."""
     from trajecta.operators.trajectory import centroid_by
 
-    return centroid_by(neighbors.join(steps, "vec_id").select("query_id", "step"), ["query_id"], "step", "flow")
+    return centroid_by(neighbors.hint("merge").join(steps, "vec_id").select("query_id", "step"), ["query_id"], "step", "flow")
 
 
 def hellinger(a: Column, b: Column) -> Column:

@@ -33,7 +33,7 @@ def lag_matrix(signal: DataFrame, keys: list[str], lengths: DataFrame, length: s
     at = F.col("t") + F.col("_l")
     moved = base.withColumn("_l", F.explode(F.array(*[F.lit(i) for i in lags]))).withColumn("t", F.pmod(at, F.col(length)) if edge == "wrap" else at)
     wide = moved.groupBy(*keys, "t").agg(*[F.max(F.when(F.col("_l") == i, F.col("value"))).alias(f"lag_{i}".replace("-", "m")) for i in lags])
-    out = base.drop(length).join(wide, [*keys, "t"], "left")
+    out = base.drop(length).join(wide.hint("merge"), [*keys, "t"], "left")
     if edge == "zero":
         out = out.fillna(0.0, subset=[f"lag_{i}".replace("-", "m") for i in lags])
     return out

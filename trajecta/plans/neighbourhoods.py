@@ -121,7 +121,7 @@ def flow(spark, d: str, n: int = 5) -> DataFrame:
     corpus = rows.where("next is not null").select(F.col("vec_id").alias("id"), F.col("seq_id").alias("grp"), F.col("v").alias("vec"))
     near = N.flow_neighbors(queries, corpus, n)
     steps = rows.where("next is not null").select("vec_id", V.v_sub(F.col("next"), F.col("v")).alias("step"))
-    return rows.join(N.flow_prediction(near, steps), F.col("vec_id") == F.col("query_id"))
+    return rows.join(N.flow_prediction(near, steps).hint("merge"), F.col("vec_id") == F.col("query_id"))
 
 
 @query(f"{FLOW} SELECT nx.vec_id, round({norm_of('nx.v[i] - (nx.l1[i] + f.flow[i])', 'nx.v')}, 6) + 0.0 AS flow_error FROM nx JOIN f ON nx.vec_id = f.query_id")
@@ -148,7 +148,7 @@ def state_pairs(spark, d: str) -> DataFrame:
     targets = targets.withColumn("pos", F.col("target") + F.col("lag"))
     full = seq.select("seq_id", "pos", F.col("v").alias("a"))
     changed = seq.select("seq_id", "pos", F.transform("v", lambda x, i: x * F.when(i % 2 == 0, 0.9).otherwise(1.0)).alias("b"))
-    return targets.hint("shuffle_hash").join(full, ["seq_id", "pos"]).join(changed, ["seq_id", "pos"])
+    return targets.hint("shuffle_hash").join(full, ["seq_id", "pos"]).join(changed.hint("merge"), ["seq_id", "pos"])
 
 
 @query(f"""{PAIRED}, m AS (SELECT lag, {norm_of('a[i] - b[i]', 'a')} AS l2, sqrt(list_dot_product(a, a)) AS na, list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b))) AS cs FROM p)
