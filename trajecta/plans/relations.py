@@ -165,13 +165,13 @@ def long_by_measure(spark, d):
     return l.unpivot(["l_orderkey", "l_linenumber"], ["quantity", "tax"], "measure", "value")
 
 
-@query("""SELECT n_name, count(*) AS n, round(avg(o_totalprice), 4) + 0.0 AS mean FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_totalprice > 0 GROUP BY n_name""")
+@query("""SELECT n_name, count(*) AS n, round(avg(o_totalprice), 6) + 0.0 AS mean FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_totalprice > 0 GROUP BY n_name""")
 def facts_on_dimension(spark, d):
     """Facts joined to item dimensions; facts are aggregated first, so only their keys meet the dimension."""
     o = table(spark, d, "orders").where("o_totalprice > 0").groupBy("o_custkey").agg(F.count("*").alias("k"), F.sum("o_totalprice").alias("s"))
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
     n = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
-    return o.join(c, "o_custkey").groupBy("c_nationkey").agg(F.sum("k").alias("n"), F.sum("s").alias("s")).join(n, "c_nationkey").groupBy("n_name").agg(F.sum("n").alias("n"), (F.round(F.sum("s") / F.sum("n"), 4) + F.lit(0.0)).alias("mean"))
+    return o.join(c, "o_custkey").groupBy("c_nationkey").agg(F.sum("k").alias("n"), F.sum("s").alias("s")).join(n, "c_nationkey").groupBy("n_name").agg(F.sum("n").alias("n"), (F.round(F.sum("s") / F.sum("n"), 6) + F.lit(0.0)).alias("mean"))
 
 
 @query("SELECT DISTINCT o.o_custkey, o.o_orderstatus FROM orders o SEMI JOIN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) c ON o.o_custkey = c.c_custkey")
