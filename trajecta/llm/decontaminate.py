@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, hash_spans, mix64, read_table, text_bytes, word_spans
+from .common import _LOWER, hash_spans, mix64, read_table, slices, text_bytes, word_spans
 
 _U = np.uint64
 K1, B = 1.2, 0.75
@@ -197,7 +197,7 @@ def find_benchmark_text(docs: DataFrame, benchmark: DataFrame, index_bytes: int
         shared = spark.sparkContext.broadcast(build_indexes(rows))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in slices(batches):
                 hits = _match(b.column("text"), shared.value)
                 cols = list(zip(*hits, strict=True)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays(

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _IS_WORD, _LOWER, read_table, text_bytes, word_spans
+from .common import _IS_WORD, _LOWER, read_table, slices, text_bytes, word_spans
 
 SLOTS = 1 << 17
 SAMPLE = 20_000  # labelled rows that the models are fitted on, at most
@@ -65,7 +65,7 @@ def _script_bytes(data: np.ndarray) -> np.ndarray:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[str, np.ndarray] = {}
-    for b in batches:
+    for b in slices(batches):
         data, rows = text_bytes(b.column("text"))
         if not len(data):
             continue
@@ -157,7 +157,7 @@ def viterbi(scores: np.ndarray, at: np.ndarray, switch: float) -> np.ndarray:
 def _label(model, spans: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
-        for b in batches:
+        for b in slices(batches, 8 << 20):
             column = b.column("text")
             data, rows = text_bytes(column)
             starts, ends, at = word_spans(data, rows, _IS_WORD)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import count_words, materialize, mix64, read_table
+from .common import count_words, materialize, mix64, read_table, slices
 
 _U = np.uint64
 WEIGHTS = (3, 1, 2)
@@ -161,7 +161,7 @@ def _sized(docs: DataFrame) -> DataFrame:
     """doc_id, source, row (a hash of the text, to order repeated ids) and size in words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             size = pa.array(count_words(b.column("text")), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), b.column("row"), size], names=["doc_id", "source", "row", "size"])
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, mix64, read_table, word_hashes
+from .common import connected_components, materialize, mix64, read_table, slices, word_hashes
 
 _U = np.uint64
 REGISTERS, ROWS = 120, 5  # 24 bands of five registers: a pair at 0.85 is missed once in a million
@@ -97,7 +97,7 @@ def _sketch(k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tag = mix64(np.arange(1, bands + 1, dtype=np.uint64) * _U(0xA24BAED4963EE407))
-        for b in batches:
+        for b in slices(batches):
             sizes, nodes, regs, keys = [], [], [], []
             for s in shingle_sets(b.column("text"), k):
                 sizes.append(len(s))
@@ -123,7 +123,7 @@ def _own_sets(k: int):
     """Sets of the rows whose text is the class's own (a doc_id may be repeated)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             sets = shingle_sets(b.column("text"), k)
             mine = [i for i, (s, x) in enumerate(zip(sets, b.column("node").to_pylist(), strict=True)) if class_id(s) == x]
             yield pa.RecordBatch.from_arrays(
