@@ -124,9 +124,10 @@ def extract(page: str | None, model: dict) -> str:
     tokens = parse(page or "")
     weights, best, total, start, region = model["weights"], 0.0, 0.0, 0, (0, 0)
     for i, (feature, text, boiler, _) in enumerate(tokens):
-        if feature.startswith("in "):
-            w = weights.get(feature, model["word"])
-            total += len(text.split()) * (min(w, -model["word"]) if boiler else w)
+        if boiler:  # it is left out whole, so only its place counts
+            total -= 0.0 if i and tokens[i - 1][2] else 1.0
+        elif feature.startswith("in "):
+            total += len(text.split()) * weights.get(feature, model["word"])
         else:
             total += weights.get(feature, model["tag"])
         if total > best:
