@@ -56,9 +56,9 @@ def alias_target(html: Column) -> tuple[Column, Column]:
     """Targets of a page's canonical link and of its meta refresh (empty without one)."""
     html = F.coalesce(html, F.lit(""))
     links = F.regexp_extract_all(html, F.lit(r"(?is)<link\b[^>]*+>"), F.lit(0))
-    canonical = F.element_at(F.filter(links, lambda t: F.lower(_attribute(t, "rel")) == "canonical"), 1)
+    canonical = F.get(F.filter(links, lambda t: F.lower(_attribute(t, "rel")) == "canonical"), 0)
     metas = F.regexp_extract_all(html, F.lit(r"(?is)<meta\b[^>]*+>"), F.lit(0))
-    refresh = F.element_at(F.filter(metas, lambda t: F.lower(_attribute(t, "http-equiv")) == "refresh"), 1)
+    refresh = F.get(F.filter(metas, lambda t: F.lower(_attribute(t, "http-equiv")) == "refresh"), 0)
     moved = F.regexp_extract(_attribute(refresh, "content"), r"(?is)url\s*=\s*['\"]?([^'\"]+)", 1)
     return F.coalesce(_attribute(canonical, "href"), F.lit("")), F.coalesce(moved, F.lit(""))
 
