@@ -102,7 +102,7 @@ def _plan(names: list, sizes: list[int], goal: list[float], block: int, seed: in
     return pd.DataFrame(rows, columns=["sid", "source", "size", "blocks", "turns", "slots", "last", "want"])
 
 
-def _positions(docs: DataFrame, group: int = 20_000) -> DataFrame:
+def _positions(docs: DataFrame, group: int = 2_000) -> DataFrame:
     """Adds the start of each document in its source's stream.
 
     A source is dealt to buckets of about ``group`` rows; a window runs inside a bucket and a
