@@ -6,14 +6,14 @@ but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trajecta.llm.common import materialize
 from trajecta.llm.decontaminate import find_benchmark_text
 from trajecta.llm.langid import fit, identify, training_rows
 from trajecta.llm.mixing import mix_sources
-from trajecta.llm.neardup import near_duplicates
+from trajecta.llm.neardup import near_duplicate_rows
 from trajecta.llm.pii import redact
 
 SURE = 0.5  # least share of a document's words in its language
@@ -25,17 +25,30 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return found.where((F.col("_lang_pred") != "und") & (F.col("_score") >= SURE)).select(docs.columns)
 
 
+def same_row(a: DataFrame, b: DataFrame) -> Column:
+    """A doc_id may be missing or repeated, so a row is named by it (null-safe) and a hash."""
+    return a["doc_id"].eqNullSafe(b["_id"]) & (a["_row"] == b["_row"])
+
+
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles at a similarity of 0.8."""
-    kept = near_duplicates(docs, k=5, percent=80).where("kept").select("doc_id").distinct()
-    own = docs.join(kept.hint("merge"), "doc_id", "left_semi").select(docs.columns)
-    return docs.where("doc_id is null").unionByName(own.dropDuplicates(["doc_id", "text"]))  # a row may be repeated
+    """One document of each group of near-duplicates: five-word shingles at a similarity of 0.8.
+
+    The smallest doc_id stays; a document without an id only where its group has no id. A
+    repeated row stays once. Texts without words have no group: those without an id all stay.
+    """
+    kept = near_duplicate_rows(docs, k=5, percent=80).where("first")
+    kept = kept.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), (F.col("doc_id").isNull() & F.col("node").isNull()).alias("_all")).distinct()
+    own = docs.withColumn("_row", F.xxhash64("text"))
+    own = materialize(own.join(kept.hint("merge"), same_row(own, kept)).select(*docs.columns, "_all"), "kept")
+    return own.where("not _all").drop("_all").dropDuplicates(["doc_id", "text"]).unionByName(own.where("_all").drop("_all"))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without test items."""
-    found = find_benchmark_text(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(materialize(found.select("doc_id").distinct(), "leaks").hint("merge"), "doc_id", "left_anti").select(docs.columns)
+    """Documents without test items; a missing id, or one that a contaminated document has too, changes nothing."""
+    own = docs.withColumn("_row", F.xxhash64("text"))
+    found = find_benchmark_text(own, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keys=("doc_id", "_row"))
+    leaks = materialize(found.select(F.col("doc_id").alias("_id"), "_row").distinct(), "leaks")
+    return own.join(leaks.hint("merge"), same_row(own, leaks), "left_anti").select(docs.columns)
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,12 +57,18 @@ def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with the words that the mix takes of them (repeats counted) and their source's target."""
-    per_doc = mix_sources(docs)[1]
-    row = F.xxhash64("text")
-    text = docs.select(F.col("doc_id").alias("_id"), row.alias("_row"), "text", "lang", "n_chars")
-    same = per_doc["doc_id"].eqNullSafe(text["_id"]) & per_doc["row"].eqNullSafe(text["_row"])
-    return per_doc.distinct().join(text.hint("merge"), same).select("doc_id", "text", "lang", "source", "n_chars", "size", "source_size", "target", "taken")
+    """Documents with the words that the mix takes of them (repeats counted) and their source's target.
+
+    Every row has its own line, also those that repeat an id, have none, or are alike in all columns.
+    """
+    row = F.xxhash64("text", "source", "lang", "n_chars")
+    per_doc = mix_sources(docs, row=row)[1].withColumnRenamed("row", "_row")
+    # rows of one key are alike, so any of them gives the columns of all
+    text = docs.select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_no_id"), row.alias("_row"), "text", "lang", "n_chars")
+    keys = ["_id", "_no_id", "_row"]
+    text = text.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("n_chars"))).where("_n = 1")
+    per_doc = per_doc.withColumn("_id", F.coalesce("doc_id", F.lit(0))).withColumn("_no_id", F.col("doc_id").isNull())
+    return per_doc.join(text.hint("merge"), keys).select("doc_id", "text", "lang", "source", "n_chars", "size", "source_size", "target", "taken")
 
 
 STAGES = [

@@ -43,3 +43,35 @@ def test_each_stage_does_its_work(spark, tmp_path):
 def test_run_gives_the_last_stage(spark, tmp_path):
     d = corpus(tmp_path, spark)
     assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, d).collect()) == [*range(60), 103]
+
+
+def test_missing_and_repeated_ids_at_every_stage(spark, tmp_path):
+    rng = random.Random(12)
+    text = lambda n: " ".join(f"en{rng.randrange(400)}" for _ in range(n))
+    item, copy, lone, twice = text(30) + ". " + text(6) + ".", text(60), text(60), text(60)
+    leak = text(40) + " " + item + " " + text(40)
+    rows = [(i, text(60), "en", "ab"[i % 2]) for i in range(20)]
+    rows += [(None, copy, "en", "a"), (None, copy, "en", "b"), (None, copy + " tail", "en", "a"), (None, rows[3][1], "en", "a")]
+    rows += [(None, leak, "en", "a"), (7, leak.upper(), "en", "b"), (None, lone, "en", "a"), (8, twice, "en", "a"), (8, twice, "en", "a")]
+    d, columns = str(tmp_path), "doc_id long, text string, lang string, source string, n_chars long"
+    frame = lambda rows: spark.createDataFrame([(*r, len(r[1])) for r in rows], columns)
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    pairs = lambda df: sorted(((r["doc_id"] is None, r["doc_id"] or 0), r["text"]) for r in df.collect())
+    key = lambda r: ((r[0] is None, r[0] or 0), r[1])
+
+    for name in ("language ID", "PII"):
+        assert len(stages[name](spark, frame(rows), d).collect()) == len(rows)
+    once = [r for r in rows if r[1] not in (copy, copy + " tail", twice, leak, leak.upper()) and (r[0] is not None or r[1] == lone)]
+    left = pairs(stages["MinHash near-dedup"](spark, frame(rows), d))
+    assert [p for p in left if p[1] in (copy, copy + " tail")] in ([((True, 0), copy)], [((True, 0), copy + " tail")])
+    assert [p for p in left if p[1] not in (copy, copy + " tail")] == sorted([*map(key, once), key((7, leak.upper())), key((8, twice))])
+    clean = pairs(stages["benchmark decontamination"](spark, frame(rows), d))
+    assert clean == sorted(key(r) for r in rows if r[1].lower() != leak.lower())
+
+    many = [*rows, *[(None, twice, x, "a") for x in ("en", "de")], *[(None, copy, "en", "a")] * 40]
+    got = stages["mixing sources to target weights"](spark, frame(many), d).collect()
+    assert sorted((*key((r["doc_id"], r["text"])), r["lang"], r["source"]) for r in got) == sorted((*key(r), r[2], r[3]) for r in many)
+    for source in "ab":
+        own = [r for r in got if r["source"] == source]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 1

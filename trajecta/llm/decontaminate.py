@@ -178,12 +178,12 @@ def _match(column: pa.Array, indexes: list[Index]) -> list[tuple]:
     return [(*k, *v) for k, v in sorted(best.items(), key=lambda kv: kv[0])]
 
 
-def find_benchmark_text(docs: DataFrame, benchmark: DataFrame, index_bytes: int = INDEX_BYTES) -> DataFrame:
+def find_benchmark_text(docs: DataFrame, benchmark: DataFrame, index_bytes: int = INDEX_BYTES, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``doc_id, item_id, score, question_overlap, answer_overlap`` of test items found in documents.
 
     Passages cover every whole text, so an item that a document holds is wholly inside one.
     Null and empty texts, and items of fewer than five words, match nothing; repeated rows
-    are each reported; other columns are ignored. The index is broadcast and holds at most
+    are each reported; columns other than ``keys``, which name a row, are ignored. The index is broadcast and holds at most
     ``index_bytes`` of item text: a larger benchmark is dealt to several passes over the documents.
     """
     spark = docs.sparkSession
@@ -201,11 +201,12 @@ def find_benchmark_text(docs: DataFrame, benchmark: DataFrame, index_bytes: int
                 hits = _match(b.column("text"), shared.value)
                 cols = list(zip(*hits, strict=True)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int64()), *[pa.array(c, pa.float64()) for c in cols[2:]]],
-                    names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"],
+                    [*[b.column(k).take(pa.array(cols[0], pa.int64())) for k in keys], pa.array(cols[1], pa.int64()), *[pa.array(c, pa.float64()) for c in cols[2:]]],
+                    names=[*keys, "item_id", "score", "question_overlap", "answer_overlap"],
                 )
 
-        found = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
+        named = ", ".join(f"{k} long" for k in keys)
+        found = docs.select(*keys, "text").mapInArrow(run, f"{named}, item_id long, score double, question_overlap double, answer_overlap double")
         out = found if out is None else out.unionByName(found)
     return out
 

@@ -19,7 +19,7 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import count_words, materialize, mix64, read_table, slices
@@ -111,7 +111,7 @@ def _positions(docs: DataFrame, group: int = 2_000) -> DataFrame:
     per = docs.groupBy("sid").agg(F.ceil(F.count("*") / group).alias("n_buckets"))
     dealt = docs.join(F.broadcast(per), "sid")  # a row for each source, as bounded as the source list
     dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "row"), F.col("n_buckets")).cast("int"))
-    inside = Window.partitionBy("sid", "bucket").orderBy("doc_id", "row")
+    inside = Window.partitionBy("sid", "bucket").orderBy("doc_id", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # alike rows follow each other
     dealt = materialize(dealt.withColumn("ends", F.sum("size").over(inside)).withColumn("nth", F.row_number().over(inside)), "dealt")
     totals = dealt.groupBy("sid", "bucket").agg(F.sum("size").alias("total"))
     before = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -157,32 +157,32 @@ def _slots(spark, plan: pd.DataFrame, block: int, shard: int, seed: int) -> Data
     return each.mapInPandas(place, "sid int, shard long, k long, block long, words long")
 
 
-def _sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, row (a hash of the text, to order repeated ids) and size in words."""
+def _sized(docs: DataFrame, row: Column) -> DataFrame:
+    """doc_id, source, row (a hash, to order missing and repeated ids) and size in words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             size = pa.array(count_words(b.column("text")), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), b.column("row"), size], names=["doc_id", "source", "row", "size"])
 
-    rows = docs.select("doc_id", "source", F.xxhash64("text").alias("row"), "text")
+    rows = docs.select("doc_id", "source", row.alias("row"), "text")
     return rows.mapInArrow(run, "doc_id long, source string, row long, size long")
 
 
-def mix_sources(docs: DataFrame, weights=WEIGHTS, share=Fraction(3, 2), block: int = BLOCK, shard: int = SHARD, seed: int = 17) -> tuple[DataFrame, DataFrame]:
+def mix_sources(docs: DataFrame, weights=WEIGHTS, share=Fraction(3, 2), block: int = BLOCK, shard: int = SHARD, seed: int = 17, row: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(pieces, per document) of a mix of ``docs(doc_id, text, source)``.
 
     Pieces tell, for each slot of each output shard, which words of which document it takes:
     ``shard, k, source, block, doc_id, first, last`` (word numbers, end exclusive; k is the
     slot's number in its source). The second frame has a row for each document: ``doc_id,
-    source, size, source_size, target, taken``.
+    source, row, size, source_size, target, taken``.
     ``weights`` repeat over the sources in code-point order, null last; a target is at most
     twice its source's size. Null and empty texts have size 0 and are never taken; a null
     source is a source of its own; repeated rows and ids are separate documents; other columns
-    are ignored. Reruns agree, whatever the partitioning. At most ``MAX_SOURCES`` sources.
+    are ignored. ``row`` tells rows of one id apart (by default a hash of the text). Reruns agree, whatever the partitioning. At most ``MAX_SOURCES`` sources.
     """
     spark = docs.sparkSession
-    sized = materialize(_sized(docs), "sizes")
+    sized = materialize(_sized(docs, F.xxhash64("text") if row is None else row), "sizes")
     found = sized.groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")

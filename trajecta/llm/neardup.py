@@ -112,15 +112,15 @@ def _sketch(k: int):
                     acc = mix64(acc + c)
                 keys.append((acc >> _U(1)).astype(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(regs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "node", "regs", "bands"],
+                [b.column("doc_id"), b.column("row"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(regs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["doc_id", "row", "n_shingles", "node", "regs", "bands"],
             )
 
     return run
 
 
 def _own_sets(k: int):
-    """Sets of the rows whose text is the class's own (a doc_id may be repeated)."""
+    """Sets of the rows whose text is the class's own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -201,23 +201,19 @@ def _prefixes(percent: int, counts):
     return run
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, margin: float = 0.15) -> DataFrame:
-    """Components of documents whose shingle sets have a Jaccard similarity of ``percent`` or more.
+def near_duplicate_rows(docs: DataFrame, k: int = 5, percent: int = 85, margin: float = 0.15) -> DataFrame:
+    """``doc_id, row, n_shingles, node, first_id, first``: the component of each row, with or without a doc_id.
 
-    ``docs`` needs ``doc_id`` and ``text``; other columns are ignored. Words are runs of
-    non-white characters with A-Z lower-cased. Returns ``doc_id, n_shingles, component_id,
-    kept``: the component is named by its smallest doc_id, whose row is kept. A null or
-    empty text has an empty set and is linked with nothing. Rows with a null doc_id have a
-    null component and are kept; rows that repeat a doc_id are each judged on their text.
-    A pair at the threshold misses all bands with a probability below 1e-6; pairs that
-    share a bucket are decided exactly. ``margin`` is how far below the threshold an
-    estimate may lie for the pair to be confirmed on full sets (over four deviations).
+    ``row`` is a hash of the text; with the doc_id it names a row, so missing and repeated
+    ids stay apart. A component is named by its smallest (doc_id, row), null ids last:
+    ``first_id`` is that doc_id, and ``first`` tells its row (rows that repeat both are all
+    first). A row without words has no ``node``, no component, and is first.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
-    sketched = materialize(docs.mapInArrow(_sketch(k), "doc_id long, n_shingles long, node long, regs binary, bands array<long>"), "sketch")
+    docs = docs.select("doc_id", F.xxhash64("text").alias("row"), "text")
+    sketched = materialize(docs.mapInArrow(_sketch(k), "doc_id long, row long, n_shingles long, node long, regs binary, bands array<long>"), "sketch")
     classes = materialize(
-        sketched.where("node is not null").groupBy("node", "n_shingles", "regs", "bands").agg(F.min("doc_id").alias("rep")), "classes"
+        sketched.where("node is not null").groupBy("node", "n_shingles", "regs", "bands").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("rep")), "classes"
     )
     members = materialize(classes.select("node", F.explode("bands").alias("key")), "bands")
     shared = materialize(members.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi"), "buckets")
@@ -228,7 +224,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, margin: floa
     pairs = materialize(stars.distinct(), "pairs")
     wanted = inside.select("node").distinct()
     picked = wanted.join(classes.select("node", "rep").hint("merge"), "node")
-    texts = docs.where("text is not null").join(picked.hint("merge"), F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
+    same = F.col("doc_id").eqNullSafe(F.col("rep.doc_id")) & (F.col("row") == F.col("rep.row"))
+    texts = docs.where("text is not null").join(picked.hint("merge"), same).select("node", "text")
     sets = materialize(
         texts.mapInArrow(_own_sets(k), "node long, n long, hashes binary").dropDuplicates(["node"]), "sets"
     )
@@ -281,10 +278,27 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, margin: floa
 
     named = classes.select("node", "rep").join(final.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = materialize(named, "named")
-    first = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    label = named.join(first.hint("merge"), "component").select("node", "component_id")
-    out = sketched.select("doc_id", "n_shingles", "node").join(label.hint("merge"), "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    first = named.groupBy("component").agg(F.min("rep").alias("rep"))
+    label = named.select("node", "component").join(first.hint("merge"), "component").select("node", "rep")
+    out = sketched.select("doc_id", "row", "n_shingles", "node").join(label.hint("merge"), "node", "left")
+    own = F.col("doc_id").eqNullSafe(F.col("rep.doc_id")) & (F.col("row") == F.col("rep.row"))
+    return out.select("doc_id", "row", "n_shingles", "node", F.col("rep.doc_id").alias("first_id"), (F.col("node").isNull() | own).alias("first"))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, margin: float = 0.15) -> DataFrame:
+    """Components of documents whose shingle sets have a Jaccard similarity of ``percent`` or more.
+
+    ``docs`` needs ``doc_id`` and ``text``; other columns are ignored. Words are runs of
+    non-white characters with A-Z lower-cased. Returns ``doc_id, n_shingles, component_id,
+    kept``: the component is named by its smallest doc_id, whose row is kept. A null or
+    empty text has an empty set and is linked with nothing. Rows with a null doc_id have a
+    null component and are kept; rows that repeat a doc_id are each judged on their text.
+    A pair at the threshold misses all bands with a probability below 1e-6; pairs that
+    share a bucket are decided exactly. ``margin`` is how far below the threshold an
+    estimate may lie for the pair to be confirmed on full sets (over four deviations).
+    """
+    out = near_duplicate_rows(docs, k, percent, margin)
+    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("first_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
