@@ -104,6 +104,16 @@ def test_registers_merge_and_estimate():
     assert abs(j - 0.5) < 0.15
 
 
+def test_bands_keep_the_promised_bound_at_any_threshold():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "row": [1], "text": ["a b c d e f g h"]})
+    for percent in (50, 70, 80, 85, 95, 100):
+        out = next(neardup._sketch(5, neardup.bands_for(percent))(iter([batch])))
+        assert (1 - (percent / 100) ** neardup.ROWS) ** len(out.column("bands")[0]) <= 1e-6
+    assert neardup.bands_for(85) == 24 and neardup.bands_for(80) == 35
+
+
 # ------------------------------------------------------------------ mixing
 
 

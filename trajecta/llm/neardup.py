@@ -16,6 +16,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,8 @@ from pyspark.sql import functions as F
 from .common import connected_components, materialize, mix64, read_table, slices, word_hashes
 
 _U = np.uint64
-REGISTERS, ROWS = 120, 5  # 24 bands of five registers: a pair at 0.85 is missed once in a million
+REGISTERS, ROWS = 120, 5  # registers by default, and in a band
+MISSED = 1e-6  # at most the chance that a pair at the threshold shares no band
 BASE, RATE, TOP = 1.005, 20.0, 8191  # spacing, rate and truncation of the registers
 
 
@@ -92,9 +94,12 @@ def joint_estimate(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarra
     return np.take_along_axis(grid, fit.argmax(1)[:, None], 1)[:, 0]
 
 
-def _sketch(k: int):
-    bands = REGISTERS // ROWS
+def bands_for(percent: int) -> int:
+    """Bands that a pair at the threshold misses with a probability of at most ``MISSED``: 24 at 85, 35 at 80."""
+    return max(1, math.ceil(math.log(MISSED) / math.log1p(-((percent / 100) ** ROWS)))) if percent < 100 else 1
 
+
+def _sketch(k: int, bands: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tag = mix64(np.arange(1, bands + 1, dtype=np.uint64) * _U(0xA24BAED4963EE407))
         for b in slices(batches):
@@ -104,7 +109,7 @@ def _sketch(k: int):
                 if not len(s):
                     nodes.append(None), regs.append(None), keys.append(None)
                     continue
-                r = registers(s)
+                r = registers(s, bands * ROWS)
                 nodes.append(class_id(s))
                 regs.append(r.tobytes())
                 acc = tag.copy()
@@ -211,7 +216,7 @@ def near_duplicate_rows(docs: DataFrame, k: int = 5, percent: int = 85, margin:
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.xxhash64("text").alias("row"), "text")
-    sketched = materialize(docs.mapInArrow(_sketch(k), "doc_id long, row long, n_shingles long, node long, regs binary, bands array<long>"), "sketch")
+    sketched = materialize(docs.mapInArrow(_sketch(k, bands_for(percent)), "doc_id long, row long, n_shingles long, node long, regs binary, bands array<long>"), "sketch")
     classes = materialize(
         sketched.where("node is not null").groupBy("node", "n_shingles", "regs", "bands").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("rep")), "classes"
     )
@@ -293,8 +298,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, margin: floa
     kept``: the component is named by its smallest doc_id, whose row is kept. A null or
     empty text has an empty set and is linked with nothing. Rows with a null doc_id have a
     null component and are kept; rows that repeat a doc_id are each judged on their text.
-    A pair at the threshold misses all bands with a probability below 1e-6; pairs that
-    share a bucket are decided exactly. ``margin`` is how far below the threshold an
+    There are as many bands as it takes for a pair at the threshold to miss all of them
+    with a probability below 1e-6, whatever the threshold; pairs that share a bucket are decided exactly. ``margin`` is how far below the threshold an
     estimate may lie for the pair to be confirmed on full sets (over four deviations).
     """
     out = near_duplicate_rows(docs, k, percent, margin)
