@@ -251,3 +251,20 @@ def test_global_prefix_and_sample(spark):
     df = spark.createDataFrame([(i, i % 3) for i in range(50)], "k int, n int").repartition(5)
     got = column(W.global_prefix(df, ["k"], "n", "before"), "before", "k")
     assert got == list(np.concatenate([[0], np.cumsum([i % 3 for i in range(49)])]))
+
+
+def test_fingerprint_needs_no_row_of_all_keys(spark, monkeypatch):
+    import hashlib
+
+    from trajecta.operators import relations
+
+    monkeypatch.setattr(relations, "RUN", 500)
+    rows = [(i % 7, i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g long, i long").repartition(3)
+    md5 = lambda x: hashlib.md5("|".join(x).encode()).hexdigest()
+    assert relations.fingerprint(df, ["g", "i"]).first()[0] == md5(f"{g}.{i}" for g, i in sorted(rows))[:10]
+    groups = [md5(f"{g}.{i}" for g, i in sorted(rows) if g == k) for k in range(7)]
+    assert relations.fingerprint(df, ["g", "i"], ["g"]).first()[0] == md5(groups)[:10]
+    for by in (None, ["g"]):
+        plan = relations.fingerprint(df, ["g", "i"], by)._jdf.queryExecution().executedPlan().toString()
+        assert "collect_list" not in plan

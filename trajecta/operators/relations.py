@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,14 +120,70 @@ def dense_reindex(df: DataFrame, keys: list[str], pos: str, sizes: DataFrame, si
 def fingerprint(df: DataFrame, keys: list[str], by: list[str] | None = None, digits: int = 10) -> DataFrame:
     """First hex digits of the md5 of all keys, in key order, dotted and joined by a pipe.
 
-    With ``by``, each group has its own md5 first and the digest is of those, so that no
-    list is longer than a group.
+    With ``by``, each group has its own md5 first and the digest is of those. Keys are sorted
+    in range partitions and joined there to runs of bounded length; md5 has to see the runs one
+    after the other, so one task streams over them. No row holds more than a run.
     """
-    text = F.concat_ws(".", *[F.col(k).cast("string") for k in keys])
+    df = df.withColumn("_t", F.concat_ws(".", *[F.col(k).cast("string") for k in keys]))
     if by:
-        groups = df.groupBy(*by).agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*keys, text.alias("_t")))), lambda s: s["_t"]), "|")).alias("_t"))
-        df, keys = groups, by
-    else:
-        df = df.select(*keys, text.alias("_t"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*keys, "_t"))), lambda s: s["_t"]), "|")
-    return df.agg(F.substring(F.md5(joined), 1, digits).alias("fingerprint"))
+        first = F.row_number().over(Window.partitionBy(*by).orderBy(*keys, "_t")) == 1
+        marked = df.select(*by, "_t", first.alias("_first"))  # in order inside each group, groups one after the other
+        df, keys = marked.mapInArrow(_group_digests(by), marked.select(*by, "_t").schema), by
+    dealt = df.select(*keys, "_t").repartitionByRange(*keys, "_t").sortWithinPartitions(*keys, "_t")
+    runs = dealt.select("_t").mapInArrow(_runs, "part int, run long, text string")
+    return runs.repartition(1).sortWithinPartitions("part", "run").mapInArrow(_digest(digits), "fingerprint string")
+
+
+RUN = 1 << 20  # characters of joined keys in a row
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyspark import TaskContext
+
+    part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
+    row = lambda: pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "run": pa.array([number], pa.int64()), "text": pa.array(["|".join(held)], pa.string())})
+    for b in batches:
+        for t in b.column("_t").to_pylist():
+            held.append(t)
+            size += len(t) + 1
+            if size >= RUN:
+                yield row()
+                number, held, size = number + 1, [], 0
+    if held:
+        yield row()
+
+
+def _digest(digits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole, some = hashlib.md5(), False
+        for b in batches:
+            for t in b.column("text"):
+                whole.update(("|" * some + t.as_py()).encode())
+                some = True
+        yield pa.RecordBatch.from_pydict({"fingerprint": pa.array([whole.hexdigest()[:digits]], pa.string())})
+
+    return run
+
+
+def _group_digests(by: list[str]):
+    """One row a group: its keys and the md5 of its rows, which come in order, the first one marked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, whole = None, hashlib.md5()
+
+        def closed(group: pa.RecordBatch) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*group.columns, pa.array([whole.hexdigest()], pa.string())], names=[*by, "_t"])
+
+        for b in batches:
+            keys = b.select(by)
+            for i, (t, first) in enumerate(zip(b.column("_t").to_pylist(), b.column("_first").to_pylist(), strict=True)):
+                if first:
+                    if now is not None:
+                        yield closed(now)
+                    now, whole = keys.slice(i, 1), hashlib.md5(t.encode())
+                else:
+                    whole.update(b"|" + t.encode())
+        if now is not None:
+            yield closed(now)
+
+    return run
