@@ -268,3 +268,16 @@ def test_fingerprint_needs_no_row_of_all_keys(spark, monkeypatch):
     for by in (None, ["g"]):
         plan = relations.fingerprint(df, ["g", "i"], by)._jdf.queryExecution().executedPlan().toString()
         assert "collect_list" not in plan
+
+
+def test_copies_of_a_vector_rank_by_id(spark):
+    from trajecta.operators import neighborhoods as N
+
+    rng = np.random.default_rng(5)
+    order = [int(i) for i in rng.permutation(60)]
+    copy = [float(x) for x in rng.normal(size=8)]
+    corpus = spark.createDataFrame([(i, 1, copy) for i in order], "id long, grp long, vec array<double>")
+    queries = spark.createDataFrame([(100, 2, [x + 1 for x in copy])], "id long, grp long, vec array<double>")
+    for parts in (1, 3):
+        got = N.flow_neighbors(queries, corpus.coalesce(1).repartition(parts), 3).orderBy("rank").collect()
+        assert [r["vec_id"] for r in got] == [0, 1, 2]

@@ -104,10 +104,14 @@ def flow_neighbors(queries: DataFrame, corpus: DataFrame, n: int, block: int = 2
                 if not len(f):
                     continue
                 x, fid, fg = np.array(f["vec"].tolist(), dtype=float), f["id"].to_numpy(), f["grp"].to_numpy()
-                d = np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * q @ x.T, 0)
+                qq, xx = (q * q).sum(1), (x * x).sum(1)
+                d = np.maximum(qq[:, None] + xx[None] - 2 * q @ x.T, 0)
                 for i in range(len(ids)):
                     other = np.flatnonzero(fg != groups[i])
-                    close = other[np.lexsort((fid[other], d[i, other]))[:n]] if len(other) <= 4 * n else other[np.argpartition(d[i, other], n)[: n + 1]]
+                    close = other
+                    if len(other) > 4 * n:  # all that may be as near as the n-th; d is rounded
+                        cut = np.partition(d[i, other], n - 1)[n - 1]
+                        close = other[~(d[i, other] > cut + 1e-9 * (qq[i] + xx[other] + cut))]
                     exact = np.sqrt(((x[close] - q[i]) ** 2).sum(1))
                     found[i] = sorted([*found[i], *zip(exact.tolist(), fid[close].tolist(), strict=True)])[:n]
             yield pd.DataFrame([(a, v, d) for a, own in zip(ids, found, strict=True) for d, v in own], columns=["query_id", "vec_id", "distance"])
