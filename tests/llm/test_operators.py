@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trajecta.llm import decontaminate, htmltext, langid, lmscore, mixing, nearest, neardup, pii, tokencounts, urlfilter
+from trajecta.llm import decontaminate, htmltext, langid, lmscore, mixing, nearest, neardup, pii, spelling, tokencounts, urlfilter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, node long, size long, edits int, key string"
 
@@ -373,24 +373,135 @@ def test_scores_match_the_stated_base(spark):
 
 
 def test_spelling_is_a_distribution():
-    code = lmscore.prefix_code(np.bincount(np.frombuffer(b"the cat sat on the mat ", np.uint8), minlength=256))
-    table = np.zeros((2, lmscore.OFFSETS[-1]), np.float32)
-    text, seen = b"the cat sat on mat ", np.array([2, 1, 1, 1, 1])
-    lmscore.count_decisions(text, seen, code, table)
-    m = lmscore.fresh_mixer()
-    lmscore.train_mixer(text, seen, code, table, m)
-    stretch = lmscore.stretched(table[0], table[1])
+    code = spelling.prefix_code(np.bincount(np.frombuffer(b"the cat sat on the mat ", np.uint8), minlength=256))
+    table = np.zeros((2, spelling.OFFSETS[-1]), np.int64)
+    text = b"the cat sat on mat "
+    spelling.count_decisions(text, np.array([2, 1, 1, 1, 1]), code, table)
+    m = spelling.fresh_mixer()
+    m.weights = spelling.fitted(spelling.fit_sums(text, code, table, m), m.weights)
+    m.refine = m.refine + spelling.refinement_sums(text, code, table, m)
+    stretch = spelling.stretched(table[0], table[1])
     # all continuations of a prefix: every byte closes the word or goes on
     first = b"".join(bytes([b]) + b" " for b in range(256) if b not in (32,)) + b" "
-    total = np.exp(lmscore.spell_scores(first, code, stretch, m)).sum()
+    total = np.exp(spelling.spell_scores(first, code, stretch, m)).sum()
     assert 0 < total <= 1.0 + 1e-6
-    likely, unlikely = lmscore.spell_scores(b"the xqz ", code, stretch, m)
+    likely, unlikely = spelling.spell_scores(b"the xqz ", code, stretch, m)
     assert likely > unlikely
 
 
+def class_paths(counts):
+    """Node and bit of every step to each class, by walking the code tree from its leaves."""
+    tree = [(int(counts[c]), i) for i, c in enumerate(np.flatnonzero(counts))]
+    up, new = {}, len(tree)
+    while len(tree) > 1:
+        tree.sort()
+        (a, x), (b, y) = tree[:2]
+        up[x], up[y] = (new, 0), (new, 1)
+        tree = [*tree[2:], (a + b, new)]
+        new += 1
+    n, out = int(np.count_nonzero(counts)), {}
+    for i, c in enumerate(np.flatnonzero(counts)):
+        path = []
+        while i in up:
+            i, bit = up[i]
+            path.append((i - n + 1, bit))
+        out[int(c)] = path[::-1]
+    return out
+
+
+def score_one(cls, known, own, told, m, paths):
+    """The bits of one text, one after the other, in plain Python."""
+    code, weights, log = m.code, m.weights.astype(float).copy(), lambda n: math.log(n + 0.4)
+    mixed = lambda x, k: int(lmscore.mix64(np.array([x + ((k + 1) << 50)], np.uint64))[0]) >> 32
+    after, runs, total = {}, [0, 0], 0.0
+    change = np.zeros_like(weights)
+    for t, c in enumerate(cls):
+        if t % lmscore.BLOCK == 0:
+            weights, change = weights + change, np.zeros_like(weights)
+        often = [x for x in cls[:t] if code.often[x]]
+        f1, f2 = (often[-1] if often else lmscore.NONE), (often[-2] if len(often) > 1 else lmscore.NONE)
+        pair = tuple(cls[t - 2 : t]) if t > 1 else None
+        contexts = [f1, f1 << 20 | f2, cls[t - 1] if t else lmscore.START]
+        guess = [after.get(pair, -1), told[t]]
+        for depth, (node, bit) in enumerate([(0, known[t]), *(paths[c] if known[t] else [])]):
+            x, gate = [], 18 * (depth == 0)
+            for k in range(len(code.bits)):
+                slot = node
+                if k:
+                    h = (mixed(contexts[k - 1], k - 1) + node * 0x9E3779B1) * 0x85EBCA6B % 2**32
+                    h = (h ^ h >> 15) * 0xC2B2AE35 % 2**32
+                    slot = (h >> 32 - code.bits[k]) + int(code.offsets[k])
+                n = [int(m.counts[slot]) & 0xFFFF, int(m.counts[slot]) >> 16]
+                n[bit] -= own
+                x.append(log(n[1]) - log(n[0]))
+            gate += (sum(n) > 0) + (sum(n) > 7)
+            for k, g in enumerate(guess):
+                says = 0
+                if g >= 0 and depth == 0:
+                    says = 1
+                elif g >= 0 and known[t] and depth <= len(paths[g]) and paths[g][: depth - 1] == paths[c][: depth - 1]:
+                    says = 2 * paths[g][depth - 1][1] - 1
+                x.append(says * float(m.hits[k, runs[k]]))
+                gate += (says != 0) * (3 if k == 0 else 6 if runs[k] < 3 else 12)
+            dot = min(12.0, max(-12.0, sum(w * v for w, v in zip(weights[gate], x, strict=True))))
+            p = 1 / (1 + math.exp(-dot))
+            change[gate] += lmscore.RATE * (bit - p) * np.array(x)
+            seen = m.refine[gate, min(lmscore.STEPS - 1, max(0, round(dot * 2 + 16)))]
+            p = min(1 - 1e-6, max(1e-6, (p + seen[1] / seen.sum()) / 2))
+            total += math.log(p if bit else 1 - p)
+        runs = [min(r + 1, lmscore.RUNS - 1) if g == c else 0 for r, g in zip(runs, guess, strict=True)]
+        if pair:
+            after[pair] = c
+    return total
+
+
+def test_scores_match_plain_online_mixing():
+    rng = np.random.default_rng(4)
+    sizes = [70, 3, 1, 40, 25]
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    cls, known = rng.zipf(1.5, at[-1]) % 40, (rng.random(at[-1]) < 0.9).astype(np.int64)
+    cls[at[1:] - 1], known[at[1:] - 1] = lmscore.END, 1
+    cls[73:95] = cls[8:30]  # repeats
+    cls[20:30] = cls[4:14]
+    learn, told = np.array([True, True, True, False, False]), np.where(rng.random(at[-1]) < 0.3, rng.permutation(cls), -1)
+    told[told == lmscore.END] = -1
+    used = np.bincount(cls[known > 0], minlength=lmscore.CLASSES + 3)
+    cls[used[cls] == 0] = lmscore.END
+    code, paths = lmscore.class_code(used), class_paths(used)
+    told = np.where((told >= 0) & (used[np.maximum(told, 0)] > 0), told, -1)
+    f = lmscore.tokens_of((cls | known << lmscore.KNOWN).astype(np.int32), at, learn, told, code.often)
+    counts = lmscore.empty_counts(code)
+    lmscore.count_tokens(f, code, counts)
+    m = lmscore.model_of(counts, code)
+    m.weights = spelling.fitted(lmscore.fit_sums(f, m), m.weights)
+    refine = np.zeros(m.refine.shape, np.int64)
+    lmscore.score_tokens(f, m, refine)
+    m.refine = m.refine + refine
+    got = lmscore.score_tokens(f, m)
+    for i, (lo, hi) in enumerate(zip(at[:-1], at[1:], strict=True)):
+        want = score_one(cls[lo:hi].tolist(), known[lo:hi].tolist(), int(learn[i]), told[lo:hi].tolist(), m, paths)
+        assert abs(got[i] - want) < 1e-3 * max(1, abs(want)), (i, got[i], want)
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    rows = [r for r in some_rows() if r[0] is not None]
+    digit = F.crc32(F.col("doc_id").cast("string")) % 10
+    told = [sorted((r["doc_id"], r["n_tokens"], round(r["score"], 4)) for r in lmscore.score_documents(docs_of(spark, x).repartition(n), digit != 0).collect()) for x, n in ((rows, 2), (rows[::-1], 7))]
+    assert len(told[0]) == len(rows) and all(a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-3 for a, b in zip(*told, strict=True))
+
+
+def test_texts_that_occur_twice_score_apart(spark):
+    rng = random.Random(9)
+    text = lambda: " ".join(f"w{int(rng.paretovariate(0.6)) % 900}" for _ in range(120))
+    rows = [(i, text(), None, None) for i in range(80)]
+    rows += [(100 + i, rows[i][1], None, None) for i in range(8)]
+    got = {r["doc_id"]: r["bits_per_byte"] for r in lmscore.score_documents(docs_of(spark, rows), F.lit(True)).collect()}
+    assert max(got[i] for i in [*range(8), *range(100, 108)]) < 0.7 * min(got[i] for i in range(8, 80))
+
+
 def test_model_beats_the_base_on_held_out_text(spark, sf_dir):
     got = [r for r in lmscore.op7_lm_score(spark, "/root/testdata/sf0.01").collect() if r["held_out"]]
-    assert sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
+    assert sum(r["score"] for r in got) > 0.8 * sum(r["base_score"] for r in got)
 
 
 def test_scores_of_nothing(spark):
