@@ -492,7 +492,7 @@ def test_scores_do_not_depend_on_partitions(spark):
 
 def test_texts_that_occur_twice_score_apart(spark):
     rng = random.Random(9)
-    text = lambda: " ".join(f"w{int(rng.paretovariate(0.6)) % 900}" for _ in range(120))
+    text = lambda: " ".join(f"w{int(rng.paretovariate(0.6)) % 900}" for _ in range(400))
     rows = [(i, text(), None, None) for i in range(80)]
     rows += [(100 + i, rows[i][1], None, None) for i in range(8)]
     got = {r["doc_id"]: r["bits_per_byte"] for r in lmscore.score_documents(docs_of(spark, rows), F.lit(True)).collect()}
