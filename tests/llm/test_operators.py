@@ -404,64 +404,64 @@ def class_paths(counts):
         path = []
         while i in up:
             i, bit = up[i]
-            path.append((i - n + 1, bit))
+            path.append((i - n + 2, bit))
         out[int(c)] = path[::-1]
     return out
 
 
 def score_one(cls, known, own, told, m, paths):
-    """The bits of one text, one after the other, in plain Python."""
+    """The groups of the words of one text, one bit after the other, in plain Python."""
     code, weights, log = m.code, m.weights.astype(float).copy(), lambda n: math.log(n + 0.4)
     mixed = lambda x, k: int(lmscore.mix64(np.array([x + ((k + 1) << 50)], np.uint64))[0]) >> 32
-    after, runs, total = {}, [0, 0], 0.0
-    change = np.zeros_like(weights)
+    after, run, total, change = {}, 0, 0.0, np.zeros_like(m.weights)
     for t, c in enumerate(cls):
         if t % lmscore.BLOCK == 0:
             weights, change = weights + change, np.zeros_like(weights)
         often = [x for x in cls[:t] if code.often[x]]
         f1, f2 = (often[-1] if often else lmscore.NONE), (often[-2] if len(often) > 1 else lmscore.NONE)
-        pair = tuple(cls[t - 2 : t]) if t > 1 else None
-        contexts = [f1, f1 << 20 | f2, cls[t - 1] if t else lmscore.START]
-        guess = [after.get(pair, -1), told[t]]
-        for depth, (node, bit) in enumerate([(0, known[t]), *(paths[c] if known[t] else [])]):
-            x, gate = [], 18 * (depth == 0)
+        pair, w1 = tuple(cls[t - 2 : t]) if t > 1 else None, cls[t - 1] if t else lmscore.START
+        guess = told[t] if told[t] >= 0 else after.get(pair, -1)
+        hit, record = guess == c and known[t], run + lmscore.RUNS * (told[t] >= 0)
+        usual = [mixed(f1, 0), mixed(f1 << 20 | f2, 1), mixed(w1, 2)]
+        todo = [(1, int(hit), 2, [mixed(record, 4), mixed(record << 20 | w1, 5), usual[2]])] if guess >= 0 else []
+        if not hit:
+            todo.append((0, known[t], 1, usual))
+            todo += [(node, bit, 0, usual) for node, bit in (paths[c][: lmscore.DEPTH] if known[t] else [])]
+        for node, bit, kind, contexts in todo:
+            x, gate = [], 6 * kind
             for k in range(len(code.bits)):
                 slot = node
                 if k:
-                    h = (mixed(contexts[k - 1], k - 1) + node * 0x9E3779B1) * 0x85EBCA6B % 2**32
+                    h = (contexts[k - 1] + node * 0x9E3779B1) * 0x85EBCA6B % 2**32
                     h = (h ^ h >> 15) * 0xC2B2AE35 % 2**32
                     slot = (h >> 32 - code.bits[k]) + int(code.offsets[k])
                 n = [int(m.counts[slot]) & 0xFFFF, int(m.counts[slot]) >> 16]
                 n[bit] -= own
                 x.append(log(n[1]) - log(n[0]))
-            gate += (sum(n) > 0) + (sum(n) > 7)
-            for k, g in enumerate(guess):
-                says = 0
-                if g >= 0 and depth == 0:
-                    says = 1
-                elif g >= 0 and known[t] and depth <= len(paths[g]) and paths[g][: depth - 1] == paths[c][: depth - 1]:
-                    says = 2 * paths[g][depth - 1][1] - 1
-                x.append(says * float(m.hits[k, runs[k]]))
-                gate += (says != 0) * (3 if k == 0 else 6 if runs[k] < 3 else 12)
+                gate += 3 * (sum(n) > 7) if k == 2 else (sum(n) > 0) + (sum(n) > 7) if k == 3 else 0
             dot = min(12.0, max(-12.0, sum(w * v for w, v in zip(weights[gate], x, strict=True))))
             p = 1 / (1 + math.exp(-dot))
             change[gate] += lmscore.RATE * (bit - p) * np.array(x)
             seen = m.refine[gate, min(lmscore.STEPS - 1, max(0, round(dot * 2 + 16)))]
             p = min(1 - 1e-6, max(1e-6, (p + seen[1] / seen.sum()) / 2))
             total += math.log(p if bit else 1 - p)
-        runs = [min(r + 1, lmscore.RUNS - 1) if g == c else 0 for r, g in zip(runs, guess, strict=True)]
+        if hit:
+            total += math.log((code.group[c] - own) / (code.count[c] - own))
+        run = min(run + 1, lmscore.RUNS - 1) if hit else 0
         if pair:
             after[pair] = c
     return total
 
 
-def test_scores_match_plain_online_mixing():
+def test_scores_match_plain_online_mixing(monkeypatch):
+    monkeypatch.setattr(lmscore, "DEPTH", 5)
     rng = np.random.default_rng(4)
     sizes = [70, 3, 1, 40, 25]
     at = np.concatenate([[0], np.cumsum(sizes)])
     cls, known = rng.zipf(1.5, at[-1]) % 40, (rng.random(at[-1]) < 0.9).astype(np.int64)
     cls[at[1:] - 1], known[at[1:] - 1] = lmscore.END, 1
     cls[73:95] = cls[8:30]  # repeats
+    cls[:70] = np.where(np.arange(70) % 3 == 0, 500 + np.arange(70), cls[:70])  # rare classes, deep in the tree
     cls[20:30] = cls[4:14]
     learn, told = np.array([True, True, True, False, False]), np.where(rng.random(at[-1]) < 0.3, rng.permutation(cls), -1)
     told[told == lmscore.END] = -1
@@ -470,6 +470,7 @@ def test_scores_match_plain_online_mixing():
     code, paths = lmscore.class_code(used), class_paths(used)
     told = np.where((told >= 0) & (used[np.maximum(told, 0)] > 0), told, -1)
     f = lmscore.tokens_of((cls | known << lmscore.KNOWN).astype(np.int32), at, learn, told, code.often)
+    assert max(map(len, paths.values())) > lmscore.DEPTH and f.hit.any() and not f.hit.all()
     counts = lmscore.empty_counts(code)
     lmscore.count_tokens(f, code, counts)
     m = lmscore.model_of(counts, code)
