@@ -169,34 +169,53 @@ def count_words(column: pa.Array) -> np.ndarray:
 # ---------------------------------------------------------------- components
 
 
-def connected_components(edges: DataFrame, name: str = "cc", limit: int = 60) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` with the columns of ``groups``, which has one row a key and ``n``, how many of the ``total`` rows have it.
+
+    A key with more than one in 500 of all rows is broadcast (there are fewer than 500 of them), so that
+    its rows stay where they are; the others are dealt by key. A null key matches nothing.
+    """
+    most = max(100, total // 500)
+    hot = groups.where(F.col("n") > most).drop("n")
+    rest = groups.where(F.col("n") <= most).drop("n")
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest.hint("merge"), key)
+    return cold.unionByName(rows.join(F.broadcast(hot), key))
+
+
+def connected_components(edges: DataFrame, name: str = "cc", limit: int = 1_000) -> DataFrame:
     """(node, component) of every node of ``edges(a, b)``; component is the smallest node reachable.
 
     Alternating large-star and small-star steps (joins and minimum aggregates only): each
     rewires neighbours to the smallest neighbour, so the number of edges never grows, and
-    nothing but two counters reaches the driver. A node with very many neighbours is one
-    side of a sort-merge join, which adaptive execution splits.
+    nothing but two counters reaches the driver. Minima are taken before the shuffle, and
+    nodes with very many neighbours are broadcast, so none of them meets all its edges in
+    one task. Steps go on until nothing changes; more than ``limit`` of them (their number grows
+    with the logarithm of the longest path) are an error.
     """
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    def star(e: DataFrame, large: bool, total: int) -> DataFrame:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v"))
         if large:
             both = both.union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
         if large:  # neighbours above u move to the smallest of u and its neighbours
-            moved = both.where("v > u").join(low.hint("merge"), "u").select("v", "m")
+            moved = join_groups(both.where("v > u"), low, "u", 2 * total).select("v", "m")
         else:  # edges point from larger to smaller; u and its smaller neighbours move to their minimum
-            moved = both.join(low.hint("merge"), "u").select("v", "m").union(low.select(F.col("u").alias("v"), "m"))
+            moved = join_groups(both, low, "u", total).select("v", "m").union(low.select(F.col("u").alias("v"), "m"))
         return moved.where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
 
     e = edges.select("a", "b").where("a is not null and b is not null and a <> b")
     e = materialize(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    state = None
+    told = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    state = told(e)
     for _ in range(limit):
-        e = materialize(star(star(e, True), False), name)
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == state:
+        before, last = e, state
+        half = materialize(star(e, True, state[0]), name)
+        e = materialize(star(half, False, half.count()), name)
+        discard(before, half)
+        if (state := told(e)) == last:
             break
-        state = now
+    else:
+        raise RuntimeError(f"components did not settle in {limit} steps")
     return e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).unionByName(
         e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )

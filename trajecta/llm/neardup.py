@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, mix64, read_table, slices, word_hashes
+from .common import connected_components, join_groups, materialize, mix64, read_table, slices, word_hashes
 
 _U = np.uint64
 REGISTERS, ROWS = 120, 5  # registers by default, and in a band
@@ -221,8 +221,8 @@ def near_duplicate_rows(docs: DataFrame, k: int = 5, percent: int = 85, margin:
         sketched.where("node is not null").groupBy("node", "n_shingles", "regs", "bands").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("rep")), "classes"
     )
     members = materialize(classes.select("node", F.explode("bands").alias("key")), "bands")
-    shared = materialize(members.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi"), "buckets")
-    inside = materialize(members.join(shared.hint("merge"), "key"), "inside")  # only classes that share a bucket
+    shared = materialize(members.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).where("lo < hi"), "buckets")
+    inside = materialize(join_groups(members, shared, "key", members.count()), "inside")  # only classes that share a bucket
     stars = inside.where("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b")).union(
         inside.where("node <> lo and node <> hi").select(F.col("node").alias("a"), F.col("hi").alias("b"))
     )
@@ -257,9 +257,9 @@ def near_duplicate_rows(docs: DataFrame, k: int = 5, percent: int = 85, margin:
 
     now = materialize(labelled(inside.select("key", "node")), "now")
     open_keys = now.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(
-        F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("parts")
-    ).where("parts > 1")
-    unsettled = now.join(open_keys.hint("merge"), "key").groupBy("node", "comp").agg(F.max(F.col("comp") != F.col("main")).alias("late"))
+        F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("parts"), F.sum("c").alias("n")
+    ).where("parts > 1").drop("parts")
+    unsettled = join_groups(now, materialize(open_keys, "open"), "key", now.count()).groupBy("node", "comp").agg(F.max(F.col("comp") != F.col("main")).alias("late"))
     unsettled = materialize(unsettled.join(sets.hint("merge"), "node").select("node", "comp", "late", "hashes"), "unsettled")
     slots = unsettled.select("hashes").mapInArrow(_slot_counts, "part int, counts binary").groupBy("part").applyInPandas(
         lambda g: g.iloc[:1].assign(counts=[np.sum([np.frombuffer(x, np.int32) for x in g["counts"]], axis=0, dtype=np.int64).clip(max=2**31 - 1).astype(np.int32).tobytes()]),
@@ -283,8 +283,8 @@ def near_duplicate_rows(docs: DataFrame, k: int = 5, percent: int = 85, margin:
 
     named = classes.select("node", "rep").join(final.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = materialize(named, "named")
-    first = named.groupBy("component").agg(F.min("rep").alias("rep"))
-    label = named.select("node", "component").join(first.hint("merge"), "component").select("node", "rep")
+    first = materialize(named.groupBy("component").agg(F.min("rep").alias("rep"), F.count("*").alias("n")), "first")
+    label = join_groups(named.select("node", "component"), first, "component", named.count()).select("node", "rep")
     out = sketched.select("doc_id", "row", "n_shingles", "node").join(label.hint("merge"), "node", "left")
     own = F.col("doc_id").eqNullSafe(F.col("rep.doc_id")) & (F.col("row") == F.col("rep.row"))
     return out.select("doc_id", "row", "n_shingles", "node", F.col("rep.doc_id").alias("first_id"), (F.col("node").isNull() | own).alias("first"))

@@ -1,7 +1,8 @@
 """URL rules whose block decisions reach every alias of a page.
 
 Aliases are urls in one component of the graph of redirects and canonical links. Column
-functions and joins only: no Python runs on executors.
+functions and joins only: no Python runs on executors. While components are found, the md5 of
+a url stands for it.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, read_table
+from .common import connected_components, join_groups, materialize, read_table
 
 #: (rule, verdict); a rule is a host, a slash and the start of a path.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -54,7 +55,7 @@ def _attribute(tag: Column, name: str) -> Column:
 
 def alias_target(html: Column) -> tuple[Column, Column]:
     """Targets of a page's canonical link and of its meta refresh (empty without one)."""
-    html = F.coalesce(html, F.lit(""))
+    html = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<!--.*?-->|<(script|style|textarea)\b[^>]*+>.*?</\1\s*>", "")
     links = F.regexp_extract_all(html, F.lit(r"(?is)<link\b[^>]*+>"), F.lit(0))
     canonical = F.get(F.filter(links, lambda t: F.lower(_attribute(t, "rel")) == "canonical"), 0)
     metas = F.regexp_extract_all(html, F.lit(r"(?is)<meta\b[^>]*+>"), F.lit(0))
@@ -103,22 +104,27 @@ def filter_urls(pages: DataFrame, rules=RULES, redirects: DataFrame | None = Non
     A url with a rule of its own has that rule's verdict. Any other url takes the verdict of
     its aliases: allow if one of them is allowed by a rule (allow takes precedence), else
     block if one is blocked, else allow. Aliases outside the table count when a rule fits
-    them. A null url, or one without ``://``, has empty host and path and is allowed. Repeated rows
-    are all judged; other columns are ignored.
+    them. A null url, or one without ``://``, has empty host and path and is allowed. Of several
+    canonical links (or meta refreshes) the first counts; comments and scripts are not read as markup. The
+    whole html is searched, however long. Repeated rows are all judged; other columns are ignored.
     """
     pages = pages.select("page_id", "url", "html")
-    edges = materialize(link_edges(pages, redirects), "edges")
+    edges = link_edges(pages, redirects)
+    known = F.unhex(F.md5("url"))  # 128 bits stand for a url while components are found
+    edges = materialize(edges.select(F.unhex(F.md5("a")).alias("a"), F.unhex(F.md5("b")).alias("b"), F.col("a").alias("url_a"), F.col("b").alias("url_b")), "edges")
     comps = materialize(connected_components(edges), "aliases")
-    host, path = host_and_path(F.col("node"))
-    own = comps.select("component", verdict_of(matching_rule(host, path, rules), rules).alias("v"))
-    groups = own.groupBy("component").agg(F.max(F.col("v") == "allow").alias("allowed"), F.max(F.col("v") == "block").alias("blocked"))
-    told = comps.join(groups.hint("merge"), "component").select(
-        "node", F.when(F.col("allowed"), "allow").when(F.col("blocked"), "block").alias("told")
-    ).where("told is not null")
+    urls = edges.select(F.col("url_a").alias("url")).union(edges.select("url_b"))
+    host, path = host_and_path(F.col("url"))
+    ruled = urls.select(known.alias("node"), verdict_of(matching_rule(host, path, rules), rules).alias("v")).where("v is not null").distinct()
+    groups = comps.join(ruled.hint("merge"), "node", "left").groupBy("component").agg(
+        F.max(F.col("v") == "allow").alias("allowed"), F.max(F.col("v") == "block").alias("blocked"), F.count("*").alias("n")
+    )
+    groups = materialize(groups.select("component", "n", F.when(F.col("allowed"), "allow").when(F.col("blocked"), "block").alias("told")).where("told is not null"), "told")
+    told = join_groups(comps, groups, "component", comps.count()).select("node", "told")
     host, path = host_and_path(F.col("url"))
     judged = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
     judged = judged.withColumn("rule", matching_rule(F.col("host"), F.col("path"), rules))
-    judged = judged.join(told.hint("merge"), F.col("url") == F.col("node"), "left")
+    judged = judged.join(told.hint("merge"), known == F.col("node"), "left")
     verdict = F.coalesce(verdict_of(F.col("rule"), rules), "told", F.lit("allow"))
     return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"))
 
