@@ -467,7 +467,7 @@ def test_scores_match_plain_online_mixing(monkeypatch):
     told[told == lmscore.END] = -1
     used = np.bincount(cls[known > 0], minlength=lmscore.CLASSES + 3)
     cls[used[cls] == 0] = lmscore.END
-    code, paths = lmscore.class_code(used), class_paths(used)
+    code, paths = lmscore.class_code(3 * used), class_paths(3 * used)
     told = np.where((told >= 0) & (used[np.maximum(told, 0)] > 0), told, -1)
     f = lmscore.tokens_of((cls | known << lmscore.KNOWN).astype(np.int32), at, learn, told, code.often)
     assert max(map(len, paths.values())) > lmscore.DEPTH and f.hit.any() and not f.hit.all()
@@ -532,6 +532,18 @@ three&nbsp;four.<p>Five<br>six &lt;seven&gt;<script>x()</script></p><aside>Relat
     assert htmltext.extract(page.replace("article", "div"), model) == want
 
 
+def test_names_of_wrappers_and_open_boilerplate_keep_the_article():
+    body = "<h1>Title</h1>" + "<p>" + "some words of an article here. " * 12 + "</p>"
+    want = htmltext.extract(f"<article>{body}</article>", htmltext.DEFAULT)
+    assert len(want) > 300
+    for name in ("has-sidebar", "content with-sidebar", "no-comments", "article-header", "ad-free"):
+        for page in (f'<div class="{name}"><article>{body}</article></div>', f'<nav><a>m</a></nav><div class="{name}">{body}</div><footer>f</footer>'):
+            assert htmltext.extract(page, htmltext.DEFAULT) == want, (name, page[:60])
+    assert htmltext.extract(f"<nav><a>menu</a><article>{body}</article>", htmltext.DEFAULT) == want
+    assert htmltext.extract(f'<article>{body}<div class="comments"><p>Nice post!</p></div></article>', htmltext.DEFAULT) == want
+    assert htmltext.extract(f'<div>{body}</div><div class="comments">{"<p>Nice post, I do think so!</p>" * 60}</div>', htmltext.DEFAULT) == want
+
+
 def test_pages_match_their_marked_article(spark, sf_dir):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
     for r in htmltext.op9_extract_html(spark, sf_dir).collect():
@@ -567,6 +579,19 @@ def test_mixed_text_has_spans_and_odd_texts_a_result(spark):
     assert langid.identify(df.limit(0), model).count() == 0
 
 
+def test_texts_without_letters_many_languages_and_clashing_names(spark):
+    texts = ["🎉🎉 123", "。！", "！！", "× 3 ÷ 4", "12 – 5", "a", "中", "ﬁ", "Ω"]
+    train = spark.createDataFrame([(i, f"w{i:03d}q" * 3 + f" x{i:03d}z", f"l{i:03d}") for i in range(300)], "doc_id long, text string, lang string")
+    model = langid.fit(train)
+    rows = [(i, t, "x", 1.0, "y") for i, t in enumerate(texts)] + [(100 + i, f"w{i:03d}q" * 3 + f" x{i:03d}z", "x", 1.0, "y") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _lang_pred string, _score double, _spans string")
+    got = {r["doc_id"]: r for r in langid.identify(df, model).collect()}
+    assert [got[i]["_lang_pred"] == "und" for i in range(len(texts))] == [not any(c.isalpha() for c in t) for t in texts]
+    assert all(got[100 + i]["_lang_pred"] == f"l{i:03d}" for i in range(300))
+    assert "_spans" not in langid.identify(df, model).columns
+    assert langid.identify(df, model, spans=True).where("size(_spans) = 1").count() == len(rows)
+
+
 def test_viterbi_matches_brute_force():
     rng = np.random.default_rng(3)
     at = np.array([0, 7, 7, 12, 13])

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, slices
 
 SAMPLE = 2_000  # labelled pages that weights are learned from, at most
 
@@ -41,12 +41,46 @@ _MAIN = frozenset(("article", "main"))
 _CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
 
+_WHOLE = frozenset("html body article main".split())
+SHARE = 0.5  # an element with more of a page's words is no boilerplate by a part of its name
+
+
+def _hinted(page: str) -> set[int]:
+    """Starts of the elements that class, id or role name as boilerplate; if only a part of a name does, small ones."""
+    stack, found, words = [], set(), 0
+    for m in _TOKEN.finditer(page):
+        if m["text"] is not None:
+            words += len(m["text"].split())
+        elif m["tag"]:
+            tag = m["tag"].lower()
+            if m["end"]:
+                at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+                if at is not None:
+                    found.update(closed for closed in (_closed(x, words) for x in stack[at:]) if closed)
+                    del stack[at:]
+            elif tag in _WHOLE:
+                for x in stack:
+                    x[2] = False
+            if not m["end"] and tag not in _VOID and not m["attrs"].endswith("/"):
+                names = [v.strip("\"'") for v in _NAMED.findall(m["attrs"])] if tag not in _WHOLE else []
+                exact = any(_HINT.fullmatch(x) for v in names for x in v.split())
+                stack.append([tag, m.start(), 2 if exact else any(_HINT.search(v) for v in names), words])
+    found.update(closed for closed in (_closed(x, words) for x in stack) if closed)
+    return {start for start, size in found if size <= SHARE * words}
+
+
+def _closed(x: list, words: int) -> tuple[int, int] | None:
+    return (x[1], 0 if x[2] == 2 else words - x[3]) if x[2] else None
+
+
 def parse(page: str) -> list[tuple[str, str, bool, bool]]:
     """(feature, text, boilerplate, inside a marked article) of each tag and text run.
 
-    A tag's text is ``""`` (inline), ``" "`` (line break) or ``"\\n"`` (block border).
+    A tag's text is ``""`` (inline), ``" "`` (line break) or ``"\\n"`` (block border). A marked article
+    ends boilerplate that was left open before it.
     """
     out, stack = [], []  # stack: (element, boilerplate from here on, in a marked article)
+    hints = _hinted(page)
     for m in _TOKEN.finditer(page):
         boiler, main = stack[-1][1:] if stack else (False, False)
         if m["text"] is not None:
@@ -65,8 +99,11 @@ def parse(page: str) -> list[tuple[str, str, bool, bool]]:
                 if at is not None and all(x[0] in _INLINE for x in stack[at + 1 :]):
                     del stack[at:]
                     boiler, main = stack[-1][1:] if stack else (False, False)
-            hinted = any(_HINT.search(v.strip("\"'")) for v in _NAMED.findall(m["attrs"])) and tag not in ("html", "body", "article", "main")
-            boiler, main = boiler or tag in _BOILER or hinted, main or tag in _MAIN
+            if tag in _MAIN and boiler:
+                while stack and stack[-1][1]:
+                    stack.pop()
+                boiler, main = stack[-1][1:] if stack else (False, False)
+            boiler, main = boiler or tag in _BOILER or m.start() in hints, main or tag in _MAIN
             if tag not in _VOID and not m["attrs"].endswith("/"):
                 stack.append((tag, boiler, main))
             out.append((f"<{tag}", text, boiler, main))
@@ -102,7 +139,7 @@ def learn(pages: DataFrame, sample: int = SAMPLE) -> dict:
         return DEFAULT
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, column="html"):
             inside, outside = _counts(b.column("html").to_pylist())
             keys = sorted({*inside, *outside})
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([inside[k] for k in keys], pa.int64()), pa.array([outside[k] for k in keys], pa.int64())], names=["feature", "inside", "outside"])
@@ -148,11 +185,13 @@ def extract(page: str | None, model: dict) -> str:
 def extract_pages(pages: DataFrame, model: dict) -> DataFrame:
     """``page_id, url, text`` of every row of ``pages(page_id, url, html)``.
 
-    The whole page is read. A null or empty page, and one without running text, gives an
+    The whole page is read, however long. An element that its class, id or role names as boilerplate is left
+    out unless it holds a marked article; where only a part of the name says so (``has-sidebar``), also if it has more
+    than half of the page's words. A null or empty page, and one without running text, gives an
     empty text; markup may be cut off anywhere. Repeated rows are each extracted; other columns are ignored.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, column="html"):
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array([extract(x, model) for x in b.column("html").to_pylist()], pa.string())], names=["page_id", "url", "text"])
 
     return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string")

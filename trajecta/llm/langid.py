@@ -29,16 +29,18 @@ _SPACED = _LOWER.copy()
 _SPACED[[9, 10, 11, 12, 13]] = 32
 
 
+#: First code points of blocks whose letters are of one script: 1 Latin, 2 Greek, 3 Cyrillic, 4 Armenian, 5 Hebrew, 6 Arabic, 9 other, 10 East Asian.
+_BLOCKS = ((0x0000, 1), (0x0370, 2), (0x0400, 3), (0x0530, 4), (0x0590, 5), (0x0600, 6), (0x0780, 9), (0x1E00, 1), (0x1F00, 2), (0x2000, 9), (0x2E80, 10), (0xA000, 9), (0xAC00, 10), (0xD800, 9), (0xF900, 10), (0xFB00, 9), (0xFF00, 10), (0x10000, 9), (0x20000, 10), (0x32000, 9))
+
+
 def _scripts() -> np.ndarray:
-    """Script number by lead byte: 1 Latin, 2 Greek, 3 Cyrillic, 4 Armenian, 5 Hebrew, 6 Arabic, 9 other, 10 East Asian."""
-    s = np.zeros(256, dtype=np.uint8)
-    s[65:91] = s[97:123] = 1
-    for lo, hi, n in ((0xC3, 0xCA, 1), (0xCD, 0xCF, 2), (0xD0, 0xD4, 3), (0xD5, 0xD5, 4), (0xD6, 0xD7, 5), (0xD8, 0xDD, 6), (0xDE, 0xE1, 9), (0xE3, 0xED, 10), (0xEF, 0xF0, 9)):
-        s[lo : hi + 1] = n
-    return s
+    """Script number of every code point; 0: not a letter."""
+    letter = np.array([chr(c).isalpha() for c in range(0x110000)])
+    starts = np.array([c for c, _ in _BLOCKS])
+    return np.where(letter, np.array([n for _, n in _BLOCKS], np.uint8)[np.searchsorted(starts, np.arange(0x110000), side="right") - 1], 0).astype(np.uint8)
 
 
-_SCRIPT = _scripts()
+_SCRIPT: list[np.ndarray] = []  # made once a process
 
 
 @dataclass
@@ -57,10 +59,19 @@ def _features(data: np.ndarray) -> np.ndarray:
 
 
 def _script_bytes(data: np.ndarray) -> np.ndarray:
-    s = _SCRIPT[data]
-    latin = np.flatnonzero(data[:-1] == 0xE1)  # Latin Extended Additional is U+1E00 to U+1EFF
-    s[latin[(data[latin + 1] >= 0xB8) & (data[latin + 1] <= 0xBB)]] = 1
-    return s
+    """Script of the letter that starts at each byte of UTF-8 text; 0 elsewhere."""
+    if not _SCRIPT:
+        _SCRIPT.append(_scripts())
+    out = _SCRIPT[0][np.where(data < 0x80, data, 0)]
+    out[data >= 0x80] = 0
+    for lo, hi, more in ((0xC0, 0xE0, 1), (0xE0, 0xF0, 2), (0xF0, 0xF8, 3)):
+        at = np.flatnonzero((data >= lo) & (data < hi))
+        at = at[at + more < len(data)]
+        point = data[at].astype(np.int64) & ((1 << (6 - more)) - 1)
+        for k in range(1, more + 1):
+            point = point << 6 | data[at + k].astype(np.int64) & 63
+        out[at] = _SCRIPT[0][np.minimum(point, 0x10FFFF)]
+    return out
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +121,7 @@ def word_scores(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, m: Model
     i, n = 0, len(starts)
     while i < n:
         lo = int(starts[i])
-        j = max(i + 1, int(np.searchsorted(ends, lo + (1 << 19), side="right")))
+        j = max(i + 1, int(np.searchsorted(ends, lo + (1 << 22) // max(8, len(m.langs)), side="right")))
         hi = min(int(ends[j - 1]) + 1, len(data))
         piece = data[lo:hi] if hi > ends[j - 1] else np.append(data[lo:hi], np.uint8(32))
         sums = np.zeros((len(piece) + 1, out.shape[1]))
@@ -127,7 +138,7 @@ def word_scores(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, m: Model
 
 def viterbi(scores: np.ndarray, at: np.ndarray, switch: float) -> np.ndarray:
     """Best label of each word; ``at`` has the word offsets (n+1) of the rows."""
-    label = np.zeros(len(scores), dtype=np.uint8)
+    label = np.zeros(len(scores), dtype=np.int32)
     size = np.diff(at)
     order = np.argsort(-size, kind="stable")
     order = order[size[order] > 0]
@@ -135,7 +146,7 @@ def viterbi(scores: np.ndarray, at: np.ndarray, switch: float) -> np.ndarray:
         return label
     first, size = at[order].astype(np.int64), size[order]
     alive = np.searchsorted(-size, -np.arange(1, size[0] + 1), side="right")  # rows with more than t words
-    moved, best = np.zeros(scores.shape, dtype=bool), np.zeros(len(scores), dtype=np.uint8)
+    moved, best = np.zeros(scores.shape, dtype=bool), np.zeros(len(scores), dtype=np.int32)
     v = scores[first].astype(np.float64)
     for t in range(1, size[0]):
         n = alive[t]
@@ -154,7 +165,7 @@ def viterbi(scores: np.ndarray, at: np.ndarray, switch: float) -> np.ndarray:
     return label
 
 
-def _label(model, spans: bool):
+def _label(model, spans: bool, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
         for b in slices(batches, 8 << 20):
@@ -168,41 +179,44 @@ def _label(model, spans: bool):
                 row = np.repeat(np.arange(n), np.diff(at))
                 weight = np.bincount(row * len(m.langs) + label, weights=(script > 0).astype(float), minlength=n * len(m.langs)).reshape(n, -1)
             else:
-                label, weight = np.zeros(len(starts), np.uint8), np.zeros((n, max(1, len(m.langs))))
+                label, weight = np.zeros(len(starts), np.int32), np.zeros((n, max(1, len(m.langs))))
             total = weight.sum(axis=1)
             pred, share = weight.argmax(axis=1), weight.max(axis=1) / np.maximum(total, 1)
-            names, score, parts = [], [], []
+            told, score, parts = [], [], []
             for i in range(n):
                 known = bool(m.langs) and total[i] > 0
-                if not known and m.langs and rows[i + 1] > rows[i] and any(c.isalpha() for c in column[i].as_py()):
-                    known, share[i] = True, 0.0  # letters of scripts that have no range here
-                names.append(m.langs[pred[i]] if known else "und")
+                told.append(m.langs[pred[i]] if known else "und")
                 score.append(float(share[i]) if known else 0.0)
                 if spans:
                     own = label[at[i] : at[i + 1]]
                     cut = np.flatnonzero(np.diff(own)) + 1
                     parts.append([{"first": int(x), "last": int(y), "lang": m.langs[own[x]] if m.langs else "und"} for x, y in zip([0, *cut], [*cut, len(own)], strict=True) if y > x])
-            new = [pa.array(names, pa.string()), pa.array(score, pa.float64())]
-            fields = ["_lang_pred", "_score"]
+            new = [pa.array(told, pa.string()), pa.array(score, pa.float64())]
             if spans:
                 new.append(pa.array(parts, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("lang", pa.string())]))))
-                fields.append("_spans")
-            yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, *fields])
+            kept = [c for c, x in zip(b.columns, b.schema.names, strict=True) if x not in RESULT]
+            yield pa.RecordBatch.from_arrays([*kept, *new], names=names)
 
     return run
 
 
+RESULT = ("_lang_pred", "_score", "_spans")
+
+
 def identify(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
     """``docs`` with ``_lang_pred`` and ``_score`` (0 to 1), the share of words with letters in that language.
 
     With ``spans``, ``_spans`` lists the runs of words (numbers, end exclusive) and their
-    languages. A null text or one without a letter is ``und`` with score 0; so is every text
-    if nothing was learned. Only ``text`` is read; other columns pass through.
+    languages. A null text or one without a letter (by code point) is ``und`` with score 0; so is every text
+    if nothing was learned. Ties go to the language that sorts first. Whole texts are read, however long;
+    repeated rows are each labelled. Only ``text`` is read; other columns pass
+    through, but columns that have the name of a result are replaced.
     """
     broadcast = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size for each language
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    extra = ", _spans array<struct<first:bigint,last:bigint,lang:string>>" if spans else ""
-    return docs.mapInArrow(_label(broadcast, spans), f"{kinds}, _lang_pred string, _score double{extra}")
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name not in RESULT]
+    new = ["_lang_pred string", "_score double", *(["_spans array<struct<first:bigint,last:bigint,lang:string>>"] if spans else [])]
+    names = [*[f.name for f in docs.schema.fields if f.name not in RESULT], *RESULT[: len(new)]]
+    return docs.mapInArrow(_label(broadcast, spans, names), ", ".join([*kinds, *new]))
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
