@@ -7,6 +7,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trajecta.operators.windows import global_prefix
+
 
 def zscore(df: DataFrame, cols: list[str], by: list[str] | None = None, ddof: int = 0, zero_sd: float | None = 0.0, eps: float = 0.0) -> DataFrame:
     """Standardised columns ``<col>_z``.
@@ -67,16 +69,47 @@ def correlations(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.agg(F.array(*[r(a, b) for a, b in combinations(cols, 2)]).alias("_r")).select(F.inline("_r"))
 
 
+def quantiles(df: DataFrame, value: str, shares: list[float], by: list[str] | None = None) -> DataFrame:
+    """``q``: the exact quantiles (linear between neighbours) of all rows or of each group, as an array; nulls are left out.
+
+    Values are counted, and ranked by prefix sums over range partitions; two rows a quantile are read
+    there, so no task holds all values. A group without values has no row.
+    """
+    by = by or []
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    ranked = global_prefix(counts, [*by, "_v"], "_c", "_before")
+    ranked = ranked.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)], "_v", "_c", "_before")
+    sizes = ranked.groupBy(*[f"_k{i}" for i in range(len(by))]).agg(F.sum("_c").alias("_n"), F.min("_before").alias("_first"))
+    keys = [f"_k{i}" for i in range(len(by))]
+    if by:
+        same = F.lit(True)
+        sizes = sizes.select(*[F.col(k).alias(f"{k}s") for k in keys], "_n", "_first")
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"{k}s"))
+        rows = ranked.join(sizes.hint("shuffle_hash"), same)
+    else:
+        rows = ranked.crossJoin(F.broadcast(sizes))  # one row
+    lo, hi = F.col("_before") - F.col("_first"), F.col("_before") - F.col("_first") + F.col("_c")
+
+    def at(share: float) -> Column:
+        spot = share * (F.col("_n") - 1)
+        low, high = (F.max(F.when((lo <= x) & (x < hi), F.col("_v"))) for x in (F.floor(spot), F.ceil(spot)))
+        part = F.max(spot - F.floor(spot))
+        return low + part * (high - low)
+
+    return rows.groupBy(*[F.col(k).alias(name) for k, name in zip(keys, by, strict=True)]).agg(F.array(*[at(x) for x in shares]).alias("q"))
+
+
 def decile_contrast(df: DataFrame, value: str, flag: str) -> DataFrame:
     """Rate of the flag at or below the first decile and at or above the last, by exact quantiles."""
-    cuts = df.agg(F.percentile(value, F.array(F.lit(0.1), F.lit(0.9))).alias("_c"))
+    cuts = quantiles(df, value, [0.1, 0.9])
     rate = lambda c: F.avg(F.when(c, F.col(flag).cast("double")))
-    return df.crossJoin(F.broadcast(cuts)).agg(rate(F.col(value) <= F.col("_c")[0]).alias("bottom"), rate(F.col(value) >= F.col("_c")[1]).alias("top"))  # one row
+    return df.crossJoin(F.broadcast(cuts)).agg(rate(F.col(value) <= F.col("q")[0]).alias("bottom"), rate(F.col(value) >= F.col("q")[1]).alias("top"))  # one row
 
 
 def median_split(df: DataFrame, value: str, out: str) -> DataFrame:
     """Whether a value lies above the exact median."""
-    cut = df.agg(F.percentile(value, 0.5).alias("_m"))
+    cut = quantiles(df, value, [0.5]).select(F.col("q")[0].alias("_m"))
     return df.crossJoin(F.broadcast(cut)).withColumn(out, F.col(value) > F.col("_m")).drop("_m")  # one row
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
@@ -12,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajecta.functions import vectors as V
+from trajecta.operators.aggregates import quantiles
 
 
 def squared_distances(vec: Column, centroids: np.ndarray) -> Column:
@@ -33,8 +32,8 @@ def nearest(distances: Column) -> Column:
 
 def bandwidth(df: DataFrame, distances: str, by: list[str] | None = None) -> DataFrame:
     """``sigma``: the exact median distance to the nearest centroid, of all rows or of each group."""
-    median = F.percentile(F.sqrt(F.array_min(distances)), 0.5).alias("sigma")
-    return df.groupBy(*by).agg(median) if by else df.agg(median)
+    rows = df.select(*(by or []), F.sqrt(F.array_min(distances)).alias("_d"))
+    return quantiles(rows, "_d", [0.5], by).select(*(by or []), F.col("q")[0].alias("sigma"))
 
 
 def soft_assign(distances: Column, sigma: Column) -> Column:
@@ -79,47 +78,42 @@ def held_out(df: DataFrame, fold: str, vec: str, k: int, restarts: int = 1, seed
     return out
 
 
-def flow_neighbors(queries: DataFrame, corpus: DataFrame, n: int, block: int = 2000) -> DataFrame:
+def flow_neighbors(queries: DataFrame, corpus: DataFrame, n: int, block: int = 4096, piece: int = 16_384) -> DataFrame:
     """``query_id, vec_id, distance, rank``: the exact n nearest corpus rows from other groups.
 
-    ``queries`` and ``corpus`` have ``id, grp, vec``. Queries come in blocks (a bounded
-    broadcast each); every partition of the corpus keeps its n nearest for each query, and a
-    ranking of those gives the result, so what is shuffled is n rows for each query and task.
+    ``queries`` and ``corpus`` have ``id, grp, vec``. Both are dealt to blocks; every pair of a query block
+    and a corpus piece is one group that keeps its n nearest for each query, and a ranking
+    of those gives the result. No vector reaches the driver, and no task holds more than a block of each.
     """
-    spark = queries.sparkSession
-    total = queries.count()
-    blocks = max(1, -(-total // block))
-    dealt = queries.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    out = None
-    for b in range(blocks):
-        own = dealt.where(F.col("_b") == b).select("id", "grp", "vec").toPandas()
-        if not len(own):
-            continue
-        shared = spark.sparkContext.broadcast((own["id"].to_numpy(), own["grp"].to_numpy(), np.array(own["vec"].tolist(), dtype=float)))
-
-        def near(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, groups, q = shared.value
-            found: list[list[tuple[float, int]]] = [[] for _ in ids]
-            for f in frames:
-                if not len(f):
-                    continue
-                x, fid, fg = np.array(f["vec"].tolist(), dtype=float), f["id"].to_numpy(), f["grp"].to_numpy()
-                qq, xx = (q * q).sum(1), (x * x).sum(1)
-                d = np.maximum(qq[:, None] + xx[None] - 2 * q @ x.T, 0)
-                for i in range(len(ids)):
-                    other = np.flatnonzero(fg != groups[i])
-                    close = other
-                    if len(other) > 4 * n:  # all that may be as near as the n-th; d is rounded
-                        cut = np.partition(d[i, other], n - 1)[n - 1]
-                        close = other[~(d[i, other] > cut + 1e-9 * (qq[i] + xx[other] + cut))]
-                    exact = np.sqrt(((x[close] - q[i]) ** 2).sum(1))
-                    found[i] = sorted([*found[i], *zip(exact.tolist(), fid[close].tolist(), strict=True)])[:n]
-            yield pd.DataFrame([(a, v, d) for a, own in zip(ids, found, strict=True) for d, v in own], columns=["query_id", "vec_id", "distance"])
-
-        part = corpus.select("id", "grp", "vec").mapInPandas(near, "query_id long, vec_id long, distance double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], "query_id long, vec_id long, distance double, rank int")
+    def dealt(df: DataFrame, size: int) -> tuple[DataFrame, int]:
+        parts = max(1, -(-df.count() // size))
+        return df.select("id", "grp", "vec", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part")), parts
+
+    (q, blocks), (x, pieces) = dealt(queries, block), dealt(corpus, piece)
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = q.withColumnRenamed("part", "b").withColumn("p", spread(pieces))
+    x = x.withColumnRenamed("part", "p").withColumn("b", spread(blocks))
+
+    def near(_key, asked: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(asked) and len(own):
+            v, ids, groups = np.array(own["vec"].tolist(), dtype=float), own["id"].to_numpy(), own["grp"].to_numpy()
+            vv = (v * v).sum(1)
+            for at in range(0, len(asked), 256):
+                f = asked.iloc[at : at + 256]
+                u = np.array(f["vec"].tolist(), dtype=float)
+                uu = (u * u).sum(1)
+                rough = np.maximum(uu[:, None] + vv[None] - 2 * u @ v.T, 0)
+                rough[f["grp"].to_numpy()[:, None] == groups[None]] = np.inf
+                cut = np.partition(rough, min(n, len(v)) - 1, axis=1)[:, min(n, len(v)) - 1]
+                for i, name in enumerate(f["id"]):  # all that may be as near as the n-th; rough distances are rounded
+                    close = np.flatnonzero(np.isfinite(rough[i]) & ~(rough[i] > cut[i] + 1e-9 * (uu[i] + vv + cut[i])))
+                    exact = np.sqrt(((v[close] - u[i]) ** 2).sum(1))
+                    order = np.lexsort((ids[close], exact))[:n]
+                    found += zip([name] * len(order), ids[close][order].tolist(), exact[order].tolist(), strict=True)
+        return pd.DataFrame(found, columns=["query_id", "vec_id", "distance"]).astype({"query_id": "int64", "vec_id": "int64", "distance": "float64"})
+
+    out = q.groupBy("b", "p").cogroup(x.groupBy("b", "p")).applyInPandas(near, "query_id long, vec_id long, distance double")
     w = Window.partitionBy("query_id").orderBy("distance", "vec_id")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 

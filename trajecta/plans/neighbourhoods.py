@@ -87,7 +87,7 @@ def nbhd_bandwidth(spark, d):
     seq = sequences(spark, d)
     rows = seq.withColumn("distances", N.squared_distances(F.col("v"), given_centroids(seq)))
     sizes = rows.groupBy("seq_id").agg(F.count("*").alias("n"))
-    return N.bandwidth(rows, "distances", ["seq_id"]).join(sizes, "seq_id").select("seq_id", "n", rounded("sigma").alias("sigma"))
+    return N.bandwidth(rows, "distances", ["seq_id"]).join(sizes.hint("merge"), "seq_id").select("seq_id", "n", rounded("sigma").alias("sigma"))
 
 
 @query(f"""WITH {SEQ}, u AS (SELECT seq_id, pos // 5 AS blk, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM s),
@@ -136,7 +136,7 @@ def prediction_gap(spark, d):
     return flow(spark, d).select("vec_id", rounded(V.v_norm(V.v_sub(T.predicted(3), guess_))).alias("gap"))
 
 
-PAIRED = f"""WITH {SEQ}, t AS (SELECT seq_id, pos AS target FROM s WHERE pos % 10 = 0),
+PAIRED = f"""WITH {SEQ}, t AS (SELECT seq_id, pos AS target FROM s),
 p AS (SELECT t.seq_id, t.target, s.pos - t.target AS lag, s.v AS a, list_transform(generate_series(1, len(s.v)), lambda i: s.v[i] * CASE WHEN (i - 1) % 2 = 0 THEN 0.9 ELSE 1.0 END) AS b
 FROM t JOIN s ON s.seq_id = t.seq_id AND s.pos BETWEEN t.target + 1 AND t.target + 5)"""
 
@@ -144,7 +144,7 @@ FROM t JOIN s ON s.seq_id = t.seq_id AND s.pos BETWEEN t.target + 1 AND t.target
 def state_pairs(spark, d: str) -> DataFrame:
     """seq_id, target, lag 1..5, the full state a and the perturbed one b."""
     seq = sequences(spark, d)
-    targets = seq.where("pos % 10 = 0").select("seq_id", F.col("pos").alias("target"), F.explode(F.sequence(F.lit(1), F.lit(5))).alias("lag"))
+    targets = seq.select("seq_id", F.col("pos").alias("target"), F.explode(F.sequence(F.lit(1), F.lit(5))).alias("lag"))
     targets = targets.withColumn("pos", F.col("target") + F.col("lag"))
     full = seq.select("seq_id", "pos", F.col("v").alias("a"))
     changed = seq.select("seq_id", "pos", F.transform("v", lambda x, i: x * F.when(i % 2 == 0, 0.9).otherwise(1.0)).alias("b"))
