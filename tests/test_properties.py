@@ -229,7 +229,8 @@ def test_streams_align_by_length(spark):
 
 def test_text_rules(spark):
     df = spark.createDataFrame([("ﬁ “a” – b",)], "t string")
-    assert df.select(X.fold_chars(F.col("t"))).first()[0] == 'fi"a"-b'
+    assert df.select(X.fold_chars(F.col("t"))).first()[0] == "fi'a'-b"
+    assert df.select(X.label_share(F.lit("""['a', "b's", 'a', 'c\\'d']"""), "a").alias("s"), X.label_fractions(F.lit("""["b's", 'a']"""), "b's").alias("f")).first() == (0.5, (2, 0.5))
     row = spark.createDataFrame([("['noEvent', 'minor', 'noEvent', 'major']", "x", "-LRB-")], "l string, n string, w string").select(X.label_fractions(F.col("l"), "noEvent").alias("f"), X.coerce01(F.col("n")).alias("z"), X.map_tokens(F.col("w")).alias("w")).first()
     assert (row["f"]["n"], row["f"]["share"], row["z"], row["w"]) == (4, 0.5, 0.0, "(")
 

@@ -11,15 +11,15 @@ from pyspark.sql.types import StringType
 
 #: Words that connect sentences.
 CONNECTIVES = (
-    "and", "but", "so", "because", "then", "when", "while", "after", "before", "although", "though", "since", "until", "however",
-    "therefore", "thus", "meanwhile", "still", "yet", "or", "nor", "if", "unless", "whereas", "instead", "finally", "next",
+    "but", "however", "then", "meanwhile", "later", "suddenly", "afterwards", "finally", "eventually", "moreover", "instead", "nevertheless", "next",
+    "soon", "now", "once", "still", "yet", "though", "although", "because", "so", "thus", "therefore", "anyway", "besides", "afterward",
 )
-#: Bracket tokens of treebanks and what they stand for.
-BRACKETS = {"-LRB-": "(", "-RRB-": ")", "-LSB-": "[", "-RSB-": "]", "-LCB-": "{", "-RCB-": "}"}
+#: Bracket, quote and empty tokens of treebanks and what they stand for.
+BRACKETS = {"-LRB-": "(", "-RRB-": ")", "-LCB-": "{", "-RCB-": "}", "-LSB-": "[", "-RSB-": "]", "``": "'", "''": "'", "`": "'", '"': "'", "-NONE-": ""}
 #: What each cleaning rule deletes, and whether it lower-cases.
 CLEANING = {"letters": ("[^A-Za-z']", False), "alnum": ("[^A-Za-z0-9']", True), "lower": ("[^a-z]", True)}
-#: Quotes and dashes folded to their ASCII forms.
-FOLDED = {"‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "-"}
+#: Quotes and dashes folded to one ASCII form, the pair of straight quotes first.
+FOLDED = {"''": "'", "‘": "'", "’": "'", "“": "'", "”": "'", "`": "'", "—": "-", "–": "-"}
 
 
 def squash_ws(c: Column) -> Column:
@@ -53,7 +53,7 @@ def _nfkc(s: pd.Series) -> pd.Series:
 
 
 def fold_chars(c: Column) -> Column:
-    """NFKC, quotes and dashes folded to ASCII, no white space."""
+    """NFKC, quotes folded to ``'`` and dashes to ``-``, no white space."""
     out = _nfkc(c)
     for a, b in FOLDED.items():
         out = F.replace(out, F.lit(a), F.lit(b))
@@ -66,12 +66,23 @@ def id_part(c: Column, i: int) -> Column:
 
 
 def label_fractions(c: Column, none: str) -> Column:
-    """struct(n, share other than ``none``) of a list written like ``['a', 'b']``."""
-    labels = F.regexp_extract_all(c, F.lit(r"'([^']*)'"), F.lit(1))
+    """struct(n, share other than ``none``) of a list written like ``['a', "b's"]``, in either kind of quotes."""
+    labels = _labels(c)
     other = F.size(F.filter(labels, lambda x: x != none))
     return F.struct(F.size(labels).alias("n"), F.try_divide(other, F.size(labels)).alias("share"))
 
 
+def label_share(c: Column, label: str) -> Column:
+    """Share of one label in such a list; null for an empty list."""
+    labels = _labels(c)
+    return F.try_divide(F.size(F.filter(labels, lambda x: x == label)), F.size(labels))
+
+
+def _labels(c: Column) -> Column:
+    quoted = F.regexp_extract_all(c, F.lit(r"""'((?:[^'\\]|\\.)*)'|"((?:[^"\\]|\\.)*)\""""), F.lit(0))
+    return F.transform(quoted, lambda x: F.regexp_replace(F.substring(x, F.lit(2), F.length(x) - 2), r"\\(.)", "$1"))
+
+
 def coerce01(c: Column) -> Column:
     """Text as a number in 0..1; anything else is 0."""
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(c.try_cast("double"), F.lit(0.0))))
