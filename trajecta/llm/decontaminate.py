@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, hash_spans, mix64, read_table, slices, text_bytes, word_spans
+from .common import _LOWER, hash_spans, materialize, mix64, read_table, slices, text_bytes, word_spans
 
 _U = np.uint64
 K1, B = 1.2, 0.75
@@ -75,13 +75,41 @@ class Index:
     answer: list[np.ndarray]  # by item, whether a shingle ends in the answer
 
 
-def build_index(rows: list[tuple[int, str]], window: int) -> Index:
+@dataclass
+class Facts:
+    """What BM25 needs of all test items: their number, mean length, and how many hold each term (sorted hashes)."""
+
+    items: int
+    mean: float
+    term: np.ndarray
+    df: np.ndarray
+
+
+def facts_of(items: DataFrame) -> tuple[int, float, DataFrame]:
+    """Number of items, their mean length in terms, and (term, df) of all items, counted by Spark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            h, at = terms(b.column("text"))
+            row = np.repeat(np.arange(b.num_rows), np.diff(at))
+            order = np.lexsort((h, row))
+            h, row = h[order], row[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(h[new].view(np.int64), 0)), pa.array(np.append(np.ones(new.sum(), np.int64), 0)), pa.array(np.append(np.zeros(new.sum(), np.int64), len(h)))], names=["term", "n", "length"])
+
+    each = materialize(items.select("text").mapInArrow(run, "term long, n long, length long"), "terms")
+    size = each.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    return (n := items.count()), max(1.0, size / max(1, n)), materialize(each.where("n > 0").groupBy("term").agg(F.sum("n").alias("df")), "df")
+
+
+def build_index(rows: list[tuple[int, str]], window: int, facts: Facts) -> Index:
     h, at = terms(pa.array([t for _, t in rows], pa.string()))
     vocab, ids = np.unique(h, return_inverse=True)
     per = [np.unique(ids[lo:hi], return_counts=True) for lo, hi in zip(at[:-1], at[1:], strict=True)]
-    df = np.bincount(np.concatenate([t for t, _ in per]), minlength=len(vocab))
-    idf = np.log(1 + (len(rows) - df + 0.5) / (df + 0.5))
-    mean = max(1.0, len(h) / len(rows))
+    df = facts.df[np.searchsorted(facts.term, vocab)]
+    idf = np.log(1 + (facts.items - df + 0.5) / (df + 0.5))
+    mean = facts.mean
     impact, looked, rest = [], [], []
     for i, (t, tf) in enumerate(per):
         w = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * (at[i + 1] - at[i]) / mean))
@@ -115,14 +143,24 @@ def build_index(rows: list[tuple[int, str]], window: int) -> Index:
     )
 
 
-def build_indexes(rows: list[tuple[int, str]]) -> list[Index]:
-    """One index for each length class of items, so that no passage is much longer than its items."""
-    size = np.diff(terms(pa.array([t for _, t in rows], pa.string()))[1])
+def build_indexes(rows: list[tuple[int, str]], facts: Facts) -> tuple[list[Index], dict[int, list[int]]]:
+    """An index for each length class of items, so that no passage is much longer than its items, and short items by their hash."""
+    h, at = terms(pa.array([t for _, t in rows], pa.string()))
     classes: dict[int, list] = {}
-    for row, n in zip(rows, size, strict=True):
-        if n >= SHINGLE:
-            classes.setdefault(64 << max(0, 2 * -(-(int(n) - 1).bit_length() // 2) - 6), []).append(row)
-    return [build_index(own, 2 * longest) for longest, own in sorted(classes.items())]
+    short: dict[int, list[int]] = {}
+    for row, lo, hi in zip(rows, at[:-1], at[1:], strict=True):
+        if hi - lo >= SHINGLE:
+            classes.setdefault(64 << max(0, 2 * -(-(int(hi - lo) - 1).bit_length() // 2) - 6), []).append(row)
+        elif hi > lo:
+            short.setdefault(_whole(h[lo:hi]), []).append(row[0])
+    return [build_index(own, 2 * longest, facts) for longest, own in sorted(classes.items())], short
+
+
+def _whole(h: np.ndarray) -> int:
+    acc = np.full(1, len(h), np.uint64)
+    for x in h:
+        acc = mix64(acc * _U(31) + x)
+    return int(acc[0])
 
 
 def _candidates(x: Index, ids: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -149,11 +187,14 @@ def _candidates(x: Index, ids: np.ndarray, row: np.ndarray, at: np.ndarray) -> n
     return np.stack([key // len(x.rest), key % len(x.rest)], axis=1)
 
 
-def _match(column: pa.Array, indexes: list[Index]) -> list[tuple]:
+def _match(column: pa.Array, indexes: list[Index], short: dict[int, list[int]]) -> list[tuple]:
     """(row, item, score, question overlap, answer overlap) of each verified hit."""
     h, at = terms(column)
     row = np.repeat(np.arange(len(at) - 1), np.diff(at))
     best: dict[tuple[int, int], tuple] = {}
+    for i in np.flatnonzero((np.diff(at) > 0) & (np.diff(at) < SHINGLE)) if short else ():
+        for item in short.get(_whole(h[at[i] : at[i + 1]]), ()):
+            best[int(i), item] = (1.0, 1.0, 1.0)
     for x in indexes:
         ids = np.full(len(h), -1, dtype=np.int64)
         maybe = np.flatnonzero(x.known[(h >> _U(48)).astype(np.int64)])
@@ -182,23 +223,32 @@ def find_benchmark_text(docs: DataFrame, benchmark: DataFrame, index_bytes: int
     """``doc_id, item_id, score, question_overlap, answer_overlap`` of test items found in documents.
 
     Passages cover every whole text, so an item that a document holds is wholly inside one.
-    Null and empty texts, and items of fewer than five words, match nothing; repeated rows
-    are each reported; columns other than ``keys``, which name a row, are ignored. The index is broadcast and holds at most
+    Null and empty texts match nothing, and an item of fewer than five words only a document that is that item as a whole.
+    Scores at the threshold count; of several passages with an item the best counts (ties: the same values). Term weights come from all items, whatever
+    passes they are dealt to. Repeated rows are each reported; columns other than ``keys``, which name a row, are ignored. The index is broadcast and holds at most
     ``index_bytes`` of item text: a larger benchmark is dealt to several passes over the documents.
     """
     spark = docs.sparkSession
     items = benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     passes = max(1, -(-size // index_bytes))
+    n, mean, df = facts_of(items)
     out = None
     for i in range(passes):
         own = items if passes == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == i)
         rows = sorted((r["item_id"], r["text"]) for r in own.collect())  # bounded by index_bytes
-        shared = spark.sparkContext.broadcast(build_indexes(rows))
+        held = np.unique(terms(pa.array([t for _, t in rows], pa.string()))[0]).view(np.int64)
+        if passes == 1:
+            counted = df.collect()
+        else:  # the terms of this pass only
+            mine = spark.createDataFrame([(int(x),) for x in held], "term long")
+            counted = df.join(mine.hint("merge"), "term", "left_semi").collect()
+        pairs = np.array(sorted((r["term"] % 2**64, r["df"]) for r in counted), dtype=np.uint64).reshape(-1, 2)
+        shared = spark.sparkContext.broadcast(build_indexes(rows, Facts(n, mean, pairs[:, 0], pairs[:, 1].astype(np.int64))))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in slices(batches):
-                hits = _match(b.column("text"), shared.value)
+                hits = _match(b.column("text"), *shared.value)
                 cols = list(zip(*hits, strict=True)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays(
                     [*[b.column(k).take(pa.array(cols[0], pa.int64())) for k in keys], pa.array(cols[1], pa.int64()), *[pa.array(c, pa.float64()) for c in cols[2:]]],

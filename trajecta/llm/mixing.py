@@ -129,13 +129,16 @@ def _slots(spark, plan: pd.DataFrame, block: int, shard: int, seed: int) -> Data
         for b in batches:
             for s in b["id"]:
                 n = np.random.default_rng([seed, int(s)]).multinomial(min(shard, total - int(s) * shard), chances)
-                yield pd.DataFrame({"sid": sids, "shard": int(s), "drawn": n, "quota": quota})
+                on = np.flatnonzero(n)
+                yield pd.DataFrame({"sid": sids[on], "shard": int(s), "drawn": n[on], "quota": quota[on]})
 
     drawn = spark.range(shards).mapInPandas(draw, "sid int, shard long, drawn long, quota long")
+    undrawn = spark.createDataFrame([(int(i), 0, 0, int(x)) for i, x in zip(sids, quota, strict=True)], "sid int, shard long, drawn long, quota long")
+    drawn = drawn.union(undrawn)  # a source that no shard drew has a row too
     order = Window.partitionBy("sid").orderBy("shard")
     runs = drawn.withColumn("upto", F.sum("drawn").over(order)).withColumn("next", F.lead("shard").over(order))
     runs = runs.withColumn("first", F.col("upto") - F.col("drawn"))
-    settle = runs.where("next is null and upto < quota").select("sid", (F.col("shard") + 1).alias("shard"), F.col("upto").alias("first"), F.col("quota").alias("upto"))
+    settle = runs.where("next is null and upto < quota").select("sid", F.lit(shards).cast("long").alias("shard"), F.col("upto").alias("first"), F.col("quota").alias("upto"))
     runs = runs.where("first < quota").select("sid", "shard", "first", F.least("upto", "quota").alias("upto")).unionByName(settle)
     each = runs.where("first < upto").select("sid", "shard", F.explode(F.sequence(F.col("first"), F.col("upto") - 1)).alias("k"))
     facts = {r.sid: (int(r.blocks), int(r.slots), int(r.size), int(r.last)) for r in plan.itertuples()}
