@@ -173,13 +173,15 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, total: int) -> Dat
     """``rows`` with the columns of ``groups``, which has one row a key and ``n``, how many of the ``total`` rows have it.
 
     A key with more than one in 500 of all rows is broadcast (there are fewer than 500 of them), so that
-    its rows stay where they are; the others are dealt by key. A null key matches nothing.
+    its rows stay where they are; the others are dealt by key. A null key matches nothing, and the other
+    columns of ``groups`` hold no nulls. With one such column, both uses of the broadcast share one table.
     """
     most = max(100, total // 500)
-    hot = groups.where(F.col("n") > most).drop("n")
+    told = next(c for c in groups.columns if c not in (key, "n"))
+    hot = F.broadcast(groups.where(F.col("n") > most).drop("n"))
     rest = groups.where(F.col("n") <= most).drop("n")
-    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest.hint("merge"), key)
-    return cold.unionByName(rows.join(F.broadcast(hot), key))
+    cold = rows.join(hot, key, "left").where(F.col(told).isNull()).select(rows.columns).join(rest.hint("merge"), key)
+    return cold.unionByName(rows.join(hot, key))
 
 
 def connected_components(edges: DataFrame, name: str = "cc", limit: int = 1_000) -> DataFrame:
@@ -189,8 +191,9 @@ def connected_components(edges: DataFrame, name: str = "cc", limit: int = 1_000)
     rewires neighbours to the smallest neighbour, so the number of edges never grows, and
     nothing but two counters reaches the driver. Minima are taken before the shuffle, and
     nodes with very many neighbours are broadcast, so none of them meets all its edges in
-    one task. Steps go on until nothing changes; more than ``limit`` of them (their number grows
-    with the logarithm of the longest path) are an error.
+    one task. Both steps of a round share one job and one table. Rounds go on until nothing
+    changes; more than ``limit`` of them (their number grows with the logarithm of the
+    longest path) are an error.
     """
     def star(e: DataFrame, large: bool, total: int) -> DataFrame:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -208,11 +211,14 @@ def connected_components(edges: DataFrame, name: str = "cc", limit: int = 1_000)
     told = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     state = told(e)
     for _ in range(limit):
+        if not state[0]:
+            break
         before, last = e, state
-        half = materialize(star(e, True, state[0]), name)
-        e = materialize(star(half, False, half.count()), name)
-        discard(before, half)
-        if (state := told(e)) == last:
+        # a large star makes at most one edge of each, so its edges are bounded by the count before
+        e = materialize(star(star(e, True, state[0]), False, state[0]), name)
+        state = told(e)
+        discard(before)
+        if state == last:
             break
     else:
         raise RuntimeError(f"components did not settle in {limit} steps")

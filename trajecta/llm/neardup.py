@@ -226,7 +226,7 @@ def near_duplicate_rows(docs: DataFrame, k: int = 5, percent: int = 85, margin:
     stars = inside.where("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b")).union(
         inside.where("node <> lo and node <> hi").select(F.col("node").alias("a"), F.col("hi").alias("b"))
     )
-    pairs = materialize(stars.distinct(), "pairs")
+    pairs = stars.distinct()
     wanted = inside.select("node").distinct()
     picked = wanted.join(classes.select("node", "rep").hint("merge"), "node")
     same = F.col("doc_id").eqNullSafe(F.col("rep.doc_id")) & (F.col("row") == F.col("rep.row"))
@@ -248,8 +248,7 @@ def near_duplicate_rows(docs: DataFrame, k: int = 5, percent: int = 85, margin:
     likely = side(pairs, known, {"a": ("regs", "n"), "b": ("regs", "n")}).where(
         f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
     ).mapInArrow(_estimate(percent / 100 - margin), "a long, b long")
-    links = materialize(confirmed(likely), "links")
-    comps = materialize(connected_components(links), "comps")
+    comps = materialize(connected_components(confirmed(likely)), "comps")
 
     def labelled(nodes: DataFrame) -> DataFrame:
         own = comps.select("node", F.col("component").alias("own"))
@@ -278,11 +277,12 @@ def near_duplicate_rows(docs: DataFrame, k: int = 5, percent: int = 85, margin:
         f" and 100 * least(nx, ny) >= {percent} * greatest(nx, ny) and least(nx - posx, ny - posy) >= {need}"
         f" and {apart} <= nx + ny - 2 * {need}"
     ).select(F.least("nodex", "nodey").alias("a"), F.greatest("nodex", "nodey").alias("b")).distinct()
-    late_links = materialize(confirmed(materialize(more, "late")), "links")
-    final = materialize(connected_components(links.unionByName(late_links)), "comps")
+    late_links = confirmed(more)
+    ends = labelled(late_links.select("b", F.col("a").alias("node"))).select(F.col("comp").alias("a"), F.col("b").alias("node"))
+    merged = connected_components(labelled(ends).select("a", F.col("comp").alias("b")))  # of the components so far
 
-    named = classes.select("node", "rep").join(final.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = materialize(named, "named")
+    named = labelled(classes.select("node", "rep")).join(merged.select(F.col("node").alias("comp"), "component").hint("merge"), "comp", "left")
+    named = materialize(named.select("node", "rep", F.coalesce("component", "comp").alias("component")), "named")
     first = materialize(named.groupBy("component").agg(F.min("rep").alias("rep"), F.count("*").alias("n")), "first")
     label = join_groups(named.select("node", "component"), first, "component", named.count()).select("node", "rep")
     out = sketched.select("doc_id", "row", "n_shingles", "node").join(label.hint("merge"), "node", "left")
