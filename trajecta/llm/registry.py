@@ -6,6 +6,8 @@ from .decontaminate import op6_decontaminate
 from .htmltext import op9_extract_html
 from .langid import op10_language
 from .lmscore import op7_lm_score
+from .manifest import ORACLE_SQL as MANIFEST_SQL
+from .manifest import op12_merkle_manifest
 from .mixing import op1_mix_sources
 from .nearest import op4_nearest
 from .neardup import op8_near_duplicates
@@ -24,6 +26,7 @@ QUERIES = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_extract_html": op9_extract_html,
     "op10_language": op10_language,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op12_merkle_manifest": MANIFEST_SQL}
