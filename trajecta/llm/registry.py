@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .conversations import op11_repair_conversations
 from .decontaminate import op6_decontaminate
 from .htmltext import op9_extract_html
 from .langid import op10_language
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_extract_html": op9_extract_html,
     "op10_language": op10_language,
+    "op11_repair_conversations": op11_repair_conversations,
     "op12_merkle_manifest": op12_merkle_manifest,
 }
 
