@@ -12,6 +12,7 @@ from .manifest import op12_merkle_manifest
 from .mixing import op1_mix_sources
 from .nearest import op4_nearest
 from .neardup import op8_near_duplicates
+from .packing import op13_pack_documents
 from .pii import op3_pii
 from .tokencounts import op5_token_counts
 from .urlfilter import op2_url_filter
@@ -29,6 +30,7 @@ QUERIES = {
     "op10_language": op10_language,
     "op11_repair_conversations": op11_repair_conversations,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_pack_documents": op13_pack_documents,
 }
 
 ORACLE_SQL: dict[str, str] = {"op12_merkle_manifest": MANIFEST_SQL}
