@@ -56,3 +56,27 @@ def signed_rank_p(w: float, n: int) -> float:
         low, high = ways[: int(math.floor(w)) + 1].sum(), ways[int(math.ceil(w)) :].sum()
         return float(min(1.0, 2 * min(low, high)))
     return normal_p((abs(w - mean) - 0.5) / math.sqrt(var))
+
+
+def signed_rank_ways(ranks: list[int]) -> np.ndarray:
+    """How many of the sign patterns (as shares) give each sum of positive ranks; ``ranks`` are whole numbers."""
+    ways = np.zeros(sum(ranks) + 1)
+    ways[0], top = 1.0, 0
+    for r in ranks:
+        top += r
+        ways[r : top + 1] = (ways[r : top + 1] + ways[: top + 1 - r]) / 2
+        ways[:r] /= 2
+    return ways
+
+
+def signed_rank_tail(ways: np.ndarray, w: int, alternative: str = "two-sided") -> float:
+    """p of a sum of positive ranks under a null distribution; ``greater`` asks for large sums, ``less`` for small ones."""
+    low, high = float(ways[: w + 1].sum()), float(ways[w:].sum())
+    return min(1.0, {"two-sided": 2 * min(low, high), "greater": high, "less": low}[alternative])
+
+
+def signed_rank_normal(w: float, n: int, ties: float, alternative: str = "two-sided") -> float:
+    """Normal approximation; ``ties`` is the sum of t^3 - t over groups of t equal sizes."""
+    var = n * (n + 1) * (2 * n + 1) / 24 - ties / 48
+    z = (w - n * (n + 1) / 4) / math.sqrt(var) if var > 0 else 0.0
+    return {"two-sided": normal_p(z), "greater": math.erfc(z / math.sqrt(2)) / 2, "less": math.erfc(-z / math.sqrt(2)) / 2}[alternative]

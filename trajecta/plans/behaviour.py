@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trajecta.plans import inference as I
+from trajecta.plans import subjects as S
 from trajecta.plans.catalog import query, table
 from trajecta.plans.features import labelled
 from trajecta.plans.geometry import rounded
@@ -82,3 +83,81 @@ def mixed_model(spark, d):
 
     e = events(spark, d).where("value > 0").select("user_id", F.ln("value").alias("y"), (F.col("pos") / 50.0).alias("x"))
     return rows(spark, I.mixed_model(e, "user_id", "y", "x"), "term string, beta double, se double, p double")
+
+
+# ---------------------------------------------------------------- several controls, tests with p
+
+
+def correlations_sql(x: list[str], y: str) -> str:
+    """The correlations of three columns and an outcome."""
+    pairs = [(0, 1), (0, 2), (1, 2)]
+    return ", ".join([*[f"corr({x[i]}, {x[j]}) AS r{i}{j}" for i, j in pairs], *[f"corr({c}, {y}) AS r{i}y" for i, c in enumerate(x)]])
+
+
+#: The standardised slope of the first of three columns, by Cramer's rule on correlations.
+BETA = "(r0y * (1 - r12 * r12) - r1y * (r01 - r02 * r12) - r2y * (r02 - r01 * r12)) / (1 + 2 * r01 * r02 * r12 - r01 * r01 - r02 * r02 - r12 * r12)"
+CONTROLS = ["quantity", "discount", "tax"]
+BETAS = f"""{LINES}, c AS (SELECT suppkey, count(*) AS n, {correlations_sql(CONTROLS, 'price')} FROM l GROUP BY suppkey HAVING count(*) >= 50), b AS (SELECT suppkey, n, {BETA} AS beta FROM c)"""
+
+
+def normal_sql(z: str) -> str:
+    """Two-sided p of a standard normal value, by the series of the error function."""
+    x = f"(abs({z}) / sqrt(2))"
+    return f"(1 - 2 / sqrt(pi()) * exp(-{x} * {x}) * list_sum(list_transform(range(0, 300), lambda i: exp(2 * i * ln(2) + (2 * i + 1) * ln(greatest({x}, 1e-300)) + lgamma(i + 1) - lgamma(2 * i + 2)))))"
+
+
+def student_sql(t: str, df: str) -> str:
+    """Two-sided p of Student's t with whole degrees of freedom, by its finite series."""
+    c, s = f"({df} / ({df} + {t} * {t}))", f"(abs({t}) / sqrt({df} + {t} * {t}))"
+    even = f"{s} * list_sum(list_transform(range(0, {df} // 2), lambda i: exp(lgamma(2 * i + 1) - 2 * lgamma(i + 1) - 2 * i * ln(2) + i * ln({c}))))"
+    odd = f"2 / pi() * (atan(abs({t}) / sqrt({df})) + {s} * sqrt({c}) * coalesce(list_sum(list_transform(range(0, ({df} - 1) // 2), lambda i: exp(2 * i * ln(2) + 2 * lgamma(i + 1) - lgamma(2 * i + 2) + i * ln({c})))), 0))"
+    return f"(1 - CASE WHEN {df} % 2 = 0 THEN {even} ELSE {odd} END)"
+
+
+#: ``test(n, w_plus, p)`` of ``d(v)``: exact by the number of sign patterns for each sum up to 50 values without ties, else normal.
+SIGNED_RANK = f"""v AS (SELECT v, rank() OVER (ORDER BY abs(v)) AS r FROM d WHERE v <> 0), w AS (SELECT count(*) AS n, sum(CASE WHEN v > 0 THEN r ELSE 0 END) AS w_plus FROM v),
+ways(r, s, k) AS (SELECT 0, 0::BIGINT, 1::DOUBLE UNION ALL SELECT r + 1, s + b * (r + 1), sum(k) / 2 FROM ways, (VALUES (0), (1)) t(b) WHERE r < (SELECT least(n, 50) FROM w) GROUP BY r, s + b * (r + 1)),
+test AS (SELECT n, w_plus, CASE WHEN n <= 50 THEN least(1, 2 * least((SELECT sum(k) FROM ways WHERE r = n AND s <= w_plus), (SELECT sum(k) FROM ways WHERE r = n AND s >= w_plus)))
+    ELSE {normal_sql('((w_plus - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0))')} END AS p FROM w)"""
+
+
+@query(f"WITH {BETAS} SELECT suppkey, n, round(beta, 6) + 0.0 AS beta_quantity, 3 AS used FROM b")
+def per_subject_betas(spark, d):
+    """Suppliers stand for subjects: the price on quantity with two controls, standardised, at least 50 rows each."""
+    b = S.subject_betas(lines(spark, d), ["suppkey"], "price", CONTROLS, 50)
+    return b.select("suppkey", "n", rounded("beta_quantity").alias("beta_quantity"), "used")
+
+
+@query(f"""WITH RECURSIVE {BETAS}, d AS (SELECT beta - 0.9 AS v FROM b), {SIGNED_RANK}, m AS (SELECT count(*) AS n, avg(v) AS mean, sum(CAST(v > 0 AS BIGINT))::BIGINT AS positive, avg(v) / (stddev_samp(v) / sqrt(count(*))) AS t FROM d)
+SELECT m.n, round(mean, 6) + 0.0 AS mean, positive, round(t, 4) + 0.0 AS t, round({student_sql('t', '(m.n - 1)')}, 6) + 0.0 AS t_p, round(w_plus, 1) + 0.0 AS w_plus, round(p, 6) + 0.0 AS w_p FROM m, test""")
+def subject_beta_tests(spark, d):
+    """Whether the suppliers' slopes differ from 0.9: Student's t and the signed-rank test, both with p."""
+    b = S.subject_betas(lines(spark, d), ["suppkey"], "price", CONTROLS, 50).select((F.col("beta_quantity") - 0.9).alias("v"))
+    t, w = S.t_test(b, "v"), S.signed_rank_test(b, "v").agg(F.max("w_plus").alias("w_plus"), F.max("p").alias("w_p"))
+    both = t.crossJoin(F.broadcast(w))  # one row each
+    return both.select("n", rounded("mean").alias("mean"), "positive", rounded("t", 4).alias("t"), rounded("p").alias("t_p"), rounded("w_plus", 1).alias("w_plus"), rounded("w_p").alias("w_p"))
+
+
+@query(f"""WITH RECURSIVE {LINES}, c AS (SELECT suppkey, flag = 'R' AS hard, {correlations_sql(CONTROLS, 'price')} FROM l GROUP BY ALL HAVING count(*) >= 40), b AS (SELECT suppkey, hard, {BETA} AS beta FROM c),
+p AS (SELECT suppkey, max(CASE WHEN NOT hard THEN beta END) AS easy, max(CASE WHEN hard THEN beta END) AS hard FROM b GROUP BY suppkey), o AS (SELECT * FROM p WHERE easy IS NOT NULL AND hard IS NOT NULL), d AS (SELECT hard - easy AS v FROM o), {SIGNED_RANK},
+m AS (SELECT count(*) AS n, avg(easy) AS easy, avg(hard) AS hard FROM o)
+SELECT m.n, round(easy, 6) + 0.0 AS mean_easy, round(hard, 6) + 0.0 AS mean_hard, round(w_plus, 1) + 0.0 AS w_plus, round(p, 6) + 0.0 AS p FROM m, test""")
+def stratified_paired(spark, d):
+    """Each supplier's slope among returned and other lines, at least 40 rows each, and the paired test across suppliers."""
+    pairs = S.paired_strata(lines(spark, d), ["suppkey"], F.col("flag") == "R", "price", CONTROLS, 40)
+    t = S.paired_test(pairs, "easy", "hard")
+    return t.select("n", rounded("mean_easy").alias("mean_easy"), rounded("mean_hard").alias("mean_hard"), rounded("w_plus", 1).alias("w_plus"), rounded("p").alias("p"))
+
+
+@query(f"""WITH e AS (SELECT user_id, value, CAST(row_number() OVER w - 1 AS DOUBLE) AS pos, lag(value) OVER w AS before FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), l AS (SELECT *, pos * pos AS pos2 FROM e WHERE before IS NOT NULL),
+c AS (SELECT user_id, count(*) AS n, {correlations_sql(['before', 'pos', 'pos2'], 'value')} FROM l GROUP BY user_id HAVING count(*) >= 10), b AS (SELECT n, {BETA} AS beta FROM c)
+SELECT count(*) AS groups, sum(CAST(beta > 0 AS BIGINT))::BIGINT AS positive, round(avg(beta), 6) + 0.0 AS mean, sum(n)::BIGINT AS n FROM b""")
+def sign_consistency_controls(spark, d):
+    """How many users' values follow their last value, given the place in the sequence and its square."""
+    from trajecta.operators import windows as W
+    from trajecta.plans.relations import events
+
+    e = W.lags(events(spark, d), ["user_id"], ["ts", "event_id"], ["value"], 1).withColumn("pos2", F.col("pos").cast("double") * F.col("pos"))
+    b = S.subject_betas(e, ["user_id"], "value", ["value_lag1", "pos", "pos2"], 10)
+    beta = F.col("beta_value_lag1")
+    return b.agg(F.count("*").alias("groups"), F.sum((beta > 0).cast("long")).alias("positive"), rounded(F.avg(beta)).alias("mean"), F.sum("n").alias("n"))
