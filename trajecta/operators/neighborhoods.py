@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from trajecta.functions import vectors as V
 from trajecta.operators.aggregates import quantiles
+from trajecta.operators.grouped_kmeans import by_layer, held_out, sample_layers  # noqa: F401
 
 
 def squared_distances(vec: Column, centroids: np.ndarray) -> Column:
@@ -66,18 +67,6 @@ def load_neighborhoods(spark, path: str) -> tuple[np.ndarray, float]:
     return np.array([r["centroid"] for r in rows]), rows[0]["sigma"]
 
 
-def held_out(df: DataFrame, fold: str, vec: str, k: int, restarts: int = 1, seed: int = 0) -> DataFrame:
-    """Each fold assigned to centroids fitted on the other folds: adds ``distances``, ``cluster`` and ``sigma``."""
-    out = None
-    for value in sorted(r[0] for r in df.select(fold).distinct().collect()):  # one model for each fold
-        train, own = df.where(F.col(fold) != value), df.where(F.col(fold) == value)
-        centroids = fit_neighborhoods(train, vec, k, restarts, seed)
-        sigma = bandwidth(train.select(squared_distances(F.col(vec), centroids).alias("d")), "d").first()[0]
-        own = own.withColumn("distances", squared_distances(F.col(vec), centroids)).withColumn("cluster", nearest(F.col("distances"))).withColumn("sigma", F.lit(sigma))
-        out = own if out is None else out.unionByName(own)
-    return out
-
-
 def flow_neighbors(queries: DataFrame, corpus: DataFrame, n: int, block: int = 4096, piece: int = 16_384) -> DataFrame:
     """``query_id, vec_id, distance, rank``: the exact n nearest corpus rows from other groups.
 

@@ -7,10 +7,11 @@ fitted ones differ by library and are checked by their properties.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajecta.functions import vectors as V
+from trajecta.operators import grouped_kmeans as K
 from trajecta.operators import neighborhoods as N
 from trajecta.operators import trajectory as T
 from trajecta.plans.catalog import query
@@ -204,3 +205,53 @@ def kmeans_heldout(spark, d):
     rows = N.held_out(sequences(spark, d).withColumn("fold", F.col("seq_id") % 2), "fold", "v", 8)
     rows = rows.withColumn("p", N.soft_assign(F.col("distances"), F.col("sigma")))
     return T.extrapolation_error(rows, KEYS, "pos", "p", 3).select("fold", "seq_id", "pos", "cluster", "error")
+
+
+def kmeans_sql(rounds: int) -> str:
+    """Models fitted on ``tr(model, vec_id, v)`` from the first vectors of each, and errors over the assignment of ``own(model, seq_id, pos, v)``."""
+    far = lambda v: f"list_sum(list_transform(generate_series(1, len({v})), lambda i: pow({v}[i] - c[i], 2)))"
+    out = f"c0 AS (SELECT model, row_number() OVER (PARTITION BY model ORDER BY vec_id) - 1 AS k, v AS c FROM tr QUALIFY row_number() OVER (PARTITION BY model ORDER BY vec_id) <= {GIVEN})"
+    for i in range(rounds):
+        out += f""", d{i} AS (SELECT model, vec_id, arg_min(k, {far('v')}) AS k, any_value(v) AS v FROM tr JOIN c{i} USING (model) GROUP BY model, vec_id), u{i} AS (SELECT model, k, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM d{i}),
+m{i} AS (SELECT model, k, i, avg(x) AS x FROM u{i} GROUP BY ALL), n{i} AS (SELECT model, k, list(x ORDER BY i) AS v FROM m{i} GROUP BY ALL), c{i + 1} AS (SELECT c.model, c.k, coalesce(n.v, c.c) AS c FROM c{i} c LEFT JOIN n{i} n USING (model, k))"""
+    return out + f""", fin AS (SELECT model, vec_id, min({far('v')}) AS d FROM tr JOIN c{rounds} USING (model) GROUP BY model, vec_id), sg AS (SELECT model, count(*) AS n, sum(d) AS cost, quantile_cont(sqrt(d), 0.5) AS sigma FROM fin GROUP BY model),
+z AS (SELECT model, seq_id, pos, k, {far('v')} AS d FROM own JOIN c{rounds} USING (model)), y AS (SELECT model, seq_id, pos, list(d ORDER BY k) AS d FROM z GROUP BY ALL),
+x AS (SELECT y.*, sigma, list_transform(d, lambda q: exp((list_min(d) - q) / (2 * sigma * sigma))) AS e FROM y JOIN sg USING (model)), a AS (SELECT model, seq_id, pos, list_transform(e, lambda q: sqrt(q / list_sum(e))) AS v FROM x),
+l AS (SELECT *, {lag_list(3)} FROM a WINDOW w AS (PARTITION BY model, seq_id ORDER BY pos)), er AS (SELECT model, {norm_of('v[i] - ' + guess(3))} AS e FROM l WHERE pos >= 3), me AS (SELECT model, avg(e) AS error FROM er GROUP BY model)
+SELECT CAST(model AS BIGINT) AS model, n, round(cost, 4) + 0.0 AS cost, round(sigma, 6) + 0.0 AS sigma, round(error, 6) + 0.0 AS error FROM sg LEFT JOIN me USING (model)"""
+
+
+def fitted_errors(rows: DataFrame, values: list, fitted: K.GroupedCentroids, group: str) -> DataFrame:
+    """Per model: rows, cost, bandwidth, and the mean error of its own rows over their soft assignment."""
+    own = K.assign(rows, "v", fitted).withColumn("p", N.soft_assign(F.col("distances"), F.col("sigma")))
+    errors = T.extrapolation_error(own, [group, *[k for k in KEYS if k != group]], "pos", "p", 3)
+    facts = [(i, int(n), float(c), float(s)) for i, (n, c, s) in enumerate(zip(fitted.n, fitted.cost, fitted.sigma, strict=True))]
+    models = rows.sparkSession.createDataFrame([(int(v), *f[1:]) for v, f in zip(values, facts, strict=True)], "model long, n long, cost double, sigma double")
+    mean = errors.groupBy(F.col(group).cast("long").alias("model")).agg(F.avg("error").alias("error"))
+    return models.join(mean.hint("merge"), "model", "left").select("model", "n", rounded("cost", 4).alias("cost"), rounded("sigma").alias("sigma"), rounded("error").alias("error"))
+
+
+@query(f"WITH {SEQ}, own AS (SELECT seq_id AS model, seq_id, pos, v FROM s), tr AS (SELECT f.model, s.vec_id, s.v FROM s JOIN (SELECT DISTINCT seq_id AS model FROM s) f ON s.seq_id <> f.model), {kmeans_sql(3)}")
+def kmeans_folds(spark, d):
+    """Every sequence over centroids that were fitted on all others (ten folds, three rounds from the first eight vectors)."""
+    rows, folds = K.numbered(sequences(spark, d), "seq_id")
+    w = Window.partitionBy("seq_id").orderBy("vec_id")
+    few = rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= GIVEN).select("seq_id", "vec_id", "v").orderBy("vec_id").collect()  # eight rows a fold
+    start = np.array([[r["v"] for r in few if r["seq_id"] != f][:GIVEN] for f in folds])
+    others = F.filter(F.array(*[F.lit(i) for i in range(len(folds))]), lambda m: m != F.col("_model"))
+    return fitted_errors(rows, folds, K.fit_grouped(rows, "v", others, len(folds), GIVEN, iterations=3, tol=0.0, start=start), "seq_id")
+
+
+DEEP = K.sample_layers(24)
+
+
+@query(f"""WITH {SEQ}, own AS (SELECT layer AS model, seq_id, pos, vec_id, list_transform(v, lambda x, i: x * (1 + 0.1 * ((layer * (i - 1)) % 5))) AS v FROM s, (VALUES {', '.join(f'({i})' for i in DEEP)}) t(layer)),
+tr AS (SELECT model, vec_id, v FROM own), {kmeans_sql(2)}""")
+def layer_neighbourhoods(spark, d):
+    """Neighbourhood errors of thirteen of 25 layers, each over centroids of its own: one job for all layers."""
+    rows = sequences(spark, d).withColumn("layer", F.explode(F.array(*[F.lit(i) for i in DEEP])))
+    rows = rows.withColumn("v", F.transform("v", lambda x, i: x * (1 + 0.1 * ((F.col("layer") * i) % 5))))
+    rows, layers = K.numbered(rows, "layer")
+    few = rows.orderBy("vec_id", "layer").limit(GIVEN * len(layers)).collect()
+    start = np.array([[r["v"] for r in few if r["layer"] == i] for i in layers])
+    return fitted_errors(rows, layers, K.fit_grouped(rows, "v", F.array("_model"), len(layers), GIVEN, iterations=2, tol=0.0, start=start), "layer")
