@@ -27,9 +27,10 @@ from pyspark.sql import functions as F
 from .common import materialize, read_table, slices
 
 CAPACITY = 2048
-TEXT = 2 << 20  # bytes of text that a task encodes at once
+TEXT = 4 << 20  # bytes of text that a task encodes at once
 REMEMBERED = 1 << 19  # words whose ids a task keeps
 _WHITE = " \t\n\x0b\x0c\r"
+_MARK = "\x00"
 
 
 def vocabulary() -> str:
@@ -51,23 +52,40 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        mark = self._tokenizer.encode(_MARK, add_special_tokens=False).ids
+        self._mark = mark[0] if len(mark) == 1 else None
         self._forget()
 
     def _forget(self) -> None:
         self._known: dict[str, int] = {}
         self._ids, self._sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
-    def _learn(self, words: list[str]) -> None:
-        new = [w for w in words if w not in self._known]
-        if len(self._known) + len(new) > REMEMBERED:
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words, and how many each has: a hundred words at once, with a mark after each."""
+        marked = [f" {_MARK} ".join([*words[i : i + 100], ""]) for i in range(0, len(words), 100)]
+        if self._mark is not None and not any(_MARK in w for w in words):
+            ids = np.concatenate([np.array(e.ids, np.uint32) for e in self._tokenizer.encode_batch_fast(marked, add_special_tokens=False)])
+            ends = np.flatnonzero(ids == self._mark)
+            if len(ends) == len(words):
+                return ids[ids != self._mark], np.diff(ends, prepend=-1) - 1
+        each = [e.ids for e in self._tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(each), np.uint32), np.fromiter(map(len, each), np.int64, len(each))
+
+    def _places(self, words: list[str]) -> np.ndarray:
+        """Numbers of the words among those whose ids are known; new ones become known."""
+        get = self._known.get
+        at = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        new = np.flatnonzero(at < 0)
+        if len(self._known) + len(new) > REMEMBERED and self._known:
             self._forget()
-            new = words
-        if not new:
-            return
-        ids = [e.ids for e in self._tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        self._known.update(zip(new, range(len(self._known), len(self._known) + len(new)), strict=True))
-        self._ids = np.concatenate([self._ids, np.fromiter(chain.from_iterable(ids), np.uint32)])
-        self._sizes = np.concatenate([self._sizes, np.fromiter(map(len, ids), np.int64, len(ids))])
+            return self._places(words)
+        if len(new):
+            fresh = [words[i] for i in new]
+            ids, sizes = self._encode(fresh)
+            at[new] = np.arange(len(self._known), len(self._known) + len(new))
+            self._known.update(zip(fresh, at[new].tolist(), strict=True))
+            self._ids, self._sizes = np.concatenate([self._ids, ids]), np.concatenate([self._sizes, sizes])
+        return at
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts (no nulls) in a row, and how many each text has."""
@@ -77,8 +95,7 @@ class Encoder:
         rows = np.diff(split.offsets.to_numpy())
         coded = split.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
-        self._learn(words)
-        known = np.fromiter(map(self._known.__getitem__, words), np.int64, len(words))
+        known = self._places(words)
         starts = np.cumsum(self._sizes) - self._sizes
         which = known[coded.indices.to_numpy(zero_copy_only=False)]
         taken = self._sizes[which]
@@ -88,6 +105,16 @@ class Encoder:
         return self._ids[at], np.diff(bounds)
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The encoder of a worker, which its tasks share: loading one a task would leave memory behind."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def text_parts(text: str, most: int = TEXT) -> Iterator[str]:
     """A long text in parts of about ``most`` characters, cut at white space."""
     start = 0
@@ -115,7 +142,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = N
     path = path or vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, seen = Encoder(path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        encode, part, seen = encoder(path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for b in slices(batches, TEXT):
             texts = pc.fill_null(b.column("text"), "")
             if b.num_rows == 1 and (text := texts[0].as_py()) and len(text) > TEXT:
