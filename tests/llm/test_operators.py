@@ -603,3 +603,46 @@ def test_viterbi_matches_brute_force():
         value = lambda p, lo=lo: sum(scores[lo + i, k] for i, k in enumerate(p)) - 2.0 * sum(a != b for a, b in zip(p, p[1:], strict=False))
         best = max((value(p) for p in product(range(3), repeat=hi - lo)), default=0)
         assert abs(value(label[lo:hi]) - best) < 1e-4
+
+
+ARTICLE = "<h1>Title</h1>" + "<p>This is a sentence of the article, and it goes on for some words.</p>" * 8 + "<p>End.</p>"
+MENU = '<nav><ul><li><a href="/">Home</a></li><li><a href="/b">News</a></li></ul></nav>'
+
+
+@pytest.mark.parametrize("page", [
+    '<html><body><form id="aspnetForm">{menu}<div>{body}</div><label>Name <input></label><select><option>a<option>b</select></form></body></html>',
+    '{menu}<div class="post share">{body}</div><footer>Copyright 2024</footer>',
+    '{menu}<div class="widget">{body}</div>',
+    '{menu}<section class="related">{body}</section>',
+    "{menu}<aside>Buy now<div>{body}</div>",
+    "<html><body>{menu}<aside>Buy now<div>{body}</div></body></html>",
+    "{menu}<select><option>Choose<div>{body}</div>",
+    "{menu}<div>{body}</div>",
+    '{menu}<div class="layout-sidebar-left">{body}</div><div class="share"><p>Send this to a friend.</p></div>',
+    '{menu}<div>{body}</div><div class="comment-list">{comments}</div>',
+    '{menu}<div>{body}</div><div id="comments">{comments}{comments}{comments}</div>',
+    '{menu}<div class="cookie-banner"><p>We use cookies to make your visit better. Accept all?</p></div><div>{body}</div>',
+])
+def test_articles_stay_whatever_their_wrapper_is_called(spark, page):
+    want = "\n\n".join(["Title", *["This is a sentence of the article, and it goes on for some words."] * 8, "End."])
+    page = page.format(menu=MENU, body=ARTICLE, comments="<p>Nice post!</p>" * 9)
+    learned = htmltext.learn(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+    assert htmltext.extract(page, htmltext.DEFAULT) == want and htmltext.extract(page, learned) == want
+
+
+def test_both_of_two_equal_texts_stay():
+    assert htmltext.extract(f'{MENU}<div class="layout-sidebar-left">{ARTICLE}</div><div>{ARTICLE}</div>', htmltext.DEFAULT).count("End.") == 2
+
+
+@pytest.mark.parametrize("page", ["<b>{0}</i>", "<aside>{0}x</i>{0}<div>{0}", "<aside><div>{0}x</body>{0}", "<p><i>{0}<p>"])
+def test_deep_and_long_pages_take_linear_time(page):
+    import time
+
+    def seconds(n):
+        text = "".join(part * n for part in re.split(r"(?<=>)(?=[^>]*<)|\{0\}", page))
+        began = time.process_time()
+        htmltext.extract(text, htmltext.DEFAULT)
+        return time.process_time() - began
+
+    seconds(1000)
+    assert seconds(64_000) < 40 * seconds(8_000) and seconds(64_000) < 20
