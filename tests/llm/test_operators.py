@@ -266,9 +266,25 @@ def test_nearest_ties_copies_and_bad_vectors(spark):
     assert hit >= 0.9 * 10 * len(got)
 
 
+def test_nearest_rows_that_repeat_an_id(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(60, 8))
+    rows = [(i, x[i]) for i in range(40)] + [(10, x[40]), (10, x[41]), (20, x[20]), (20, x[20]), (7, x[10]), (30, x[31])]
+    df = spark.createDataFrame([(i, [float(v) for v in e]) for i, e in rows], "vec_id long, embedding array<double>").repartition(4)
+    got = defaultdict(list)
+    for r in nearest.nearest(df, F.col("vec_id") % 10 == 0, k=5, radius=64).orderBy("rank").collect():
+        got[r["query_id"], r["query_row"]].append((r["rank"], r["vec_id"], r["score"]))
+    want = []
+    for at, (i, e) in enumerate(rows):
+        if i % 10 == 0:
+            others = sorted((float(np.sqrt(((f - e) ** 2).sum())), j) for n, (j, f) in enumerate(rows) if n != at)[:5]
+            want.append((i, [(n + 1, j, s) for n, (s, j) in enumerate(others)]))
+    assert sorted((q, found) for (q, _), found in got.items()) == sorted(want, key=lambda w: (w[0], w[1]))
+
+
 def test_nearest_small_and_empty(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [3.0, 2.0])], "vec_id long, embedding array<double>")
-    got = [tuple(r) for r in nearest.nearest(df, F.col("vec_id") == 0).orderBy("rank").collect()]
+    got = [tuple(r)[:4] for r in nearest.nearest(df, F.col("vec_id") == 0).orderBy("rank").collect()]
     assert got == [(0, 1, 1, 0.0), (0, 2, 2, 2.0)]
     assert nearest.nearest(df.limit(0), F.lit(True)).count() == 0
 

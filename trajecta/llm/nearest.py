@@ -135,7 +135,9 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, radius: int = RADIUS) ->
     query that has fewer than ``k`` codes within the radius is compared with all rows. Rows
     with a null id, and vectors that are null, zero, not of the usual length or hold a null or
     non-finite component take no part. Equal vectors are indexed once with their ``k + 1``
-    smallest ids, which is all any list of ``k`` can need. Other columns are ignored.
+    smallest ids, which is all any list of ``k`` can need. Rows that repeat a vec_id are rows of
+    their own: each has a list (``query_row`` counts the rows of an id, by vector), and is in
+    others' lists, also in those of its id; a list lacks its own row alone. Other columns are ignored.
     """
     spark = vectors.sparkSession
     kind = dict(vectors.dtypes)["embedding"]
@@ -146,12 +148,12 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, radius: int = RADIUS) ->
     )
     usual = rows.groupBy(F.size("e").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if usual is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, query_row int")
     rows = rows.where(F.size("e") == usual["d"])
     kept = rows.withColumn("n", F.row_number().over(Window.partitionBy("e").orderBy("vec_id"))).where(F.col("n") <= k + 1)
     classes = kept.groupBy("e").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    classes = classes.select(F.element_at("ids", 1).alias("cls"), "ids", "e")
-    picked = classes.select("e").orderBy(F.xxhash64("cls")).limit(SAMPLE).toPandas()["e"]  # bounded by SAMPLE
+    classes = materialize(classes.select(F.monotonically_increasing_id().alias("cls"), "ids", "e"), "classes")  # written, so that numbers stay
+    picked = classes.select("e").orderBy(F.xxhash64("e"), "e").limit(SAMPLE).toPandas()["e"]  # bounded by SAMPLE
     coder = spark.sparkContext.broadcast(learn_codes(np.stack(picked.to_list()).astype(np.float64)))
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -162,7 +164,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, radius: int = RADIUS) ->
 
     coded = materialize(classes.mapInPandas(encode, "cls long, ids array<long>, code long, vec binary"), "codes")
     asking = rows.where("asked").select(F.col("vec_id").alias("query_id"), "e")
-    asking = asking.join(classes.select("cls", "e").hint("merge"), "e").select("query_id", "cls")
+    asking = asking.withColumn("query_row", F.row_number().over(Window.partitionBy("query_id").orderBy("e")))
+    asking = asking.join(classes.select("cls", "e").hint("merge"), "e").select("query_id", "query_row", "cls")
     asking = materialize(asking, "asking")
     queries = materialize(coded.join(asking.select("cls").distinct().hint("shuffle_hash"), "cls", "left_semi"), "queries")
     best = Window.partitionBy("cls").orderBy("score", "vec_id")
@@ -176,9 +179,12 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, radius: int = RADIUS) ->
     if few.limit(1).count():
         wide = shortened(_search(coded, few, BITS, 1, k + 1, dtype))
         found = found.join(few.select("cls").hint("merge"), "cls", "left_anti").unionByName(wide)
-    own = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    pairs = asking.join(found.hint("merge"), "cls").where("query_id <> vec_id")
-    return pairs.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    # a query's own row is one of those with its id at no distance; rows alike are interchangeable
+    pairs = asking.join(found.hint("merge"), "cls").withColumn("same", (F.col("query_id") == F.col("vec_id")) & (F.col("score") == 0))
+    alike = Window.partitionBy("query_id", "query_row", "same").orderBy("score", "vec_id")
+    pairs = pairs.withColumn("n", F.row_number().over(alike)).where("not (same and n = 1)")
+    own = Window.partitionBy("query_id", "query_row").orderBy("score", "vec_id")
+    return pairs.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "query_row")
 
 
 def op4_nearest(spark, sf_dir: str) -> DataFrame:
