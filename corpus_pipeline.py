@@ -34,13 +34,16 @@ def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """One document of each group of near-duplicates: five-word shingles at a similarity of 0.8.
 
     The smallest doc_id stays; a document without an id only where its group has no id. A
-    repeated row stays once. Texts without words have no group: those without an id all stay.
+    repeated row stays once; of rows with one id and text that differ otherwise, the least by
+    their other columns (null first). Texts without words have no group: those without an id all stay.
     """
     kept = near_duplicate_rows(docs, k=5, percent=80).where("first")
     kept = kept.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), (F.col("doc_id").isNull() & F.col("node").isNull()).alias("_all")).distinct()
     own = docs.withColumn("_row", F.xxhash64("text"))
     own = materialize(own.join(kept.hint("merge"), same_row(own, kept)).select(*docs.columns, "_all"), "kept")
-    return own.where("not _all").drop("_all").dropDuplicates(["doc_id", "text"]).unionByName(own.where("_all").drop("_all"))
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    once = own.where("not _all").groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("_least")).select("doc_id", "text", "_least.*").select(docs.columns)
+    return once.unionByName(own.where("_all").select(docs.columns))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +55,9 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with personal data replaced by its kind; every document stays."""
-    return redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    """Texts with personal data replaced by its kind; every document stays, a null text with its ``n_chars``."""
+    size = F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), "n_chars")
+    return redact(docs).withColumn("n_chars", size).select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
