@@ -254,21 +254,26 @@ def test_global_prefix_and_sample(spark):
     assert got == list(np.concatenate([[0], np.cumsum([i % 3 for i in range(49)])]))
 
 
-def test_fingerprint_needs_no_row_of_all_keys(spark, monkeypatch):
+def test_fingerprint_is_a_tree_of_digests(spark):
     import hashlib
 
     from trajecta.operators import relations
 
-    monkeypatch.setattr(relations, "RUN", 500)
-    rows = [(i % 7, i) for i in range(3000)]
+    def tree(texts, fan):
+        first = True
+        while first or len(texts) > 1:
+            texts, first = [hashlib.md5("|".join(texts[i : i + fan]).encode()).hexdigest() for i in range(0, len(texts), fan)], False
+        return texts[0]
+
+    rows = [(i % 7 or None, i) for i in range(300)] + [(8, 1)]
     df = spark.createDataFrame(rows, "g long, i long").repartition(3)
-    md5 = lambda x: hashlib.md5("|".join(x).encode()).hexdigest()
-    assert relations.fingerprint(df, ["g", "i"]).first()[0] == md5(f"{g}.{i}" for g, i in sorted(rows))[:10]
-    groups = [md5(f"{g}.{i}" for g, i in sorted(rows) if g == k) for k in range(7)]
-    assert relations.fingerprint(df, ["g", "i"], ["g"]).first()[0] == md5(groups)[:10]
-    for by in (None, ["g"]):
-        plan = relations.fingerprint(df, ["g", "i"], by)._jdf.queryExecution().executedPlan().toString()
-        assert "collect_list" not in plan
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    text = lambda r: ".".join(str(x) for x in r if x is not None)
+    for fan in (4, 1000):
+        assert relations.fingerprint(df, ["g", "i"], fan=fan).first()[0] == tree([text(r) for r in order], fan)[:10]
+        groups = [tree([text(r) for r in order if r[0] == g], fan) for g in dict.fromkeys(r[0] for r in order)]
+        assert relations.fingerprint(df, ["g", "i"], ["g"], fan=fan).first()[0] == tree(groups, fan)[:10]
+    assert relations.fingerprint(df.where("false"), ["g"]).first()[0] == hashlib.md5(b"").hexdigest()[:10]
 
 
 def test_copies_of_a_vector_rank_by_id(spark):
@@ -282,3 +287,74 @@ def test_copies_of_a_vector_rank_by_id(spark):
     for parts in (1, 3):
         got = N.flow_neighbors(queries, corpus.coalesce(1).repartition(parts), 3).orderBy("rank").collect()
         assert [r["vec_id"] for r in got] == [0, 1, 2]
+
+
+def test_approximate_flow_neighbours_against_exact_ones(spark):
+    from trajecta.operators import neighborhoods as N
+
+    rng = np.random.default_rng(6)
+    walk = np.cumsum(rng.normal(size=(8, 150, 12)), axis=1)  # trajectories: neighbours are near, as states of texts are
+    rows = [(g * 150 + i, g, [float(x) for x in walk[g, i]]) for g in range(8) for i in range(150)]
+    rows += [(2000 + i, 9, rows[5][2]) for i in range(30)]  # copies
+    df = spark.createDataFrame(rows, "id long, grp long, vec array<double>").repartition(4)
+    exact = {(r["query_id"], r["rank"]): r["distance"] for r in N.flow_neighbors(df, df, 5).collect()}
+    got = N.flow_neighbors_approx(df, df, 5, bucket=80, piece=40).collect()
+    assert {(r["query_id"], r["rank"]) for r in got} == set(exact)
+    assert all(r["distance"] >= exact[r["query_id"], r["rank"]] - 1e-9 for r in got)
+    groups = {i: g for i, g, _ in rows}
+    assert all(groups[r["query_id"]] != groups[r["vec_id"]] for r in got)
+    edge = {q: d for (q, k), d in exact.items() if k == 5}
+    assert np.mean([r["distance"] <= edge[r["query_id"]] + 1e-9 for r in got]) >= 0.9
+
+
+def test_stores_have_a_bounded_number_of_files_and_take_in_new_subjects(spark, tmp_path):
+    import pathlib
+
+    from trajecta.sources import io as IO
+
+    path = str(tmp_path / "store")
+    rows = [(f"s{i % 900}" if i % 900 else None, i, float(i)) for i in range(1800)]
+    df = spark.createDataFrame(rows, "subject string, pos int, v double").repartition(7)
+    assert IO.unfinished(df, path).count() == 1800
+    IO.write_states(df, path, "subject", buckets=16)
+    files = lambda: len(list(pathlib.Path(path).rglob("*.parquet")))
+    assert files() <= 16 and IO.unfinished(df, path).count() == 0
+    more = spark.createDataFrame([("s3", 0, -1.0), ("new", 0, -2.0)], df.schema)
+    assert [r[0] for r in IO.unfinished(more, path).collect()] == ["new"]
+    IO.write_states(more, path, "subject")
+    want = sorted([r for r in rows if r[0] != "s3"] + [("s3", 0, -1.0), ("new", 0, -2.0)], key=repr)
+    assert files() <= 16 and sorted(map(tuple, IO.read_states(spark, path, "subject").collect()), key=repr) == want
+    some = IO.read_states(spark, path, "subject", ["s3", "new", None, "absent"])
+    assert sorted(map(tuple, some.collect()), key=repr) == [r for r in want if r[0] in ("s3", "new", None)]
+
+
+@pytest.mark.parametrize("edge", ["null", "zero", "wrap"])
+def test_lags_in_blocks_with_gaps_and_both_signs(spark, edge):
+    lags, sizes = [0, 1, 4, -2, -5], {"a": 23, "b": 3, "c": 1}
+    rows = [(c, t, float(t * t + 1)) for c, n in sizes.items() for t in range(n) if (c, t) != ("a", 7)]
+    sig = spark.createDataFrame(rows, "c string, t long, value double").repartition(3)
+    n = spark.createDataFrame(list(sizes.items()), "c string, n long")
+    told = {(c, t): v for c, t, v in rows}
+    blank = 0.0 if edge == "zero" else None
+    want = sorted((c, t, v, *[told.get((c, (t - i) % sizes[c] if edge == "wrap" else t - i), blank) for i in lags]) for c, t, v in rows)
+    for block in (9, 1000):
+        assert sorted(map(tuple, S.lag_matrix(sig, ["c"], n, "n", lags, edge, block).collect())) == want
+
+
+def test_ridge_weights_and_curves(spark):
+    from trajecta.plans import subjects as M
+
+    rng = np.random.default_rng(8)
+    rows = [(s, c, *map(float, x), float(x @ [0.2, -1.0, 0.5] * (s + 1) + c)) for s in range(2) for c in range(3) for x in rng.normal(5, 2, size=(40, 3))]
+    df = spark.createDataFrame(rows, "s int, c int, x0 double, x1 double, x2 double, y double").repartition(4)
+    w = M.ridge_weights(df, ["s", "c"], "y", ["x0", "x1", "x2"], 10.0)
+    got = {(r["s"], r["c"], r["term"]): r["weight"] for r in w.collect()}
+    for s in range(2):
+        for c in range(3):
+            x, y = (np.array([r[2:5] for r in rows if r[:2] == (s, c)]), np.array([r[5] for r in rows if r[:2] == (s, c)]))
+            z = x - x.mean(0)
+            want = np.linalg.solve(z.T @ z + 10 * np.eye(3), z.T @ (y - y.mean()))
+            assert [got[s, c, i] for i in range(3)] == pytest.approx(list(want), abs=1e-9)
+    for r in M.weight_curves(w, ["s"]).collect():
+        mean = np.mean([got[r["s"], c, r["term"]] for c in range(3)])
+        assert r["weight"] == pytest.approx(mean) and r["peak"] == (r["term"] == 1)

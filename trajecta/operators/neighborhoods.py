@@ -67,21 +67,8 @@ def load_neighborhoods(spark, path: str) -> tuple[np.ndarray, float]:
     return np.array([r["centroid"] for r in rows]), rows[0]["sigma"]
 
 
-def flow_neighbors(queries: DataFrame, corpus: DataFrame, n: int, block: int = 4096, piece: int = 16_384) -> DataFrame:
-    """``query_id, vec_id, distance, rank``: the exact n nearest corpus rows from other groups.
-
-    ``queries`` and ``corpus`` have ``id, grp, vec``. Both are dealt to blocks; every pair of a query block
-    and a corpus piece is one group that keeps its n nearest for each query, and a ranking
-    of those gives the result. No vector reaches the driver, and no task holds more than a block of each.
-    """
-    def dealt(df: DataFrame, size: int) -> tuple[DataFrame, int]:
-        parts = max(1, -(-df.count() // size))
-        return df.select("id", "grp", "vec", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part")), parts
-
-    (q, blocks), (x, pieces) = dealt(queries, block), dealt(corpus, piece)
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = q.withColumnRenamed("part", "b").withColumn("p", spread(pieces))
-    x = x.withColumnRenamed("part", "p").withColumn("b", spread(blocks))
+def _nearest_of(n: int):
+    """The n nearest rows of a corpus group for each query of a query group, ties to the smaller id."""
 
     def near(_key, asked: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         found = []
@@ -102,11 +89,92 @@ def flow_neighbors(queries: DataFrame, corpus: DataFrame, n: int, block: int = 4
                     found += zip([name] * len(order), ids[close][order].tolist(), exact[order].tolist(), strict=True)
         return pd.DataFrame(found, columns=["query_id", "vec_id", "distance"]).astype({"query_id": "int64", "vec_id": "int64", "distance": "float64"})
 
-    out = q.groupBy("b", "p").cogroup(x.groupBy("b", "p")).applyInPandas(near, "query_id long, vec_id long, distance double")
+    return near
+
+
+def flow_neighbors(queries: DataFrame, corpus: DataFrame, n: int, block: int = 4096, piece: int = 16_384) -> DataFrame:
+    """``query_id, vec_id, distance, rank``: the exact n nearest corpus rows from other groups.
+
+    ``queries`` and ``corpus`` have ``id, grp, vec``. Both are dealt to blocks; every pair of a query block
+    and a corpus piece is one group that keeps its n nearest for each query, and a ranking
+    of those gives the result. No vector reaches the driver, and no task holds more than a block of each.
+    """
+    def dealt(df: DataFrame, size: int) -> tuple[DataFrame, int]:
+        parts = max(1, -(-df.count() // size))
+        own = [F.col(c).alias(c) for c in ("id", "grp", "vec")]  # columns of its own, also where both sides are one frame
+        return df.select(*own, F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part")), parts
+
+    (q, blocks), (x, pieces) = dealt(queries, block), dealt(corpus, piece)
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = q.withColumnRenamed("part", "b").withColumn("p", spread(pieces))
+    x = x.withColumnRenamed("part", "p").withColumn("b", spread(blocks))
+
+    out = q.groupBy("b", "p").cogroup(x.groupBy("b", "p")).applyInPandas(_nearest_of(n), "query_id long, vec_id long, distance double")
     w = Window.partitionBy("query_id").orderBy("distance", "vec_id")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
+def _probed(margins: np.ndarray, probes: int) -> np.ndarray:
+    """rows x probes: which bits to turn, those first whose planes are near the row (of the eight nearest planes)."""
+    width = min(8, margins.shape[1])
+    order = np.argsort(np.abs(margins), axis=1)[:, :width]
+    subsets = ((np.arange(1 << width)[:, None] >> np.arange(width)) & 1).astype(float)
+    cost = np.take_along_axis(margins, order, axis=1) ** 2 @ subsets.T
+    best = np.argsort(cost, axis=1, kind="stable")[:, :probes]
+    return np.einsum("rpw,rw->rp", subsets[best].astype(np.int64), np.int64(1) << order)
+
+
+def flow_neighbors_approx(queries: DataFrame, corpus: DataFrame, n: int, tables: int = 6, probes: int = 8, bucket: int = 2_000, piece: int = 16_384, seed: int = 0) -> DataFrame:
+    """``flow_neighbors`` from buckets of random projections instead of all pairs, reranked by exact distances.
+
+    A row's bucket in a table is given by the sides of random planes through the corpus mean that
+    it lies on; there are as many planes as make buckets of about ``bucket`` rows. A query looks into
+    the ``probes`` buckets whose planes it is nearest to, in every table. The corpus is shuffled once a table and
+    queries once a table and probe, in proportion to the input; a bucket of more than ``piece`` rows is cut and
+    asked in parts. A query that finds fewer than n rows is compared with all of them.
+    """
+    size = corpus.count()
+    bits = max(0, int(np.ceil(np.log2(max(size, 1) / bucket))))
+    if not bits:
+        return flow_neighbors(queries, corpus, n)
+    dims = len(corpus.select("vec").first()[0])
+    center = np.array(corpus.agg(F.array(*[F.avg(F.col("vec")[i]) for i in range(dims)])).first()[0], dtype=float)
+    planes = np.random.default_rng(seed).normal(size=(tables, bits, dims))
+
+    def sides(many: bool):
+        def run(frames):
+            for f in frames:
+                if not len(f):
+                    continue
+                x = np.array(f["vec"].tolist(), dtype=float) - center
+                for t in range(tables):
+                    margins = x @ planes[t].T
+                    code = ((margins > 0) << np.arange(bits)).sum(1)
+                    if not many:
+                        yield f.assign(t=t, b=code)
+                        continue
+                    codes = code[:, None] ^ _probed(margins, probes)
+                    out = f.loc[f.index.repeat(codes.shape[1])].assign(t=t)
+                    yield out.assign(b=codes.ravel())
+
+        return run
+
+    schema = corpus.select("id", "grp", "vec").schema.add("t", "integer").add("b", "long")
+    own = corpus.select("id", "grp", "vec").mapInPandas(sides(False), schema)
+    asked = queries.select("id", "grp", "vec").mapInPandas(sides(True), schema)
+    cuts = own.groupBy("t", "b").agg(F.ceil(F.count("*") / piece).cast("long").alias("cuts")).where("cuts > 1").hint("merge")
+    own = own.join(cuts, ["t", "b"], "left").withColumn("p", F.pmod(F.xxhash64("id"), F.coalesce("cuts", F.lit(1)))).drop("cuts")
+    asked = asked.join(cuts, ["t", "b"], "left").withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("cuts", F.lit(1)) - 1))).drop("cuts")
+    found = asked.groupBy("t", "b", "p").cogroup(own.groupBy("t", "b", "p")).applyInPandas(_nearest_of(n), "query_id long, vec_id long, distance double")
+    found = found.groupBy("query_id", "vec_id").agg(F.min("distance").alias("distance"))  # a row is found in several tables
+    w = Window.partitionBy("query_id").orderBy("distance", "vec_id")
+    ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    enough = ranked.where(F.col("rank") == n).select(F.col("query_id").alias("id"))
+    few = queries.join(enough.hint("merge"), "id", "left_anti")
+    rest = flow_neighbors(few, corpus, n)
+    return ranked.join(enough.withColumnRenamed("id", "query_id").hint("merge"), "query_id", "left_semi").unionByName(rest)
+
+
 def flow_prediction(neighbors: DataFrame, steps: DataFrame) -> DataFrame:
     """``query_id, flow``: the mean next step of the neighbours; ``steps`` has ``vec_id, step``."""
     from trajecta.operators.trajectory import centroid_by

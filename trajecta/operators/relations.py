@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trajecta.operators.windows import global_prefix
+
 
 def holds(ok: Column, message: str) -> Column:
     """True where ``ok`` is true; anything else fails the query. To be used as a filter, which is never pruned."""
@@ -117,73 +115,44 @@ def dense_reindex(df: DataFrame, keys: list[str], pos: str, sizes: DataFrame, si
     return grid.join(df.select(*keys, pos, *cols), [*keys, pos], "left").select(*keys, pos, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in cols])
 
 
-def fingerprint(df: DataFrame, keys: list[str], by: list[str] | None = None, digits: int = 10) -> DataFrame:
-    """First hex digits of the md5 of all keys, in key order, dotted and joined by a pipe.
+FAN = 16_384  # keys, or digests, that one digest is made of
+
+
+def fingerprint(df: DataFrame, keys: list[str], by: list[str] | None = None, digits: int = 10, fan: int = FAN) -> DataFrame:
+    """``fingerprint``: first hex digits of a tree of md5 digests over all keys in key order.
 
-    With ``by``, each group has its own md5 first and the digest is of those. Keys are sorted
-    in range partitions and joined there to runs of bounded length; md5 has to see the runs one
-    after the other, so one task streams over them. No row holds more than a run.
+    A row's keys are joined by dots; every ``fan`` rows, joined by a pipe, give a digest, and so do every
+    ``fan`` digests, level by level until one is left. Up to ``fan`` rows this is the md5 of all of
+    them. With ``by``, each group has such a digest first and the tree is built over those, in the order of
+    the groups. Rows are numbered by prefix sums over range partitions, so no task has more than
+    a part of them. Null keys are left out of a row's text; without rows it is the md5 of nothing.
     """
-    df = df.withColumn("_t", F.concat_ws(".", *[F.col(k).cast("string") for k in keys]))
+    text = F.concat_ws(".", *[F.col(k).cast("string") for k in keys])
+    order = list(dict.fromkeys([*(by or []), *keys]))
+    rows = df.select(*order, text.alias("_t"), F.lit(1).alias("_one"))
+    total = rows.count()
+    if not total:
+        return df.sparkSession.range(1).select(F.substring(F.md5(F.lit("")), 1, digits).alias("fingerprint"))
+    placed = global_prefix(rows, [*order, "_t"], "_one", "_i")
     if by:
-        first = F.row_number().over(Window.partitionBy(*by).orderBy(*keys, "_t")) == 1
-        marked = df.select(*by, "_t", first.alias("_first"))  # in order inside each group, groups one after the other
-        df, keys = marked.mapInArrow(_group_digests(by), marked.select(*by, "_t").schema), by
-    dealt = df.select(*keys, "_t").repartitionByRange(*keys, "_t").sortWithinPartitions(*keys, "_t")
-    runs = dealt.select("_t").mapInArrow(_runs, "part int, run long, text string")
-    return runs.repartition(1).sortWithinPartitions("part", "run").mapInArrow(_digest(digits), "fingerprint string")
-
-
-RUN = 1 << 20  # characters of joined keys in a row
-
-
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
-
-    part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
-    row = lambda: pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "run": pa.array([number], pa.int64()), "text": pa.array(["|".join(held)], pa.string())})
-    for b in batches:
-        for t in b.column("_t").to_pylist():
-            held.append(t)
-            size += len(t) + 1
-            if size >= RUN:
-                yield row()
-                number, held, size = number + 1, [], 0
-    if held:
-        yield row()
-
-
-def _digest(digits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole, some = hashlib.md5(), False
-        for b in batches:
-            for t in b.column("text"):
-                whole.update(("|" * some + t.as_py()).encode())
-                some = True
-        yield pa.RecordBatch.from_pydict({"fingerprint": pa.array([whole.hexdigest()[:digits]], pa.string())})
-
-    return run
-
-
-def _group_digests(by: list[str]):
-    """One row a group: its keys and the md5 of its rows, which come in order, the first one marked."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, whole = None, hashlib.md5()
-
-        def closed(group: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([*group.columns, pa.array([whole.hexdigest()], pa.string())], names=[*by, "_t"])
-
-        for b in batches:
-            keys = b.select(by)
-            for i, (t, first) in enumerate(zip(b.column("_t").to_pylist(), b.column("_first").to_pylist(), strict=True)):
-                if first:
-                    if now is not None:
-                        yield closed(now)
-                    now, whole = keys.slice(i, 1), hashlib.md5(t.encode())
-                else:
-                    whole.update(b"|" + t.encode())
-        if now is not None:
-            yield closed(now)
-
-    return run
+        placed = placed.withColumn("_g", F.to_json(F.struct(*by)))
+        facts = placed.groupBy("_g").agg(F.min("_i").alias("_first"), F.count("*").alias("_n"))
+        own = placed.join(facts.hint("merge"), "_g").select(F.col("_first").alias("_g"), (F.col("_i") - F.col("_first")).alias("_i"), "_n", "_t")
+        groups = global_prefix(_digests(own, total, fan).withColumn("_one", F.lit(1)), ["_g"], "_one", "_i")
+        total = facts.count()
+        placed = groups
+    one = _digests(placed.select(F.lit(0).alias("_g"), "_i", F.lit(total).alias("_n"), "_t"), total, fan)
+    return one.select(F.substring("_t", 1, digits).alias("fingerprint"))
+
+
+def _digests(rows: DataFrame, most: int, fan: int) -> DataFrame:
+    """``_g, _t``: the digest of each group of ``rows(_g, _i, _n, _t)``, of at most ``most`` rows."""
+    first = True
+    while first or most > 1:
+        each = F.array_sort(F.collect_list(F.struct("_i", "_t")))  # at most fan of them
+        joined = F.md5(F.array_join(F.transform(each, lambda r: r["_t"]), "|"))
+        digest = joined if first else F.when(F.max("_n") == 1, F.max("_t")).otherwise(joined)
+        rows = rows.groupBy("_g", F.floor(F.col("_i") / fan).alias("_i")).agg(F.ceil(F.max("_n") / fan).alias("_m"), digest.alias("_d"))
+        rows = rows.select("_g", "_i", F.col("_m").alias("_n"), F.col("_d").alias("_t"))
+        most, first = -(-most // fan), False
+    return rows.select("_g", "_t")

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
+from trajecta.operators import aggregates as A
+from trajecta.plans import gram as G
 from trajecta.plans import inference as I
 from trajecta.plans import subjects as S
 from trajecta.plans.catalog import query, table
 from trajecta.plans.features import labelled
 from trajecta.plans.geometry import rounded
-from trajecta.plans.models import LINES, lines, rows
+from trajecta.plans.models import COLS, LINES, WITHIN, lines, partial_sql, rows
 
 SLOPES = f"""{LINES}, s AS (SELECT suppkey, count(*) AS n, regr_slope(price, quantity) AS slope, corr(price, quantity) AS beta FROM l GROUP BY suppkey HAVING count(*) >= 50 AND stddev_pop(quantity) > 0 AND stddev_pop(price) > 0)"""
 
@@ -161,3 +165,25 @@ def sign_consistency_controls(spark, d):
     b = S.subject_betas(e, ["user_id"], "value", ["value_lag1", "pos", "pos2"], 10)
     beta = F.col("beta_value_lag1")
     return b.agg(F.count("*").alias("groups"), F.sum((beta > 0).cast("long")).alias("positive"), rounded(F.avg(beta)).alias("mean"), F.sum("n").alias("n"))
+
+
+@query(f"WITH {LINES}, c AS (" + " UNION ALL ".join(f"SELECT '{a}' AS x, '{b}' AS y, corr({a}, {b}) AS r, count(*) AS n FROM l" for a, b in combinations(COLS, 2)) + f""")
+SELECT x, y, round(r, 6) + 0.0 AS r, round({student_sql('(r * sqrt((n - 2) / (1 - r * r)))', '(n - 2)')}, 6) + 0.0 AS p, n FROM c""")
+def correlation_tests(spark, d):
+    """Correlations of all pairs with p."""
+    c = A.correlations(lines(spark, d), COLS)
+    t = F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r")))
+    return c.select("x", "y", rounded("r").alias("r"), rounded(S.t_p(t, F.col("n") - 2)).alias("p"), "n")
+
+
+TESTED = [("quantity", "tax", "discount"), ("price", "tax", "discount"), ("quantity", "discount", "price")]
+
+
+@query(f"WITH {WITHIN}, c AS (" + " UNION ALL ".join(partial_sql(x, y, z, "w", f"'{x}' AS x, '{y}' AS y, '{z}' AS z, ") for x, y, z in TESTED) + f"""), f AS (SELECT *, n - (SELECT count(DISTINCT suppkey) FROM l) - 3 AS df FROM c)
+SELECT x, y, z, r, round({student_sql('(r * sqrt(df / (1 - r * r)))', 'df')}, 3) + 0.0 AS p, n FROM f""")
+def partial_r_tests(spark, d):
+    """Correlations given a control and fixed effects of the supplier, with p."""
+    g = G.gram(lines(spark, d), COLS, "suppkey")
+    found = [(x, y, z, *G.partial_r(g, x, y, [z])) for x, y, z in TESTED]
+    out = spark.createDataFrame(found, "x string, y string, z string, r double, p double, n long")
+    return out.select("x", "y", "z", rounded("r").alias("r"), rounded("p", 3).alias("p"), "n")

@@ -38,6 +38,16 @@ def lex_freq(spark, d):
     return A.log_freq(cleaned, "word").select("word", "n", rounded("zipf").alias("zipf"))
 
 
+@query(rf"""WITH {WORDS}, c AS (SELECT doc_id, regexp_replace(lower(word), '[^a-z]', '', 'g') AS word FROM w), t AS (SELECT count(*) AS total FROM c WHERE word <> ''), f AS (SELECT word, log10(count(*) / any_value(total) * 1e9) AS zipf FROM c, t WHERE word <> '' GROUP BY word),
+j AS (SELECT doc_id, c.word, CASE WHEN c.word = '' THEN coalesce(f.zipf, 0.0) ELSE f.zipf END AS zipf FROM c LEFT JOIN f ON f.word = CASE WHEN c.word = '' THEN 'the' ELSE c.word END)
+SELECT doc_id, count(*) AS n, count(zipf) AS known, CAST(sum(CASE WHEN word = '' THEN 1 ELSE 0 END) AS BIGINT) AS empty_words, round(avg(zipf), 5) + 0.0 AS mean, round(min(zipf), 6) + 0.0 AS rarest FROM j GROUP BY doc_id""")
+def word_frequency(spark, d):
+    """Every word with its frequency in the corpus, empty ones as ``the``: means by document."""
+    cleaned = words(spark, d).select("doc_id", X.clean_word(F.col("word"), "lower").alias("word"))
+    rows = A.with_log_freq(cleaned, "word")
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.count("zipf").alias("known"), F.sum((F.col("word") == "").cast("long")).alias("empty_words"), rounded(F.avg("zipf"), 5).alias("mean"), rounded(F.min("zipf")).alias("rarest"))
+
+
 IN_SET = ", ".join(f"'{w}'" for w in X.CONNECTIVES)
 
 
@@ -136,7 +146,7 @@ def roll_up_info(spark, d):
     t = words(spark, d).select("doc_id", F.floor(F.col("pos") / 4).alias("word_no"), "pos", F.when(n != 7, n / 10.0).alias("s"), n.cast("double").alias("e"))
     a = A.roll_up_info(t, ["doc_id", "word_no"], "pos", "s", "e", "last", "skip").withColumnsRenamed({"surprisal": "skipped", "entropy": "entropy_last"})
     b = A.roll_up_info(t, ["doc_id", "word_no"], "pos", "s", "e", "first", "propagate").withColumnsRenamed({"surprisal": "propagated", "entropy": "entropy_first"})
-    return a.join(b, ["doc_id", "word_no"]).select("doc_id", "word_no", rounded("skipped").alias("skipped"), rounded("propagated").alias("propagated"), "entropy_last", "entropy_first")
+    return a.join(b.hint("merge"), ["doc_id", "word_no"]).select("doc_id", "word_no", rounded("skipped").alias("skipped"), rounded("propagated").alias("propagated"), "entropy_last", "entropy_first")
 
 
 @query("""WITH p AS (SELECT l.doc_id, CAST(d.n_chars AS DOUBLE) AS score, l.toxic FROM labels l JOIN documents d ON l.doc_id = d.doc_id),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from itertools import combinations_with_replacement
 
 import numpy as np
@@ -74,12 +75,74 @@ def logistic(df: DataFrame, label: str, cols: list[str], cluster: str | None = N
     return [(t, float(b), float(s), normal_p(b / s)) for t, b, s in zip(terms, beta, np.sqrt(np.diag(cov)), strict=True)]
 
 
-def mixed_model(df: DataFrame, subject: str, y: str, x: str, others: list[str] = ()) -> list[tuple]:
-    """(term, beta, se, p) of y on x and others with a random intercept and slope of x by subject (REML).
+def mixed_model(df: DataFrame, subject: str, y: str, x: str, others: list[str] = (), moderator: str | None = None) -> list[tuple]:
+    """(term, beta, se, p) of ``mixed_fit``; with a moderator, of y on x, it, and their product too."""
+    extra = list(others)
+    if moderator:
+        df = df.withColumn(f"{x}:{moderator}", F.col(x).cast("double") * F.col(moderator).cast("double"))
+        extra = [moderator, f"{x}:{moderator}", *extra]
+    fit = mixed_fit(df, subject, y, x, extra)
+    return [(t, float(b), float(s), normal_p(b / s)) for t, b, s in zip(fit.terms, fit.beta, fit.se, strict=True)]
 
-    The data pass gives each subject's sums of products. The likelihood over the three
-    variance ratios is then a sum over that table: each step of the search is one aggregate
-    of it for 27 candidates, so the driver never holds a subject.
+
+@dataclass
+class MixedFit:
+    """Fixed effects, the covariance of the random intercept and slope, the residual variance, and -2 log REML (up to a constant)."""
+
+    terms: list[str]
+    beta: np.ndarray
+    se: np.ndarray
+    random: np.ndarray
+    residual: float
+    criterion: float
+    n: int
+    subjects: int
+    steps: int
+
+
+def _subject_totals(n: np.ndarray, xx: np.ndarray, xy: np.ndarray, yy: np.ndarray, theta: np.ndarray) -> np.ndarray:
+    """What the likelihood and its gradient need, summed over subjects, in a row.
+
+    Z is the first two columns of X, D the covariance of the random effects over the residual variance, and
+    V = I + Z D Z'. With A = Z'Z and W = D (I + A D)^-1, V^-1 = I - Z W Z'; no subject's rows are needed.
+    """
+    low = np.array([[theta[0], 0.0], [theta[1], theta[2]]])
+    d = low @ low.T
+    a, zx, zy = xx[:, :2, :2], xx[:, :2, :], xy[:, :2]
+    inner = np.eye(2) + a @ d
+    w = d @ np.linalg.inv(inner)
+    t = a - a @ w @ a  # Z' V^-1 Z
+    c = zx - a @ w @ zx  # Z' V^-1 X
+    u = zy - np.einsum("sij,sj->si", a @ w, zy)  # Z' V^-1 y
+    parts = [
+        [np.linalg.slogdet(inner)[1].sum()], t.sum(0).ravel(), (xx - np.swapaxes(zx, 1, 2) @ w @ zx).sum(0).ravel(), (xy - np.einsum("sip,sij,sj->sp", zx, w, zy)).sum(0),
+        [(yy - np.einsum("si,sij,sj->s", zy, w, zy)).sum()], np.einsum("si,sj->ij", u, u).ravel(), np.einsum("sip,sj->ijp", c, u).ravel(), np.einsum("sip,sjq->ijpq", c, c).ravel(),
+    ]
+    return np.concatenate(parts)
+
+
+def _criterion(total: np.ndarray, n: int, p: int, theta: np.ndarray):
+    """(criterion, its gradient, fixed effects, residual variance, X' V^-1 X) at ``theta``."""
+    at = np.cumsum([1, 4, p * p, p, 1, 4, 4 * p, 4 * p * p])
+    det, t, s, sy, q, uu, cu, cc = np.split(total, at[:-1])
+    s, uu, cu, cc = s.reshape(p, p), uu.reshape(2, 2), cu.reshape(2, 2, p), cc.reshape(2, 2, p, p)
+    beta = np.linalg.solve(s, sy)
+    s2 = max((q[0] - beta @ sy) / (n - p), 1e-300)
+    value = det[0] + np.linalg.slogdet(s)[1] + (n - p) * np.log(s2)
+    rest = uu - cu @ beta - (cu @ beta).T + np.einsum("ijpq,p,q->ij", cc, beta, beta)  # of Z' V^-1 (y - X b)
+    g = t.reshape(2, 2) - np.einsum("ijpq,qp->ij", cc, np.linalg.inv(s)) - rest / s2
+    g11, g12, g22 = g[0, 0], g[0, 1] + g[1, 0], g[1, 1]
+    a, b, c = theta
+    return value, np.array([2 * a * g11 + b * g12, a * g12 + 2 * b * g22, 2 * c * g22]), beta, s2, s
+
+
+def mixed_fit(df: DataFrame, subject: str, y: str, x: str, others: list[str] = (), tol: float = 1e-8, most: int = 40) -> MixedFit:
+    """REML fit of y on x and others with a random intercept and slope of x by subject.
+
+    One pass gives each subject's sums of products. The criterion, its gradient and, from four
+    gradients, its curvature are sums over that table: a Newton step is one aggregate over the subjects for
+    the point and its neighbours, and one for trial lengths of the step. The driver holds a few small
+    matrices and no subject. Rows with a null are left out.
     """
     cols = [x, *others]
     rows = df.na.drop(subset=[subject, y, *cols])
@@ -89,59 +152,58 @@ def mixed_model(df: DataFrame, subject: str, y: str, x: str, others: list[str] =
     sums = rows.groupBy(subject).agg(
         F.count("*").cast("double").alias("n"), F.sum(out * out).alias("yy"), *[F.sum(c * out).alias(f"y{i}") for i, c in enumerate(v)], *[F.sum(v[i] * v[j]).alias(f"x{i}_{j}") for i, j in pairs]
     ).persist()
-    n = sums.agg(F.sum("n")).first()[0] or 0.0
+    facts = sums.agg(F.sum("n"), F.count("*"), *[F.sum(f"x{i}_{i}") for i in range(p)], F.sum("yy")).first()
+    n, subjects = int(facts[0] or 0), facts[1]
+    unit = np.sqrt(np.array([float(f or 0.0) for f in facts[2 : 2 + p]]) / max(n, 1))  # columns are taken in these units
+    unit[unit == 0] = 1.0
 
-    def evaluate(thetas: list[np.ndarray]):
+    def totals(thetas: list[np.ndarray]) -> list[np.ndarray]:
         def part(frames):
             import pandas as pd
 
-            total = np.zeros((len(thetas), 2 + p + p * p))
+            held = None
             for f in frames:
                 if not len(f):
                     continue
                 xx = np.zeros((len(f), p, p))
                 for i, j in pairs:
-                    xx[:, i, j] = xx[:, j, i] = f[f"x{i}_{j}"]
-                xy, yy = f[[f"y{i}" for i in range(p)]].to_numpy(), f["yy"].to_numpy()
-                zz, zx, zy = xx[:, :2, :2], xx[:, :2, :], xy[:, :2]  # Z is the intercept and x
-                for k, t in enumerate(thetas):
-                    chol = np.array([[np.exp(t[0]), 0.0], [t[2], np.exp(t[1])]])
-                    d = chol @ chol.T
-                    m = np.linalg.inv(np.linalg.inv(d) + zz)
-                    mzx, mzy = m @ zx, np.einsum("sij,sj->si", m, zy)
-                    total[k, 0] += np.linalg.slogdet(np.eye(2) + zz @ d)[1].sum()
-                    total[k, 1] += (yy - np.einsum("si,si->s", zy, mzy)).sum()
-                    total[k, 2 : 2 + p] += (xy - np.einsum("sji,sj->si", zx, mzy)).sum(0)
-                    total[k, 2 + p :] += (xx - np.einsum("sji,sjk->sik", zx, mzx)).sum(0).ravel()
-            yield pd.DataFrame({"k": np.repeat(np.arange(len(thetas)), total.shape[1]), "i": np.tile(np.arange(total.shape[1]), len(thetas)), "v": total.ravel()})
-
-        got = sums.mapInPandas(part, "k int, i int, v double").groupBy("k", "i").agg(F.sum("v").alias("v")).collect()
-        table = np.zeros((len(thetas), 2 + p + p * p))
+                    xx[:, i, j] = xx[:, j, i] = f[f"x{i}_{j}"] / (unit[i] * unit[j])
+                xy = f[[f"y{i}" for i in range(p)]].to_numpy() / unit
+                own = np.array([_subject_totals(f["n"].to_numpy(), xx, xy, f["yy"].to_numpy(), t) for t in thetas])
+                held = own if held is None else held + own
+            if held is not None:
+                yield pd.DataFrame({"k": np.repeat(np.arange(len(thetas)), held.shape[1]), "i": np.tile(np.arange(held.shape[1]), len(thetas)), "v": held.ravel()})
+
+        got = sums.mapInPandas(part, "k int, i int, v double").groupBy("k", "i").agg(F.sum("v").alias("v")).collect()  # a few numbers for each point
+        table = np.zeros((len(thetas), 2 + 8 + p * p + p + 4 * p + 4 * p * p))
         for r in got:
             table[r["k"], r["i"]] = r["v"]
-        fits = []
-        for t in table:
-            xvx = t[2 + p :].reshape(p, p)
-            beta = np.linalg.solve(xvx, t[2 : 2 + p])
-            s2 = max((t[1] - beta @ t[2 : 2 + p]) / (n - p), 1e-300)
-            fits.append((t[0] + np.linalg.slogdet(xvx)[1] + (n - p) * np.log(s2), beta, s2, xvx))
-        return fits
-
-    best, step = np.array([-1.0, -1.0, 0.0]), 1.0
-    while step > 1e-2:
-        trials = [best + step * np.array([a, b, c]) for a in (0, -1, 1) for b in (0, -1, 1) for c in (0, -1, 1)]
-        trials = [t for t in trials if np.all(np.abs(t[:2]) < 12)]
-        fits = evaluate(trials)
-        low = int(np.argmin([f[0] for f in fits]))
-        if fits[low][0] < fits[0][0] - 1e-9:
-            best = trials[low]
+        return [_criterion(t, n, p, theta) for t, theta in zip(table, thetas, strict=True)]
+
+    theta, h, steps = np.array([0.5, 0.0, 0.5]), 1e-5, 0
+    best = None
+    for steps in range(1, most + 1):
+        around = totals([theta, *[theta + h * e for e in np.eye(3)]])
+        best = around[0]
+        curve = np.array([(f[1] - best[1]) / h for f in around[1:]])
+        size, axes = np.linalg.eigh((curve + curve.T) / 2)
+        step = -axes @ ((axes.T @ best[1]) / np.maximum(np.abs(size), 1e-6 * max(1.0, np.abs(size).max())))
+        step *= min(1.0, 2.0 / max(np.abs(step).max(), 1e-300))
+        trials = [theta + step * f for f in (1.0, 0.5, 0.25, 0.1, 0.03, 0.01)]
+        tried = totals(trials)
+        low = int(np.argmin([f[0] for f in tried]))
+        if tried[low][0] < best[0]:
+            moved, gained = np.abs(trials[low] - theta).max(), best[0] - tried[low][0]
+            theta, best = trials[low], tried[low]
+            if moved < tol or gained < 1e-12 * abs(best[0]):
+                break
         else:
-            step /= 2.5
-        final = fits[low]
+            break
     sums.unpersist()
-    _, beta, s2, xvx = final
-    se = np.sqrt(np.diag(np.linalg.inv(xvx)) * s2)
-    return [(t, float(b), float(s), normal_p(b / s)) for t, b, s in zip(["intercept", *cols], beta, se, strict=True)]
+    value, _, beta, s2, s = best
+    low = np.array([[theta[0], 0.0], [theta[1], theta[2]]])
+    random = low @ low.T * s2 / np.outer(unit[:2], unit[:2])
+    return MixedFit(["intercept", *cols], beta / unit, np.sqrt(np.diag(np.linalg.inv(s)) * s2) / unit, random, float(s2), float(value + 2 * np.log(unit).sum()), n, subjects, steps)
 
 
 def cv_ridge(df: DataFrame, by: str, fold: str, cols: list[str], y: str, alpha: float = 1e3) -> DataFrame:
@@ -188,7 +250,7 @@ def unique_contribution(df: DataFrame, by: str, fold: str, cols: list[str], y: s
     """``r_full, r_rest, unique`` by channel: what ``without`` adds to the held-out correlation."""
     full = cv_ridge(df, by, fold, cols, y, alpha).withColumnRenamed("r", "r_full")
     rest = cv_ridge(df, by, fold, [c for c in cols if c not in without], y, alpha).withColumnRenamed("r", "r_rest")
-    return full.join(rest, by).withColumn("unique", F.col("r_full") - F.col("r_rest"))
+    return full.join(rest.hint("merge"), by).withColumn("unique", F.col("r_full") - F.col("r_rest"))
 
 
 def with_p(rows: list[tuple], df: int) -> list[tuple]:

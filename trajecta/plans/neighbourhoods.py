@@ -115,14 +115,14 @@ st AS (SELECT query_id, unnest(generate_series(1, len(v))) AS i, unnest(list_tra
 m AS (SELECT query_id, i, avg(y) AS y FROM st GROUP BY ALL), f AS (SELECT query_id, list(y ORDER BY i) AS flow FROM m GROUP BY query_id)"""
 
 
-def flow(spark, d: str, n: int = 5) -> DataFrame:
+def flow(spark, d: str, n: int = 5, near=N.flow_neighbors) -> DataFrame:
     """For each item with a predecessor: v, the previous state and the mean next step of its n nearest foreign states."""
     rows = T.lagged(sequences(spark, d), KEYS, "pos", "v", 3).withColumn("next", F.lead("v").over(T.along(KEYS, "pos")))
     queries = rows.where("_l1 is not null").select(F.col("vec_id").alias("id"), F.col("seq_id").alias("grp"), F.col("_l1").alias("vec"))
     corpus = rows.where("next is not null").select(F.col("vec_id").alias("id"), F.col("seq_id").alias("grp"), F.col("v").alias("vec"))
-    near = N.flow_neighbors(queries, corpus, n)
+    found = near(queries, corpus, n)
     steps = rows.where("next is not null").select("vec_id", V.v_sub(F.col("next"), F.col("v")).alias("step"))
-    return rows.join(N.flow_prediction(near, steps).hint("merge"), F.col("vec_id") == F.col("query_id"))
+    return rows.join(N.flow_prediction(found, steps).hint("merge"), F.col("vec_id") == F.col("query_id"))
 
 
 @query(f"{FLOW} SELECT nx.vec_id, round({norm_of('nx.v[i] - (nx.l1[i] + f.flow[i])', 'nx.v')}, 6) + 0.0 AS flow_error FROM nx JOIN f ON nx.vec_id = f.query_id")
@@ -137,6 +137,14 @@ def prediction_gap(spark, d):
     return flow(spark, d).select("vec_id", rounded(V.v_norm(V.v_sub(T.predicted(3), guess_))).alias("gap"))
 
 
+@query()
+def flow_error_approx(spark, d):
+    """``flow_error_knn`` with neighbours from projection buckets."""
+    guess_ = F.zip_with("_l1", "flow", lambda a, b: a + b)
+    rows = flow(spark, d, near=lambda q, c, n: N.flow_neighbors_approx(q, c, n, bucket=100))
+    return rows.select("vec_id", rounded(V.v_norm(V.v_sub(F.col("v"), guess_))).alias("flow_error"))
+
+
 PAIRED = f"""WITH {SEQ}, t AS (SELECT seq_id, pos AS target FROM s),
 p AS (SELECT t.seq_id, t.target, s.pos - t.target AS lag, s.v AS a, list_transform(generate_series(1, len(s.v)), lambda i: s.v[i] * CASE WHEN (i - 1) % 2 = 0 THEN 0.9 ELSE 1.0 END) AS b
 FROM t JOIN s ON s.seq_id = t.seq_id AND s.pos BETWEEN t.target + 1 AND t.target + 5)"""

@@ -75,12 +75,20 @@ def systematic_sample(spark, d):
     return rows.select("conv_id", "turn", "rank")
 
 
-@query("""SELECT substr(md5(string_agg(t, '|' ORDER BY conv_id)), 1, 10) AS fingerprint FROM (SELECT conv_id, md5(string_agg(conv_id || '.' || turn, '|' ORDER BY turn)) AS t FROM conversations GROUP BY conv_id)""")
+def _tree_sql(rows: str, name: str) -> str:
+    """Digests of every ``FAN`` rows of ``rows(g, i, n, t)``, and of digests, until each group has one."""
+    level = lambda source, t: f"SELECT g, i // {R.FAN}, (n + {R.FAN - 1}) // {R.FAN}, md5(string_agg({t}, '|' ORDER BY i)) FROM {source}"
+    return f"{name}(g, i, n, t) AS ({level(rows, 't')} GROUP BY ALL UNION ALL {level(name, 't')} WHERE n > 1 GROUP BY g, i // {R.FAN}, n)"
+
+
+@query(f"""WITH RECURSIVE k AS (SELECT conv_id AS g, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS n, conv_id || '.' || turn AS t FROM conversations), {_tree_sql('k', 'own')},
+h AS (SELECT 0 AS g, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n, t FROM own WHERE n = 1), {_tree_sql('h', 'every')} SELECT substr(t, 1, 10) AS fingerprint FROM every WHERE n = 1""")
 def fingerprint_grouped(spark, d):
     return R.fingerprint(table(spark, d, "conversations"), ["conv_id", "turn"], ["conv_id"])
 
 
-@query("SELECT substr(md5(string_agg(conv_id || '.' || turn, '|' ORDER BY conv_id, turn)), 1, 10) AS fingerprint FROM conversations")
+@query(f"""WITH RECURSIVE k AS (SELECT 0 AS g, row_number() OVER (ORDER BY conv_id, turn) - 1 AS i, count(*) OVER () AS n, conv_id || '.' || turn AS t FROM conversations), {_tree_sql('k', 'every')}
+SELECT substr(t, 1, 10) AS fingerprint FROM every WHERE n = 1""")
 def fingerprint(spark, d):
     return R.fingerprint(table(spark, d, "conversations"), ["conv_id", "turn"])
 

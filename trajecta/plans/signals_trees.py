@@ -57,12 +57,42 @@ def channel_z(spark, d):
 def ridge_cv_unique(spark, d):
     """What the latest lags add to the held-out correlation, by channel (here: groups of users), five contiguous folds."""
     g, lengths = grid(spark, d)
-    x = S.lag_matrix(g, ["user_id"], lengths, "n", [1, 2, 3], "zero").join(lengths, "user_id")
+    x = S.lag_matrix(g, ["user_id"], lengths, "n", [1, 2, 3], "zero").join(lengths.hint("merge"), "user_id")
     x = x.withColumn("fold", F.least(F.lit(4), F.floor(F.col("t") * 5 / F.col("n"))).cast("int")).withColumn("channel", (F.col("user_id") % 10).cast("int"))
     out = I.unique_contribution(x, "channel", "fold", ["lag_1", "lag_2", "lag_3"], "value", ["lag_1"], 1000.0)
     return out.select("channel", rounded("r_full").alias("r_full"), rounded("r_rest").alias("r_rest"), rounded("unique").alias("unique"))
 
 
+#: Sums of products of three lags and the signal by channel, around means.
+LAG_SUMS = ", ".join(f"regr_sxy(l{i}, l{j}) AS p{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3) if i <= j) + ", " + ", ".join(f"regr_sxy(value, l{i}) AS y{i}" for i in (1, 2, 3))
+
+
+@query(f"""WITH {GRID}, l AS (SELECT user_id % 2 AS subject, user_id % 10 AS channel, value, {", ".join(f"coalesce(lag(value, {i}) OVER w, 0.0) AS l{i}" for i in (1, 2, 3))} FROM s WINDOW w AS (PARTITION BY user_id ORDER BY t)),
+c AS (SELECT subject, channel, {LAG_SUMS} FROM l GROUP BY ALL), k AS (SELECT subject, channel, p11 + 1000 AS a, p12 AS b, p13 AS c, p22 + 1000 AS d, p23 AS e, p33 + 1000 AS f, y1, y2, y3 FROM c),
+m AS (SELECT *, a * (d * f - e * e) - b * (b * f - e * c) + c * (b * e - d * c) AS det FROM k),
+w AS (SELECT subject, channel, 0 AS term, (y1 * (d * f - e * e) - b * (y2 * f - e * y3) + c * (y2 * e - d * y3)) / det AS w FROM m UNION ALL SELECT subject, channel, 1, (a * (y2 * f - e * y3) - y1 * (b * f - e * c) + c * (b * y3 - y2 * c)) / det FROM m
+UNION ALL SELECT subject, channel, 2, (a * (d * y3 - y2 * e) - b * (b * y3 - y2 * c) + y1 * (b * e - d * c)) / det FROM m), g AS (SELECT subject, term, avg(w) AS w FROM w GROUP BY ALL)
+SELECT subject, CAST(term + 1 AS BIGINT) AS lag, round(w, 6) + 0.0 AS weight, row_number() OVER (PARTITION BY subject ORDER BY abs(w) DESC, term) = 1 AS peak FROM g""")
+def encoding_curves(spark, d):
+    """Weights of three lags over the channels of each subject (parity of the user), and the lag where they are largest."""
+    from trajecta.plans import subjects as M
+
+    g, lengths = grid(spark, d)
+    x = S.lag_matrix(g, ["user_id"], lengths, "n", [1, 2, 3], "zero").withColumn("subject", F.col("user_id") % 2).withColumn("channel", F.col("user_id") % 10)
+    w = M.weight_curves(M.ridge_weights(x, ["subject", "channel"], "value", ["lag_1", "lag_2", "lag_3"], 1000.0), ["subject"])
+    return w.select("subject", (F.col("term") + 1).cast("long").alias("lag"), rounded("weight").alias("weight"), "peak")
+
+
+@query()
+def encoding_subjects(spark, d):
+    """Per subject: what the latest lags add to held-out correlations, over channels."""
+    from trajecta.plans import subjects as M
+
+    scores = ridge_cv_unique(spark, d).withColumn("subject", F.col("channel") % 2)
+    out = M.encoding_summary(scores, ["subject"])
+    return out.select("subject", "channels", *[rounded(c).alias(c) for c in ("mean_unique", "share_positive", "best_r")])
+
+
 def sentence_trees(spark, d: str):
     """doc_id, sent, tree: each sentence as a flat clause of two phrases, with an empty element."""
     from trajecta.operators.aggregates import reassemble

@@ -12,7 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -79,6 +79,40 @@ def subject_betas(df: DataFrame, by: list[str], y: str, xs: list[str], least: in
     return found.select(*by, "n", "used", "r2", *[F.nanvl(F.col(f"{n}_{x}"), F.lit(None)).alias(f"{n}_{x}") for x in xs for n in ("beta", "se", "slope")])
 
 
+def ridge_weights(df: DataFrame, by: list[str], y: str, xs: list[str], alpha: float = 1e3) -> DataFrame:
+    """``by, term, weight``: ridge regressions of ``y`` on ``xs`` for each group, the intercept not penalised.
+
+    ``term`` is the number of the x (from 0). One grouped pass, then small systems a batch of groups at a time.
+    """
+    cols = [*xs, y]
+    sums, k = listwise(df, cols).groupBy(*by).agg(*_sums(cols)), len(xs)
+
+    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            if not len(f):
+                continue
+            _, p = _batched(f, k + 1)
+            w = np.linalg.solve(p[:, :k, :k] + alpha * np.eye(k), p[:, :k, k:])[:, :, 0]
+            out = f[by].loc[f.index.repeat(k)]
+            yield out.assign(term=np.tile(np.arange(k), len(f)), weight=w.ravel())
+
+    keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sums.select(*by).schema.fields)
+    return sums.mapInPandas(solve, f"{keys}, term int, weight double")
+
+
+def weight_curves(weights: DataFrame, by: list[str]) -> DataFrame:
+    """``by, term, weight, peak``: mean weights over channels (or subjects) by term; peak marks the largest by size, the first of equals."""
+    curve = weights.groupBy(*by, "term").agg(F.avg("weight").alias("weight"))
+    w = Window.partitionBy(*by).orderBy(F.desc(F.abs("weight")), "term")  # a row for each lag
+    return curve.withColumn("peak", F.row_number().over(w) == 1)
+
+
+def encoding_summary(scores: DataFrame, by: list[str], full: str = "r_full", unique: str = "unique") -> DataFrame:
+    """Per subject: channels, mean unique contribution, share of channels above 0 and the best held-out correlation."""
+    u = F.col(unique)
+    return scores.groupBy(*by).agg(F.count(u).alias("channels"), F.avg(u).alias("mean_unique"), F.avg((u > 0).cast("double")).alias("share_positive"), F.max(full).alias("best_r"))
+
+
 @F.pandas_udf(DoubleType())
 def t_p(t: pd.Series, df: pd.Series) -> pd.Series:
     """Two-sided p of Student's t."""

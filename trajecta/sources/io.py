@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trajecta.functions.text import id_part, squash_ws
@@ -38,13 +38,65 @@ def read_bracketed(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(count("(") == count(")"))
 
 
-def write_states(states: DataFrame, path: str, key: str = "seq_id") -> None:
-    """Vector sequences as Parquet, one folder a sequence, so that a reader prunes to the ones it asks for."""
-    states.repartition(key).sortWithinPartitions(key).write.mode("overwrite").partitionBy(key).parquet(path)
+BUCKETS = 256  # folders of a store, however many keys it has
 
 
-def read_states(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where)
+
+
+def _bucket(key: str, buckets: int) -> Column:
+    return F.when(F.col(key).isNotNull(), F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int"))
+
+
+def _of_store(store: DataFrame) -> tuple[str, int]:
+    """The column of a store's folders, whose name says how many there are."""
+    name = next(c for c in store.columns if c.startswith("bucket_"))
+    return name, int(name.removeprefix("bucket_"))
+
+
+def write_states(states: DataFrame, path: str, key: str = "seq_id", buckets: int = BUCKETS) -> None:
+    """Sequences (or subjects' results) as a Parquet store in ``buckets`` folders by the key's hash.
+
+    A store that is there already takes in the keys of ``states``: theirs are replaced, other keys stay,
+    and only folders with one of the new keys are written again. Each of them gets one file in the order of
+    the key, so the number of files doesn't grow with keys or runs, and readers skip row groups. A store
+    keeps the number of folders it was begun with. Null keys are a key of their own.
+    """
+    spark = states.sparkSession
+    rows, there = states, _exists(spark, path)
+    if there:
+        old = spark.read.parquet(path)
+        name, buckets = _of_store(old)
+        keys = states.select(F.col(key).alias("_key")).distinct()
+        touched = keys.select(F.coalesce(_bucket("_key", buckets), F.lit(0)).alias(name)).distinct()
+        stay = old.join(F.broadcast(touched), name, "left_semi").join(keys.hint("merge"), F.col(key).eqNullSafe(F.col("_key")), "left_anti")  # a number for each folder
+        rows = states.unionByName(stay.drop(name).select(states.columns))
+    name = f"bucket_{buckets}"
+    rows = rows.withColumn(name, F.coalesce(_bucket(key, buckets), F.lit(0)))
+    dealt = rows.repartition(name).sortWithinPartitions(name, key)
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(name).parquet(path)
+
+
+def read_states(spark: SparkSession, path: str, key: str = "seq_id", keys: list | None = None) -> DataFrame:
+    """A store's rows, of all keys or of ``keys``, whose folders alone are then read."""
+    rows = spark.read.parquet(path)
+    name, buckets = _of_store(rows)
+    if keys is not None:
+        asked = spark.createDataFrame([(k,) for k in keys], rows.select(key).schema)
+        own = sorted({r[0] for r in asked.select(F.coalesce(_bucket(key, buckets), F.lit(0))).collect()})
+        rows = rows.where(F.col(name).isin(own)).where(F.col(key).isin([k for k in keys if k is not None]) | (F.col(key).isNull() if None in keys else F.lit(False)))
+    return rows.drop(name)
+
+
+def unfinished(manifest: DataFrame, path: str, key: str = "subject") -> DataFrame:
+    """The rows of a manifest whose key a store does not have yet; all of them before there is a store."""
+    spark = manifest.sparkSession
+    if not _exists(spark, path):
+        return manifest
+    done = spark.read.parquet(path).select(F.col(key).alias("_key")).distinct()
+    return manifest.join(done.hint("merge"), F.col(key).eqNullSafe(F.col("_key")), "left_anti")
 
 
 def write_result(df: DataFrame, path: str, kind: str = "parquet") -> None:
