@@ -430,3 +430,29 @@ def repair_all(original: DataFrame, piece: int = PIECE) -> DataFrame:
 def op11_repair_conversations(spark, sf_dir: str) -> DataFrame:
     """Contract query: the damaged ``conversations``, one row for each original conv_id."""
     return repair_all(read_table(spark, sf_dir, "conversations"))
+
+
+_SQL_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length(id) + 1), lambda i: ascii(id[i])::BIGINT)),
+    lambda c, b: list_reduce(list_concat([xor(c, b)], list_transform(range(8), lambda j: 0::BIGINT)), lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+
+ORACLE_SQL = rf"""WITH RECURSIVE o AS (SELECT conv_id, coalesce('=' || conv_id, '') AS conv, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS id FROM conversations),
+k AS (SELECT *, {_SQL_CRC} % 20 AS kind FROM o),
+d AS (SELECT conv, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy FROM k WHERE kind <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, md5(length(conv) || ':' || length(role) || ':' || conv || role || text), copy) AS i, count(*) OVER (PARTITION BY conv) AS rows_ FROM d),
+f AS (SELECT *, left(role, 1) AS ini, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY i) > 1 THEN 'duplicate'
+    WHEN right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM n),
+ins(q, now, cost, letters, lines) AS (VALUES (0, 0, 0, '', ''), (1, 1, 0, '', ''), (2, 2, 0, '', ''), (3, 3, 0, '', ''), (0, 2, 3, 'I', chr(10) || 'user:'), (1, 2, 3, 'I', chr(10) || 'user:'), (2, 3, 3, 'I', chr(10) || 'assistant:'), (3, 2, 3, 'I', chr(10) || 'user:'),
+    (0, 3, 6, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), (1, 3, 6, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), (2, 2, 6, 'II', chr(10) || 'assistant:' || chr(10) || 'user:'), (3, 3, 6, 'II', chr(10) || 'user:' || chr(10) || 'assistant:')),
+edits(op, ini, now, next, role) AS (VALUES ('D', NULL, 0, 0, NULL), ('D', NULL, 1, 1, NULL), ('D', NULL, 2, 2, NULL), ('D', NULL, 3, 3, NULL), ('K', 's', 0, 1, NULL), ('K', 'u', 0, 2, NULL), ('K', 'u', 1, 2, NULL), ('K', 'u', 3, 2, NULL), ('K', 'a', 2, 3, NULL),
+    ('R', NULL, 0, 2, 'user'), ('R', NULL, 1, 2, 'user'), ('R', NULL, 3, 2, 'user'), ('R', NULL, 2, 3, 'assistant')),
+e AS (SELECT f.conv, f.i, ins.q, edits.next, ins.letters || op AS letters, ins.cost + CASE op WHEN 'D' THEN 4 WHEN 'R' THEN 3 ELSE 0 END + CASE WHEN op <> 'D' AND fault = 'truncated' THEN 3 ELSE 0 END AS cost,
+    lines || CASE op WHEN 'D' THEN '' ELSE chr(10) || CASE op WHEN 'K' THEN f.role ELSE edits.role END || ':' || text END AS lines
+    FROM f JOIN edits ON op = 'D' OR fault NOT IN ('blank', 'duplicate') AND (op = 'R' OR edits.ini = f.ini) JOIN ins USING (now)),
+g(conv, i, q, best) AS (SELECT conv, any_value(rows_) + 1, q, any_value(struct_pack(cost := c, audit := a, lines := l)) FROM f, (VALUES (0, 0, '', ''), (1, 6, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), (2, 3, 'I', chr(10) || 'assistant:'), (3, 0, '', '')) t(q, c, a, l) GROUP BY conv, q
+    UNION ALL SELECT e.conv, e.i, e.q, min(struct_pack(cost := e.cost + best.cost, audit := e.letters || best.audit, lines := e.lines || best.lines)) FROM g JOIN e ON e.conv = g.conv AND e.i = g.i - 1 AND e.next = g.q GROUP BY e.conv, e.i, e.q),
+b AS (SELECT conv, best FROM g WHERE i = 1 AND q = 0),
+p AS (SELECT *, lag(ini) OVER (PARTITION BY conv ORDER BY i) || '>' || ini AS pair FROM f),
+c AS (SELECT conv, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+    count(*) FILTER (WHERE pair NOT IN ('s>u', 'u>a', 'a>u')) AS illegal FROM p GROUP BY conv)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(best.cost, 0) AS BIGINT) AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(best.lines[2:], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, conv FROM o) a LEFT JOIN c USING (conv) LEFT JOIN b USING (conv)"""

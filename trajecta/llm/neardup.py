@@ -311,3 +311,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, margin: floa
 def op8_near_duplicates(spark, sf_dir: str) -> DataFrame:
     """Contract query: three-word shingles at a similarity of 0.85."""
     return near_duplicates(read_table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+#: Distinct sets are joined on shared shingles, and classes reach each other along links.
+ORACLE_SQL = rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM w),
+c AS (SELECT min(doc_id) AS cls, len(s) AS n, s FROM (SELECT doc_id, list_sort(s) AS s FROM s) GROUP BY s),
+m AS (SELECT doc_id, cls, c.n FROM s JOIN c ON list_sort(s.s) = c.s),
+u AS (SELECT cls, n, unnest(s) AS g FROM c),
+p AS (SELECT a.cls AS a, b.cls AS b FROM u a JOIN u b ON a.g = b.g AND a.cls < b.cls AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY a.cls, b.cls HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r(a, b) AS (SELECT cls, cls FROM c WHERE n > 0 UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+k AS (SELECT a, min(b) AS component FROM r GROUP BY a)
+SELECT doc_id, CAST(m.n AS BIGINT) AS n_shingles, CASE WHEN m.n = 0 THEN doc_id ELSE k.component END AS component_id, doc_id = CASE WHEN m.n = 0 THEN doc_id ELSE k.component END AS kept FROM m LEFT JOIN k ON k.a = m.cls"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .conversations import ORACLE_SQL as CONVERSATIONS_SQL
 from .conversations import op11_repair_conversations
 from .decontaminate import op6_decontaminate
 from .htmltext import op9_extract_html
@@ -11,6 +12,7 @@ from .manifest import ORACLE_SQL as MANIFEST_SQL
 from .manifest import op12_merkle_manifest
 from .mixing import op1_mix_sources
 from .nearest import op4_nearest
+from .neardup import ORACLE_SQL as NEARDUP_SQL
 from .neardup import op8_near_duplicates
 from .packing import op13_pack_documents
 from .pii import op3_pii
@@ -33,4 +35,8 @@ QUERIES = {
     "op13_pack_documents": op13_pack_documents,
 }
 
-ORACLE_SQL: dict[str, str] = {"op12_merkle_manifest": MANIFEST_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op8_near_duplicates": NEARDUP_SQL,
+    "op11_repair_conversations": CONVERSATIONS_SQL,
+    "op12_merkle_manifest": MANIFEST_SQL,
+}
