@@ -71,8 +71,8 @@ LAG_SUMS = ", ".join(f"regr_sxy(l{i}, l{j}) AS p{i}{j}" for i in (1, 2, 3) for j
 c AS (SELECT subject, channel, {LAG_SUMS} FROM l GROUP BY ALL), k AS (SELECT subject, channel, p11 + 1000 AS a, p12 AS b, p13 AS c, p22 + 1000 AS d, p23 AS e, p33 + 1000 AS f, y1, y2, y3 FROM c),
 m AS (SELECT *, a * (d * f - e * e) - b * (b * f - e * c) + c * (b * e - d * c) AS det FROM k),
 w AS (SELECT subject, channel, 0 AS term, (y1 * (d * f - e * e) - b * (y2 * f - e * y3) + c * (y2 * e - d * y3)) / det AS w FROM m UNION ALL SELECT subject, channel, 1, (a * (y2 * f - e * y3) - y1 * (b * f - e * c) + c * (b * y3 - y2 * c)) / det FROM m
-UNION ALL SELECT subject, channel, 2, (a * (d * y3 - y2 * e) - b * (b * y3 - y2 * c) + y1 * (b * e - d * c)) / det FROM m), g AS (SELECT subject, term, avg(w) AS w FROM w GROUP BY ALL)
-SELECT subject, CAST(term + 1 AS BIGINT) AS lag, round(w, 6) + 0.0 AS weight, row_number() OVER (PARTITION BY subject ORDER BY abs(w) DESC, term) = 1 AS peak FROM g""")
+UNION ALL SELECT subject, channel, 2, (a * (d * y3 - y2 * e) - b * (b * y3 - y2 * c) + y1 * (b * e - d * c)) / det FROM m), gw AS (SELECT subject, term, avg(w) AS w FROM w GROUP BY ALL)
+SELECT subject, CAST(term + 1 AS BIGINT) AS lag, round(w, 6) + 0.0 AS weight, row_number() OVER (PARTITION BY subject ORDER BY abs(w) DESC, term) = 1 AS peak FROM gw""")
 def encoding_curves(spark, d):
     """Weights of three lags over the channels of each subject (parity of the user), and the lag where they are largest."""
     from trajecta.plans import subjects as M
