@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trajecta.functions import text as X
@@ -169,6 +170,20 @@ def top_bottom_n(spark, d):
     return A.top_n(labelled(spark, d).select("doc_id", "score", F.col("toxic").cast("long").alias("toxic")), 15, "score", ["doc_id"])
 
 
+@query("""WITH p AS (SELECT l.doc_id, CAST(d.n_chars AS DOUBLE) AS score, CAST(l.toxic AS BIGINT) AS toxic, d.text FROM labels l JOIN documents d ON l.doc_id = d.doc_id),
+e AS (SELECT *, 'top' AS side FROM (SELECT * FROM p ORDER BY score DESC, doc_id LIMIT 10) UNION ALL SELECT *, 'bottom' FROM (SELECT * FROM p ORDER BY score, doc_id LIMIT 10))
+SELECT side, doc_id, score, toxic, substr(text, 1, 80) AS opening, round(avg(toxic) OVER (PARTITION BY side), 6) + 0.0 AS rate FROM e""")
+def extremes_with_text(spark, d):
+    """The ten highest and the ten lowest scores with the opening of their text, and the share of flagged ones on each side."""
+    p = labelled(spark, d).select("doc_id", "score", F.col("toxic").cast("long").alias("toxic"))
+    sides = [A.top_n(p, 10, "score", ["doc_id"], largest).withColumn("side", F.lit(name)) for name, largest in (("top", True), ("bottom", False))]
+    ends = sides[0].unionByName(sides[1])
+    texts = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 80).alias("opening"))
+    rows = texts.join(F.broadcast(ends), "doc_id")  # twenty rows
+    rate = F.avg("toxic").over(Window.partitionBy("side"))
+    return rows.select("side", "doc_id", "score", "toxic", "opening", rounded(rate).alias("rate"))
+
+
 @query("""WITH p AS (SELECT source, 1 - avg(CAST(d.doc_id IN (SELECT doc_id FROM labels) AS INT)) AS missing, count(*) AS n FROM documents d GROUP BY source)
 SELECT source, n, round(missing, 6) + 0.0 AS missing FROM p""")
 def label_membership(spark, d):

@@ -160,6 +160,12 @@ def traj_smoothed_error(spark, d):
     return rows.select("seq_id", "pos", rounded("error_m3").alias("error_m3"), rounded("error_m5").alias("error_m5"))
 
 
+@query(f"WITH {SEQ}, {smooth_sql(10)} SELECT seq_id, pos, error_m10 FROM e10")
+def traj_smoothed_error_m10(spark, d):
+    rows = T.smoothed_error(sequences(spark, d), KEYS, "pos", "v", 10, out="error_m10")
+    return rows.select("seq_id", "pos", rounded("error_m10").alias("error_m10"))
+
+
 @query(f"""WITH e AS (SELECT user_id, event_id, ts, value AS v FROM events),
 l AS (SELECT *, {lag_list(5)} FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
 SELECT user_id, event_id, round(abs(v - {guess(3, 1, '')}), 6) + 0.0 AS error_k3, round(abs(v - {guess(5, 2, '')}), 6) + 0.0 AS error_k5 FROM l""")

@@ -34,6 +34,16 @@ def corr_matrix(spark, d):
     return A.correlations(lines(spark, d), COLS).select("x", "y", rounded("r").alias("r"), "n")
 
 
+ZEROS = "z AS (SELECT quantity, price, coalesce(CASE WHEN flag <> 'A' THEN discount END, 0.0) AS discount FROM l)"
+
+
+@query(f"WITH {LINES}, {ZEROS} " + " UNION ALL ".join(f"SELECT '{a}' AS x, '{b}' AS y, round(corr({a}, {b}), 6) + 0.0 AS r, count(*) AS n FROM z" for a, b in combinations(COLS[:3], 2)))
+def corr_matrix_zeros(spark, d):
+    """Correlations where a missing value counts as 0 (here the discounts of one flag are missing)."""
+    z = lines(spark, d).withColumn("discount", F.when(F.col("flag") != "A", F.col("discount"))).fillna(0.0, subset=["discount"])
+    return A.correlations(z, COLS[:3]).select("x", "y", rounded("r").alias("r"), "n")
+
+
 def partial_sql(x: str, y: str, z: str, source: str, label: str = "") -> str:
     """The correlation of x and y given z."""
     return f"""SELECT {label}round((corr({x}, {y}) - corr({x}, {z}) * corr({y}, {z})) / sqrt((1 - pow(corr({x}, {z}), 2)) * (1 - pow(corr({y}, {z}), 2))), 6) + 0.0 AS r, count(*) AS n FROM {source}"""

@@ -117,6 +117,17 @@ def reconcile(spark, d):
     return R.reconcile(o.where("k % 7 <> 0"), other, ["k"], "v", 1e-6).withColumn("max_gap", F.round("max_gap", 6))
 
 
+@query("""WITH a AS (SELECT l_orderkey AS k, sum(l_quantity) AS v FROM lineitem GROUP BY l_orderkey), b AS (SELECT k, sum(q) AS v FROM (SELECT l_orderkey AS k, l_returnflag, sum(l_quantity) AS q FROM lineitem GROUP BY ALL) GROUP BY k),
+c AS (SELECT CAST(sum(CASE WHEN b.k IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS only_a, CAST(sum(CASE WHEN a.k IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS only_b, CAST(sum(CASE WHEN abs(a.v - b.v) > 1e-6 THEN 1 ELSE 0 END) AS BIGINT) AS differ FROM a FULL JOIN b ON a.k = b.k)
+SELECT *, CASE WHEN only_a + only_b + differ = 0 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM c""")
+def reconcile_two_ways(spark, d):
+    """Quantities by order, summed at once and by flag first: two ways to one table agree."""
+    l = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), "l_returnflag", F.col("l_quantity").alias("q"))
+    once = l.groupBy("k").agg(F.sum("q").alias("v"))
+    twice = l.groupBy("k", "l_returnflag").agg(F.sum("q").alias("q")).groupBy("k").agg(F.sum("q").alias("v"))
+    return R.reconcile(once, twice, ["k"], "v", 1e-6).drop("max_gap")
+
+
 @query("""WITH m AS (SELECT o_orderkey AS path, o_custkey AS size FROM orders), f AS (SELECT o_orderkey AS path, o_custkey + o_orderkey % 3 AS size FROM orders WHERE o_orderkey % 2 = 0)
 SELECT path, size FROM m WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.path = m.path AND abs(f.size - m.size) <= 1)""")
 def pending_manifest(spark, d):
