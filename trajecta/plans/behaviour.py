@@ -110,6 +110,12 @@ def normal_sql(z: str) -> str:
     return f"(1 - 2 / sqrt(pi()) * exp(-{x} * {x}) * list_sum(list_transform(range(0, 300), lambda i: exp(2 * i * ln(2) + (2 * i + 1) * ln(greatest({x}, 1e-300)) + lgamma(i + 1) - lgamma(2 * i + 2)))))"
 
 
+def normal_tail_sql(z: str) -> str:
+    """``normal_sql`` for any size of z: its series needs more terms than z * z / 2, so beyond 8 the tail's own expansion is used."""
+    x = f"(abs({z}) / sqrt(2))"
+    return f"CASE WHEN abs({z}) <= 8 THEN {normal_sql(z)} ELSE exp(-{x} * {x}) / ({x} * sqrt(pi())) * (1 - 1 / (2 * {x} * {x}) + 3 / (4 * pow({x}, 4))) END"
+
+
 def student_sql(t: str, df: str) -> str:
     """Two-sided p of Student's t with whole degrees of freedom, by its finite series."""
     c, s = f"({df} / ({df} + {t} * {t}))", f"(abs({t}) / sqrt({df} + {t} * {t}))"
@@ -125,6 +131,14 @@ test AS (SELECT n, w_plus, CASE WHEN n <= 50 THEN least(1, 2 * least((SELECT sum
     ELSE {normal_sql('((w_plus - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0))')} END AS p FROM w)"""
 
 
+#: The same with equal sizes sharing the mean of their ranks (r is twice that) and the variance corrected for them.
+SIGNED_RANK_TIES = f"""v AS (SELECT v, 2 * rank() OVER (ORDER BY abs(v)) + count(*) OVER (PARTITION BY abs(v)) - 1 AS r, count(*) OVER (PARTITION BY abs(v)) AS c, row_number() OVER (ORDER BY abs(v)) AS i FROM d WHERE v <> 0 AND NOT isnan(v)),
+w AS (SELECT count(*) AS n, coalesce(sum(CASE WHEN v > 0 THEN r END), 0)::BIGINT AS up, n * (n + 1.0) * (2 * n + 1) / 24 - sum(c::DOUBLE * c - 1) / 48 AS var FROM v), first AS (SELECT i, r FROM v WHERE (SELECT n FROM w) <= 50),
+ways(i, s, k) AS (SELECT 0::BIGINT, 0::BIGINT, 1::DOUBLE UNION ALL SELECT first.i, (s + b * r)::BIGINT, sum(k) / 2 FROM ways JOIN first ON first.i = ways.i + 1, (VALUES (0), (1)) t(b) GROUP BY first.i, s + b * r),
+test AS (SELECT n, up / 2.0 AS w_plus, CASE WHEN n <= 50 THEN least(1, 2 * least((SELECT sum(k) FROM ways WHERE i = n AND s <= up), (SELECT sum(k) FROM ways WHERE i = n AND s >= up)))
+    ELSE {normal_tail_sql('((up / 2.0 - n * (n + 1) / 4.0) / sqrt(var))')} END AS p FROM w)"""
+
+
 @query(f"WITH {BETAS} SELECT suppkey, n, round(beta, 6) + 0.0 AS beta_quantity, 3 AS used FROM b")
 def per_subject_betas(spark, d):
     """Suppliers stand for subjects: the price on quantity with two controls, standardised, at least 50 rows each."""
@@ -132,7 +146,7 @@ def per_subject_betas(spark, d):
     return b.select("suppkey", "n", rounded("beta_quantity").alias("beta_quantity"), "used")
 
 
-@query(f"""WITH RECURSIVE {BETAS}, d AS (SELECT beta - 0.9 AS v FROM b), {SIGNED_RANK}, m AS (SELECT count(*) AS n, avg(v) AS mean, sum(CAST(v > 0 AS BIGINT))::BIGINT AS positive, avg(v) / (stddev_samp(v) / sqrt(count(*))) AS t FROM d)
+@query(f"""WITH RECURSIVE {BETAS}, d AS (SELECT beta - 0.9 AS v FROM b), {SIGNED_RANK_TIES}, m AS (SELECT count(*) AS n, avg(v) AS mean, sum(CAST(v > 0 AS BIGINT))::BIGINT AS positive, avg(v) / (stddev_samp(v) / sqrt(count(*))) AS t FROM d)
 SELECT m.n, round(mean, 6) + 0.0 AS mean, positive, round(t, 4) + 0.0 AS t, round({student_sql('t', '(m.n - 1)')}, 6) + 0.0 AS t_p, round(w_plus, 1) + 0.0 AS w_plus, round(p, 6) + 0.0 AS w_p FROM m, test""")
 def subject_beta_tests(spark, d):
     """Whether the suppliers' slopes differ from 0.9: Student's t and the signed-rank test, both with p."""
