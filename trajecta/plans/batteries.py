@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trajecta.operators import windows as W
 from trajecta.plans.battery import Model, fit_models, spillover
-from trajecta.plans.behaviour import normal_sql
+from trajecta.plans.behaviour import normal_tail_sql
 from trajecta.plans.catalog import query, table
 from trajecta.plans.models import rows
 
@@ -56,7 +56,7 @@ def term_sql(m: Model, term: str, label: str) -> str:
     ctes.append("h AS (SELECT max(beta) AS beta, sqrt(sum(score * score)) / sum(qq) AS se, count(*) AS clusters FROM g)")
     ctes.append(f"u AS (SELECT count(*) AS n, count(DISTINCT g) AS groups, {scale} / {'stddev_pop(y)' if m.scale_y else '1'} AS scale FROM t)")
     se = f"se * sqrt(clusters / (clusters - 1.0) * (n - 1) / (n - {len(xs)} - groups))"
-    return f"SELECT {label}, '{term}' AS term, round(beta * scale, 6) + 0.0 AS beta, round({se} * scale, 6) + 0.0 AS se, round({normal_sql(f'(beta / ({se}))')}, 6) + 0.0 AS p, n FROM (WITH {', '.join(ctes)} SELECT * FROM h, u)"
+    return f"SELECT {label}, '{term}' AS term, round(beta * scale, 6) + 0.0 AS beta, round({se} * scale, 6) + 0.0 AS se, round({normal_tail_sql(f'(beta / ({se}))')}, 6) + 0.0 AS p, n FROM (WITH {', '.join(ctes)} SELECT * FROM h, u)"
 
 
 def battery_sql(models: list[Model], labels: list[str], terms) -> str:
