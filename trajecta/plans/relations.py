@@ -159,9 +159,17 @@ def annotator_agreement(spark, d):
     return R.pairwise_agreement(annotations(spark, d), ["user_id"], "annotator", "label").withColumn("agreement", rounded("agreement"))
 
 
-@query(f"WITH {ANNOTATED} SELECT user_id, count(*) AS n, round(avg(label), 6) + 0.0 AS mean, avg(label) >= 0.5 AS majority FROM x GROUP BY user_id")
+#: Whether a mean is above 50, summed as decimals (nine places): a sum of doubles that ties with 50 depends on the order of its rows.
+ABOVE = "CASE WHEN count(TRY_CAST(value AS DECIMAL(27, 9))) = count(value) THEN sum(TRY_CAST(value AS DECIMAL(27, 9))) > 50 * count(value) ELSE avg(value) > 50 END"
+
+
+@query(f"WITH x AS (SELECT user_id, event_type AS annotator, CAST({ABOVE} AS INT) AS label FROM events GROUP BY ALL) SELECT user_id, count(*) AS n, round(avg(label), 6) + 0.0 AS mean, avg(label) >= 0.5 AS majority FROM x GROUP BY user_id")
 def consensus_labels(spark, d):
-    return annotations(spark, d).groupBy("user_id").agg(F.count("*").alias("n"), rounded(F.avg("label")).alias("mean"), (F.avg("label") >= 0.5).alias("majority"))
+    """The share of annotators that label a user, and their majority; a mean of exactly 50 is not above it, in any order of the rows."""
+    exact = F.col("value").try_cast("decimal(27, 9)")
+    above = F.when(F.count(exact) == F.count("value"), F.sum(exact) > 50 * F.count("value")).otherwise(F.avg("value") > 50)
+    x = table(spark, d, "events").groupBy("user_id", F.col("event_type").alias("annotator")).agg(above.cast("int").alias("label"))
+    return x.groupBy("user_id").agg(F.count("*").alias("n"), rounded(F.avg("label")).alias("mean"), (F.avg("label") >= 0.5).alias("majority"))
 
 
 @query("""SELECT user_id, CAST(sum(CASE WHEN value IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS nulls, round(max(abs(value)), 6) AS largest, round(avg(value), 6) + 0.0 AS mean, round(stddev_samp(value), 6) + 0.0 AS sd FROM events GROUP BY user_id""")
