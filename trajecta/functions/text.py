@@ -32,9 +32,16 @@ def clean_word(c: Column, rule: str = "letters") -> Column:
     return F.regexp_replace(F.lower(c) if lower else c, pattern, "")
 
 
+def clean_words(c: Column, rule: str = "letters") -> Column:
+    """``clean_word`` of all words of a text with single spaces, which stay."""
+    pattern, lower = CLEANING[rule]
+    return F.regexp_replace(F.lower(c) if lower else c, pattern[:-1] + " ]+", "")
+
+
 def has_trailing_punct(c: Column) -> Column:
     """1.0 if the last character is neither an ASCII letter nor a digit."""
-    return F.rlike(c, F.lit(r"[^A-Za-z0-9]$")).cast("double")
+    last = F.substring(c, -1, 1)
+    return (~(last.between("0", "9") | last.between("A", "Z") | last.between("a", "z")) & (last != "")).cast("double")
 
 
 def in_set(c: Column, words) -> Column:

@@ -66,6 +66,19 @@ def map_spans(tokens: DataFrame, words: DataFrame, keys: list[str], bucket: int
     return out
 
 
+def place_spans(spans: DataFrame, keys: list[str], is_word: Column, start: str, end: str, cols: list[str]) -> DataFrame:
+    """Spans inside the word span that contains them, where words don't overlap: ``word_<col>`` and ``word_start`` are added.
+
+    Words and other spans are rows of one table, and the word before a span in order of position is the only one that
+    can hold it; so a window by ``keys`` does what ``map_spans`` joins, without dealing rows to buckets.
+    """
+    w = Window.partitionBy(*keys).orderBy(start, F.col("_word").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    word = F.when(F.col("_word"), F.struct(F.col(start).alias("_s"), F.col(end).alias("_e"), *[F.col(c).alias(f"word_{c}") for c in cols]))
+    placed = spans.withColumn("_word", is_word).withColumn("_w", F.last(word, ignorenulls=True).over(w))
+    inside = placed.where(~F.col("_word") & (F.col(end) <= F.col("_w._e")))
+    return inside.select(*spans.columns, F.col("_w._s").alias("word_start"), *[F.col(f"_w.word_{c}") for c in cols])
+
+
 def align_streams(a: DataFrame, b: DataFrame, keys: list[str], order: str, text: str) -> DataFrame:
     """Aligns two tokenisations of one text by their cumulative lengths.
 

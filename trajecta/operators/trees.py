@@ -6,10 +6,10 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trajecta.operators.relations import map_spans
+from trajecta.operators.relations import place_spans
 
 _PART = re.compile(r"[()]|[^\s()]+")
 EMPTY = "-NONE-"  # fixed value: label of empty elements
@@ -51,8 +51,10 @@ def closures(trees: DataFrame, keys: list[str], tree: str = "tree") -> DataFrame
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = [(*[getattr(r, k) for k in keys], i, *leaf) for r in f.itertuples() for i, leaf in enumerate(leaves(getattr(r, tree) or ""))]
-            yield pd.DataFrame(out, columns=[*keys, "leaf", "token", "closings", "openings"])
+            found = [leaves(t or "") for t in f[tree]]
+            size = [len(x) for x in found]
+            out = {k: f[k].repeat(size).array for k in keys} | {"leaf": [i for n in size for i in range(n)]}
+            yield pd.DataFrame(out | {name: [leaf[at] for x in found for leaf in x] for at, name in enumerate(("token", "closings", "openings"))})
 
     kinds = dict(trees.dtypes)
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "leaf int", "token string", "closings int", "openings int"])
@@ -65,11 +67,12 @@ def closure_depth(words: DataFrame, found: DataFrame, keys: list[str]) -> DataFr
     ``words`` has ``keys, pos, word``, ``found`` has ``keys, at, token, closings`` (at: order of the
     leaves). The two meet by cumulative lengths.
     """
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*keys)
-    end = F.sum(F.length("word")).over(w.orderBy("pos"))
-    spans = words.select(*keys, "pos", (end - F.length("word")).alias("w_start"), end.alias("w_end"))
-    end = F.sum(F.length("token")).over(w.orderBy("at"))
-    parts = found.select(*keys, "closings", (end - F.length("token")).alias("t_start"), end.alias("t_end"))
-    return map_spans(parts, spans, keys).groupBy(*keys, "pos").agg(F.sum("closings").alias("depth"))
+    rank = found.schema["at"].dataType
+    a = words.select(*keys, F.lit(True).alias("is_word"), "pos", F.lit(None).cast(rank).alias("at"), F.length("word").alias("n"), F.lit(None).cast("int").alias("closings"))
+    b = found.select(*keys, F.lit(False).alias("is_word"), F.lit(None).cast(words.schema["pos"].dataType).alias("pos"), "at", F.length("token").alias("n"), "closings")
+    parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = a.unionByName(b).repartition(parts, *keys)  # dealt once; all that follows keeps to it
+    end = F.sum("n").over(Window.partitionBy(*keys, "is_word").orderBy("pos", "at"))
+    spans = both.select(*keys, "is_word", "pos", "closings", (end - F.col("n")).alias("start"), end.alias("end"))
+    placed = place_spans(spans, keys, F.col("is_word"), "start", "end", ["pos"])
+    return placed.groupBy(*keys, F.col("word_pos").alias("pos")).agg(F.sum("closings").alias("depth"))

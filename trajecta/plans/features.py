@@ -13,10 +13,19 @@ from trajecta.plans.catalog import query, table
 from trajecta.plans.geometry import rounded
 
 
-def words(spark, d: str):
-    """doc_id, pos, word: white-space tokens of documents."""
-    docs = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", r"[\x20\x09-\x0D]+")).alias("i", "word")).where("word <> ''")
-    return docs.select("doc_id", F.col("i").cast("long").alias("pos"), "word")
+SPACE = r"[\x20\x09-\x0D]+"
+
+
+def documents(spark, d: str):
+    """doc_id, text: documents dealt by doc_id, so that windows and groups of their words need no exchange of words."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return docs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")  # a number, so that it stays as dealt
+
+
+def words(docs, *rules: str):
+    """doc_id, pos, word and a column for each cleaning rule: white-space tokens of documents."""
+    each = docs.select("doc_id", F.posexplode(F.split("text", SPACE)).alias("i", "word")).where("word <> ''")
+    return each.select("doc_id", F.col("i").cast("long").alias("pos"), "word", *[X.clean_word(F.col("word"), r).alias(r) for r in rules])
 
 
 #: Tokens keep the number they have in the split text.
@@ -28,14 +37,14 @@ FROM (SELECT doc_id, regexp_split_to_array(text, '[\x20\x09-\x0D]+') AS p FROM d
 CAST(regexp_matches(word, '[^A-Za-z0-9]$') AS DOUBLE) AS punct, CAST(length(regexp_replace(word, '[^A-Za-z'']', '', 'g')) AS BIGINT) AS word_length  FROM w""")
 def words_features(spark, d):
     """Cleaned forms, final punctuation and length of every word."""
-    letters = X.clean_word(F.col("word"), "letters")
-    return words(spark, d).select("doc_id", "pos", letters.alias("letters"), X.clean_word(F.col("word"), "alnum").alias("alnum"), X.has_trailing_punct(F.col("word")).alias("punct"), F.length(letters).cast("long").alias("word_length"))
+    w = words(table(spark, d, "documents"), "letters", "alnum")
+    return w.select("doc_id", "pos", "letters", "alnum", X.has_trailing_punct(F.col("word")).alias("punct"), F.length("letters").cast("long").alias("word_length"))
 
 
 @query(rf"""WITH {WORDS}, c AS (SELECT regexp_replace(lower(word), '[^a-z]', '', 'g') AS word FROM w), t AS (SELECT count(*) AS total FROM c WHERE word <> '')
 SELECT word, count(*) AS n, round(log10(count(*) / any_value(total) * 1e9), 6) + 0.0 AS zipf FROM c, t WHERE word <> '' GROUP BY word""")
 def lex_freq(spark, d):
-    cleaned = words(spark, d).select(X.clean_word(F.col("word"), "lower").alias("word")).where("word <> ''")
+    cleaned = words(table(spark, d, "documents"), "lower").select(F.col("lower").alias("word")).where("word <> ''")
     return A.log_freq(cleaned, "word").select("word", "n", rounded("zipf").alias("zipf"))
 
 
@@ -44,7 +53,7 @@ j AS (SELECT doc_id, c.word, CASE WHEN c.word = '' THEN coalesce(f.zipf, 0.0) EL
 SELECT doc_id, count(*) AS n, count(zipf) AS known, CAST(sum(CASE WHEN word = '' THEN 1 ELSE 0 END) AS BIGINT) AS empty_words, round(avg(zipf), 5) + 0.0 AS mean, round(min(zipf), 6) + 0.0 AS rarest FROM j GROUP BY doc_id""")
 def word_frequency(spark, d):
     """Every word with its frequency in the corpus, empty ones as ``the``: means by document."""
-    cleaned = words(spark, d).select("doc_id", X.clean_word(F.col("word"), "lower").alias("word"))
+    cleaned = words(table(spark, d, "documents"), "lower").select("doc_id", F.col("lower").alias("word"))
     rows = A.with_log_freq(cleaned, "word")
     return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.count("zipf").alias("known"), F.sum((F.col("word") == "").cast("long")).alias("empty_words"), rounded(F.avg("zipf"), 5).alias("mean"), rounded(F.min("zipf")).alias("rarest"))
 
@@ -55,7 +64,7 @@ IN_SET = ", ".join(f"'{w}'" for w in X.CONNECTIVES)
 @query(rf"""WITH {WORDS} SELECT doc_id, count(*) AS n, CAST(sum(CASE WHEN regexp_replace(lower(word), '[^a-z]', '', 'g') IN ({IN_SET}) THEN 1 ELSE 0 END) AS BIGINT) AS connectives,
 CAST(sum(CASE WHEN word = '-' THEN 1 ELSE 0 END) AS BIGINT) AS dashes FROM w GROUP BY doc_id""")
 def marker_flags(spark, d):
-    marked = words(spark, d).select("doc_id", X.in_set(X.clean_word(F.col("word"), "lower"), X.CONNECTIVES).alias("m"), (X.map_tokens(F.col("word")) == "-").alias("dash"))
+    marked = words(documents(spark, d), "lower").select("doc_id", X.in_set(F.col("lower"), X.CONNECTIVES).alias("m"), (X.map_tokens(F.col("word")) == "-").alias("dash"))
     return marked.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("m").cast("long").alias("connectives"), F.sum(F.col("dash").cast("long")).alias("dashes"))
 
 
@@ -63,20 +72,20 @@ SENTENCES = rf"""{WORDS}, q AS (SELECT *, lag(CAST(regexp_matches(word, '[.!?]$'
 s AS (SELECT doc_id, pos, word, sum(cut) OVER (PARTITION BY doc_id ORDER BY pos) AS sent FROM q)"""
 
 
-def sentences(spark, d: str):
-    """doc_id, pos, word, sent: a sentence ends at a word with final ``.!?``."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    cut = F.lag(F.rlike("word", F.lit("[.!?]$")).cast("int"), 1, 0).over(w)
-    return words(spark, d).withColumn("cut", cut).withColumn("sent", F.sum("cut").over(w)).drop("cut")
+def sentences(docs):
+    """doc_id, sent, body: a sentence ends at a word with final ``.!?``; its words are joined by single spaces."""
+    line = F.trim(F.regexp_replace("text", SPACE, " "))
+    each = docs.where("text is not null").select("doc_id", F.posexplode(F.split(line, "(?<=[.!?]) ")).alias("sent", "body"))
+    return each.where("body <> ''").select("doc_id", F.col("sent").cast("long").alias("sent"), "body")
 
 
 @query(rf"""WITH {SENTENCES}, g AS (SELECT doc_id, CAST(sent AS BIGINT) AS sent, count(*) AS n, max(CASE WHEN regexp_replace(lower(word), '[^a-z]', '', 'g') IN ({IN_SET}) THEN 1 ELSE 0 END) AS marker, max(length(word)) AS longest FROM s GROUP BY ALL),
 m AS (SELECT quantile_cont(n, 0.5) AS med FROM g) SELECT doc_id, sent, n, CAST(marker AS BIGINT) AS marker, CAST(longest AS BIGINT) AS longest, n > med AS hard FROM g, m""")
 def sentence_difficulty(spark, d):
-    mark = X.in_set(X.clean_word(F.col("word"), "lower"), X.CONNECTIVES)
-    g = sentences(spark, d).groupBy("doc_id", F.col("sent").cast("long").alias("sent")).agg(F.count("*").alias("n"), F.max(mark).cast("long").alias("marker"), F.max(F.length("word")).cast("long").alias("longest"))
+    own, clean = F.split("body", " "), F.split(X.clean_words(F.col("body"), "lower"), " ")
+    mark = F.arrays_overlap(clean, F.array(*[F.lit(w) for w in X.CONNECTIVES]))
+    longest = F.array_max(F.transform(own, F.length))
+    g = sentences(table(spark, d, "documents")).select("doc_id", "sent", F.size(own).cast("long").alias("n"), mark.cast("long").alias("marker"), longest.cast("long").alias("longest"))
     return A.median_split(g, "n", "hard")
 
 
@@ -97,16 +106,18 @@ def first_last_attr(spark, d):
 SELECT doc_id, CAST(sent AS BIGINT) AS sent, CAST(max(CASE WHEN r = 1 THEN length(word) END) AS BIGINT) AS first_length, round(avg(length(word)), 6) + 0.0 AS mean_length, count(*) AS n FROM p GROUP BY ALL""")
 def sentence_summary(spark, d):
     """The first word's value, the mean and the size of each sentence."""
-    g = sentences(spark, d).groupBy("doc_id", F.col("sent").cast("long").alias("sent"))
-    return g.agg(F.min_by(F.length("word"), "pos").cast("long").alias("first_length"), rounded(F.avg(F.length("word"))).alias("mean_length"), F.count("*").alias("n"))
+    size = F.transform(F.split("body", " "), F.length)
+    g = sentences(table(spark, d, "documents")).select("doc_id", "sent", size.alias("l"))
+    mean = F.aggregate("l", F.lit(0), lambda a, x: a + x) / F.size("l")
+    return g.select("doc_id", "sent", F.col("l")[0].cast("long").alias("first_length"), rounded(mean).alias("mean_length"), F.size("l").cast("long").alias("n"))
 
 
 OFFSETS = f"""{WORDS}, o AS (SELECT doc_id, pos, word, CAST(coalesce(sum(length(word) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS w_start FROM w)"""
 
 
 def word_offsets(spark, d: str):
-    w = words(spark, d)
-    return w.withColumn("w_start", W.offsets(F.length("word"), ["doc_id"], ["pos"])).withColumn("w_end", F.col("w_start") + F.length("word"))
+    w = words(documents(spark, d)).select("doc_id", "pos", F.length("word").alias("_l"))
+    return w.withColumn("w_start", W.offsets(F.col("_l"), ["doc_id"], ["pos"])).withColumn("w_end", F.col("w_start") + F.col("_l")).drop("_l")
 
 
 @query(f"WITH {OFFSETS} SELECT doc_id, pos, w_start AS start FROM o")
@@ -119,10 +130,13 @@ SELECT o.doc_id, o.pos, count(*) AS parts, CAST(max(t_start - w_start) AS BIGINT
 def token_word_spans(spark, d):
     """Sub-tokens of three characters mapped back to the words that contain them."""
     w = word_offsets(spark, d)
-    k = F.explode(F.sequence(F.lit(0), F.floor((F.length("word") - 1) / 3).cast("int")))
-    t = w.select("doc_id", "w_start", "w_end", k.alias("k")).select("doc_id", (F.col("w_start") + 3 * F.col("k")).alias("t_start"), F.least(F.col("w_start") + 3 * F.col("k") + 3, F.col("w_end")).alias("t_end"))
-    found = R.map_spans(t, w.drop("word"), ["doc_id"])
-    return found.groupBy("doc_id", "pos").agg(F.count("*").alias("parts"), F.max(F.col("t_start") - F.col("w_start")).alias("last_part"))
+    size = F.col("w_end") - F.col("w_start")
+    part = lambda k: F.struct((F.col("w_start") + 3 * k).alias("start"), F.least(F.col("w_start") + 3 * k + 3, "w_end").alias("end"), F.lit(None).cast("long").alias("pos"))
+    word = F.struct(F.col("w_start").alias("start"), F.col("w_end").alias("end"), F.col("pos").alias("pos"))
+    parts = F.transform(F.sequence(F.lit(0).cast("long"), F.floor((size - 1) / 3)), part)
+    spans = w.select("doc_id", F.explode(F.concat(F.array(word), parts)).alias("s")).select("doc_id", "s.*")
+    found = R.place_spans(spans, ["doc_id"], F.col("pos").isNotNull(), "start", "end", ["pos"])
+    return found.groupBy("doc_id", "word_pos").agg(F.count("*").alias("parts"), F.max(F.col("start") - F.col("word_start")).alias("last_part")).withColumnRenamed("word_pos", "pos")
 
 
 @query(rf"""WITH {WORDS}, n AS (SELECT doc_id, max(pos) + 1 AS n FROM w GROUP BY doc_id),
@@ -131,10 +145,10 @@ v AS (SELECT w.doc_id, w.pos, c.chunk_start, w.pos - c.chunk_start AS inner_pos
 SELECT doc_id, pos, arg_min(inner_pos, chunk_start) AS inner_pos, min(chunk_start) AS chunk_start FROM v GROUP BY doc_id, pos""")
 def chunk_first_write(spark, d):
     """Overlapping chunks of 128 words every 64; each word takes the value of its earliest chunk."""
-    w = words(spark, d)
-    sizes = w.groupBy("doc_id").agg((F.max("pos") + 1).alias("n"))
-    chunks = W.make_chunks(sizes, "n", 128, 64).select("doc_id", "chunk_start").withColumn("b", F.explode(F.sequence(F.floor(F.col("chunk_start") / 64), F.floor(F.col("chunk_start") / 64) + 1))).hint("merge")
-    v = w.withColumn("b", F.floor(F.col("pos") / 64)).join(chunks, ["doc_id", "b"]).select("doc_id", "pos", "chunk_start", (F.col("pos") - F.col("chunk_start")).alias("inner_pos"))
+    w = words(documents(spark, d)).select("doc_id", "pos", (F.max("pos").over(Window.partitionBy("doc_id")) + 1).alias("n"))
+    last = F.greatest(F.lit(0), F.ceil((F.col("n") - 128) / 64) * 64).cast("long")
+    low, high = F.greatest(F.lit(0).cast("long"), F.floor(F.col("pos") / 64) * 64 - 64), F.least(F.floor(F.col("pos") / 64) * 64, last)
+    v = w.select("doc_id", "pos", F.explode(F.sequence(low, high, F.lit(64).cast("long"))).alias("chunk_start")).withColumn("inner_pos", F.col("pos") - F.col("chunk_start"))
     out = v.withColumn("first", F.col("chunk_start"))
     return W.first_write_wins(out, ["doc_id", "pos"], "first").select("doc_id", "pos", "inner_pos", "chunk_start")
 
@@ -144,7 +158,7 @@ SELECT doc_id, word_no, round(sum(s), 6) + 0.0 AS skipped, CASE WHEN count(s) =
 def roll_up_info(spark, d):
     """Surprisal and entropy of parts rolled up to words (here four tokens), under both null policies."""
     n = F.length("word")
-    t = words(spark, d).select("doc_id", F.floor(F.col("pos") / 4).alias("word_no"), "pos", F.when(n != 7, n / 10.0).alias("s"), n.cast("double").alias("e"))
+    t = words(documents(spark, d)).select("doc_id", F.floor(F.col("pos") / 4).alias("word_no"), "pos", F.when(n != 7, n / 10.0).alias("s"), n.cast("double").alias("e"))
     a = A.roll_up_info(t, ["doc_id", "word_no"], "pos", "s", "e", "last", "skip").withColumnsRenamed({"surprisal": "skipped", "entropy": "entropy_last"})
     b = A.roll_up_info(t, ["doc_id", "word_no"], "pos", "s", "e", "first", "propagate").withColumnsRenamed({"surprisal": "propagated", "entropy": "entropy_first"})
     return a.join(b.hint("merge"), ["doc_id", "word_no"]).select("doc_id", "word_no", rounded("skipped").alias("skipped"), rounded("propagated").alias("propagated"), "entropy_last", "entropy_first")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from trajecta.operators import signals as S
 from trajecta.operators import trees as B
 from trajecta.plans import inference as I
-from trajecta.plans.catalog import query
+from trajecta.plans.catalog import query, table
 from trajecta.plans.geometry import rounded
 from trajecta.plans.relations import EVENTS, events
 
@@ -95,12 +95,10 @@ def encoding_subjects(spark, d):
 
 def sentence_trees(spark, d: str):
     """doc_id, sent, tree: each sentence as a flat clause of two phrases, with an empty element."""
-    from trajecta.operators.aggregates import reassemble
     from trajecta.plans.features import sentences
 
-    s = sentences(spark, d).withColumn("leaf", F.concat(F.lit("(W "), F.regexp_replace("word", r"[()/\s]", "_"), F.lit(")")))
-    t = reassemble(s, ["doc_id", "sent"], "pos", "leaf", " ", "body")
-    return t.select("doc_id", F.col("sent").cast("long").alias("sent"), F.concat(F.lit("(ROOT (S (NP (-NONE- *)) (VP "), F.col("body"), F.lit(")))")).alias("tree"))
+    leaves = F.concat(F.lit("(W "), F.replace(F.translate("body", "()/", "___"), F.lit(" "), F.lit(") (W ")), F.lit(")"))
+    return sentences(table(spark, d, "documents")).select("doc_id", "sent", F.concat(F.lit("(ROOT (S (NP (-NONE- *)) (VP "), leaves, F.lit(")))")).alias("tree"))
 
 
 @query(r"""WITH w AS (SELECT * FROM (SELECT doc_id, unnest(generate_series(0, len(p) - 1)) AS pos, unnest(p) AS word FROM (SELECT doc_id, regexp_split_to_array(text, '[\x20\x09-\x0D]+') AS p FROM documents)) WHERE word <> ''),
@@ -120,4 +118,4 @@ def closure_depth(spark, d):
     from trajecta.plans.features import words
 
     found = B.closures(sentence_trees(spark, d), ["doc_id", "sent"]).withColumn("at", F.struct("sent", "leaf"))
-    return B.closure_depth(words(spark, d), found, ["doc_id"])
+    return B.closure_depth(words(table(spark, d, "documents")), found, ["doc_id"])
