@@ -60,17 +60,24 @@ def log_freq(words: DataFrame, word: str) -> DataFrame:
 def with_log_freq(words: DataFrame, word: str, out: str = "zipf", empty: str = "the", most: int = 32 << 20) -> DataFrame:
     """``words`` with each word's ``log_freq``; an empty word has that of ``empty``, or 0 where no row has that.
 
-    A null word has null. The dictionary's size is measured: up to ``most`` bytes it is broadcast;
-    beyond, only words with more than one in 500 rows are, and the others are dealt by word.
+    A null word has null. The dictionary's size is measured, by powers of two of the counts: the most frequent words
+    that have up to ``most`` bytes together are broadcast, and only rows of rarer ones are dealt by word.
     """
-    counts = log_freq(words.where(F.col(word) != ""), word).select(F.col(word).alias("_w"), "n", F.col("zipf").alias(out))
-    size, total = counts.agg(F.sum(F.octet_length("_w") + 24), F.sum("n")).first()
+    counts = log_freq(words.where(F.col(word) != ""), word).select(F.col(word).alias("_w"), "n", F.col("zipf").alias(out)).persist()
+    sizes = counts.groupBy(F.floor(F.log2("n")).alias("level")).agg(F.sum(F.octet_length("_w") + 24).alias("size")).orderBy(F.desc("level")).collect()  # at most 64
+    level, size = 64, 0
+    for r in sizes:
+        size += r["size"]
+        if size > most:
+            break
+        level = r["level"]
+    frequent = F.floor(F.log2("n")) >= level
     keyed = words.withColumn("_k", F.when(F.col(word) == "", F.lit(empty)).otherwise(F.col(word)))
-    if (size or 0) <= most:
+    if size <= most:
         joined = keyed.join(F.broadcast(counts.drop("n")), F.col("_k") == F.col("_w"), "left")  # of a measured size
     else:
-        hot, rest = counts.where(F.col("n") > total / 500).drop("n"), counts.where(F.col("n") <= total / 500).drop("n")
-        some = keyed.join(F.broadcast(hot), F.col("_k") == F.col("_w"))  # fewer than 500 words
+        hot, rest = counts.where(frequent).drop("n"), counts.where(~frequent).drop("n")
+        some = keyed.join(F.broadcast(hot), F.col("_k") == F.col("_w"))  # of a measured size
         others = keyed.join(F.broadcast(hot.select("_w")), F.col("_k") == F.col("_w"), "left_anti")
         joined = some.unionByName(others.join(rest.hint("merge"), F.col("_k") == F.col("_w"), "left"))
     return joined.withColumn(out, F.when(F.col(word) == "", F.coalesce(out, F.lit(0.0))).otherwise(F.col(out))).drop("_k", "_w")
