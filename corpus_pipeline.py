@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trajecta.llm.common import materialize
+from trajecta.llm.common import discard, materialize
 from trajecta.llm.decontaminate import find_benchmark_text
 from trajecta.llm.langid import fit, identify, training_rows
 from trajecta.llm.mixing import mix_sources
@@ -87,8 +87,10 @@ ORACLE_SQL = None  # SQL can't state the learned and sketched stages
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written as Parquet and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; each result is written as Parquet and read again, then the one before goes."""
+    docs, used = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name.split()[0].lower())
+        discard(*used)
+        used = [docs]
     return docs

@@ -4,6 +4,7 @@ import random
 
 import corpus_pipeline
 from tests.llm.test_operators import base_spans, words
+from trajecta.llm import common
 
 
 def corpus(tmp_path, spark):
@@ -75,3 +76,11 @@ def test_missing_and_repeated_ids_at_every_stage(spark, tmp_path):
     for source in "ab":
         own = [r for r in got if r["source"] == source]
         assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 1
+
+
+def test_used_up_tables_go(spark, tmp_path, monkeypatch):
+    d, scratch = corpus(tmp_path / "in", spark), tmp_path / "scratch"
+    monkeypatch.setattr(common, "scratch_root", lambda spark: f"file://{scratch}")
+    corpus_pipeline.run(spark, d).count()
+    left = {p.name.rsplit("-", 1)[0] for p in scratch.iterdir()}
+    assert "mixing" in left and not left & {"language", "minhash", "benchmark", "pii", "sketch", "classes", "bands", "buckets", "inside", "sets", "comps", "now", "open", "unsettled", "prefixes"}

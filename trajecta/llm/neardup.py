@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, join_groups, materialize, mix64, read_table, slices, word_hashes
+from .common import connected_components, discard, join_groups, materialize, mix64, read_table, slices, word_hashes
 
 _U = np.uint64
 REGISTERS, ROWS = 120, 5  # registers by default, and in a band
@@ -220,9 +220,12 @@ def near_duplicate_rows(docs: DataFrame, k: int = 5, percent: int = 85, margin:
     classes = materialize(
         sketched.where("node is not null").groupBy("node", "n_shingles", "regs", "bands").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("rep")), "classes"
     )
+    rows = materialize(sketched.select("doc_id", "row", "n_shingles", "node"), "rows")
     members = materialize(classes.select("node", F.explode("bands").alias("key")), "bands")
+    discard(sketched)
     shared = materialize(members.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).where("lo < hi"), "buckets")
     inside = materialize(join_groups(members, shared, "key", members.count()), "inside")  # only classes that share a bucket
+    discard(members, shared)
     stars = inside.where("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b")).union(
         inside.where("node <> lo and node <> hi").select(F.col("node").alias("a"), F.col("hi").alias("b"))
     )
@@ -255,11 +258,14 @@ def near_duplicate_rows(docs: DataFrame, k: int = 5, percent: int = 85, margin:
         return nodes.join(own.hint("merge"), "node", "left").withColumn("comp", F.coalesce("own", "node")).drop("own")
 
     now = materialize(labelled(inside.select("key", "node")), "now")
+    discard(inside)
     open_keys = now.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(
         F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("parts"), F.sum("c").alias("n")
     ).where("parts > 1").drop("parts")
-    unsettled = join_groups(now, materialize(open_keys, "open"), "key", now.count()).groupBy("node", "comp").agg(F.max(F.col("comp") != F.col("main")).alias("late"))
+    open_keys = materialize(open_keys, "open")
+    unsettled = join_groups(now, open_keys, "key", now.count()).groupBy("node", "comp").agg(F.max(F.col("comp") != F.col("main")).alias("late"))
     unsettled = materialize(unsettled.join(sets.hint("merge"), "node").select("node", "comp", "late", "hashes"), "unsettled")
+    discard(now, open_keys)
     slots = unsettled.select("hashes").mapInArrow(_slot_counts, "part int, counts binary").groupBy("part").applyInPandas(
         lambda g: g.iloc[:1].assign(counts=[np.sum([np.frombuffer(x, np.int32) for x in g["counts"]], axis=0, dtype=np.int64).clip(max=2**31 - 1).astype(np.int32).tobytes()]),
         "part int, counts binary",
@@ -269,6 +275,7 @@ def near_duplicate_rows(docs: DataFrame, k: int = 5, percent: int = 85, margin:
         table[row["part"]] = np.frombuffer(row["counts"], np.int32)
     counts = spark.sparkContext.broadcast(table.reshape(-1))
     prefixes = materialize(unsettled.mapInArrow(_prefixes(percent, counts), "key long, pos long, node long, comp long, late boolean, n long, p0 long, p1 long, p2 long, p3 long"), "prefixes")
+    discard(unsettled)
     x, y = (prefixes.select("key", *[F.col(c).alias(c + t) for c in ("pos", "node", "comp", "late", "n", "p0", "p1", "p2", "p3")]) for t in "xy")
     need = f"ceil({percent} * (nx + ny) / {100 + percent}.0 - 1e-9)"
     apart = " + ".join(f"bit_count(p{i}x ^ p{i}y)" for i in range(4))
@@ -283,9 +290,10 @@ def near_duplicate_rows(docs: DataFrame, k: int = 5, percent: int = 85, margin:
 
     named = labelled(classes.select("node", "rep")).join(merged.select(F.col("node").alias("comp"), "component").hint("merge"), "comp", "left")
     named = materialize(named.select("node", "rep", F.coalesce("component", "comp").alias("component")), "named")
+    discard(classes, sets, comps, prefixes)
     first = materialize(named.groupBy("component").agg(F.min("rep").alias("rep"), F.count("*").alias("n")), "first")
     label = join_groups(named.select("node", "component"), first, "component", named.count()).select("node", "rep")
-    out = sketched.select("doc_id", "row", "n_shingles", "node").join(label.hint("merge"), "node", "left")
+    out = rows.join(label.hint("merge"), "node", "left")
     own = F.col("doc_id").eqNullSafe(F.col("rep.doc_id")) & (F.col("row") == F.col("rep.row"))
     return out.select("doc_id", "row", "n_shingles", "node", F.col("rep.doc_id").alias("first_id"), (F.col("node").isNull() | own).alias("first"))
 
