@@ -167,3 +167,15 @@ def test_closures_of_nested_trees(spark):
         assert got.get(i, []) == want
         deepest = max([deepest, *[w[1] for w in want]])
     assert deepest >= 4
+
+
+def test_words_are_cleaned_without_a_pattern_for_each(spark):
+    from trajecta.functions import text as X
+
+    odd = ["KKelvin", "İx", "a\0b", "\U0001f600ab'9", "Über,", "''", "9", "", None, "éa", "don’t.", "A-b-C", "a$b\\c", "plain"]
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(odd)], "i int, word string").repartition(2)
+    for rule, (pattern, lower) in X.CLEANING.items():
+        want = F.regexp_replace(F.lower("word") if lower else F.col("word"), pattern, "")
+        clean = df.select("i", X.clean_word(F.col("word"), rule).alias("got"), want.alias("want"))
+        assert all(r["got"] == r["want"] for r in clean.collect())
+        assert "regexp_replace" not in clean.select("got")._jdf.queryExecution().executedPlan().toString()

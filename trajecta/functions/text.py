@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from string import ascii_letters, ascii_lowercase, digits
 
 import pandas as pd
 from pyspark.sql import Column
@@ -18,6 +19,8 @@ CONNECTIVES = (
 BRACKETS = {"-LRB-": "(", "-RRB-": ")", "-LCB-": "{", "-RCB-": "}", "-LSB-": "[", "-RSB-": "]", "``": "'", "''": "'", "`": "'", '"': "'", "-NONE-": ""}
 #: What each cleaning rule deletes, and whether it lower-cases.
 CLEANING = {"letters": ("[^A-Za-z']", False), "alnum": ("[^A-Za-z0-9']", True), "lower": ("[^a-z]", True)}
+#: The characters that each cleaning rule keeps.
+KEPT = {"letters": ascii_letters + "'", "alnum": ascii_letters + digits + "'", "lower": ascii_lowercase}
 #: Quotes and dashes folded to one ASCII form, the pair of straight quotes first.
 FOLDED = {"''": "'", "‘": "'", "’": "'", "“": "'", "”": "'", "`": "'", "—": "-", "–": "-"}
 
@@ -28,8 +31,9 @@ def squash_ws(c: Column) -> Column:
 
 
 def clean_word(c: Column, rule: str = "letters") -> Column:
-    pattern, lower = CLEANING[rule]
-    return F.regexp_replace(F.lower(c) if lower else c, pattern, "")
+    """What the rule deletes is what is left of a word without the characters kept; no pattern is run for each word."""
+    c = F.lower(c) if CLEANING[rule][1] else c
+    return F.call_function("translate", c, F.translate(c, KEPT[rule], ""), F.lit(""))
 
 
 def clean_words(c: Column, rule: str = "letters") -> Column:
