@@ -662,3 +662,10 @@ def test_deep_and_long_pages_take_linear_time(page):
 
     seconds(1000)
     assert seconds(64_000) < 40 * seconds(8_000) and seconds(64_000) < 20
+
+
+def test_every_training_document_fits_weights_or_meets_the_refinement(spark):
+    many = spark.range(60_000).selectExpr("id as doc_id", "cast(cast(id as string) as binary) as seq")  # over what was the bound of a sample
+    fits, meets = lmscore.halves(many)
+    assert fits.unionByName(meets).distinct().count() == 60_000 and fits.intersect(meets).count() == 0
+    assert 0.45 < fits.count() / 60_000 < 0.55
