@@ -358,3 +358,10 @@ def test_ridge_weights_and_curves(spark):
     for r in M.weight_curves(w, ["s"]).collect():
         mean = np.mean([got[r["s"], c, r["term"]] for c in range(3)])
         assert r["weight"] == pytest.approx(mean) and r["peak"] == (r["term"] == 1)
+
+
+def test_approximate_flow_neighbours_compare_all_only_where_some_are_missing(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(i, i % 4, [float(x) for x in rng.normal(size=6)]) for i in range(400)], "id long, grp long, vec array<double>").repartition(2)
+    monkeypatch.setattr(N, "flow_neighbors", lambda *a: pytest.fail("all pairs compared"))
+    assert N.flow_neighbors_approx(df, df, 3, bucket=100).count() == 1200

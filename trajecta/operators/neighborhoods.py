@@ -67,27 +67,40 @@ def load_neighborhoods(spark, path: str) -> tuple[np.ndarray, float]:
     return np.array([r["centroid"] for r in rows]), rows[0]["sigma"]
 
 
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    """Rows of numbers, given as arrays or as bytes of doubles."""
+    if len(vectors) and isinstance(vectors.iloc[0], bytes):
+        return np.frombuffer(b"".join(vectors), float).reshape(len(vectors), -1)
+    return np.array(vectors.tolist(), dtype=float)
+
+
 def _nearest_of(n: int):
     """The n nearest rows of a corpus group for each query of a query group, ties to the smaller id."""
 
     def near(_key, asked: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(asked) and len(own):
-            v, ids, groups = np.array(own["vec"].tolist(), dtype=float), own["id"].to_numpy(), own["grp"].to_numpy()
+            v, ids, groups = _matrix(own["vec"]), own["id"].to_numpy(), own["grp"].to_numpy()
             vv = (v * v).sum(1)
             for at in range(0, len(asked), 256):
                 f = asked.iloc[at : at + 256]
-                u = np.array(f["vec"].tolist(), dtype=float)
+                u, names = _matrix(f["vec"]), f["id"].to_numpy()
                 uu = (u * u).sum(1)
                 rough = np.maximum(uu[:, None] + vv[None] - 2 * u @ v.T, 0)
                 rough[f["grp"].to_numpy()[:, None] == groups[None]] = np.inf
-                cut = np.partition(rough, min(n, len(v)) - 1, axis=1)[:, min(n, len(v)) - 1]
-                for i, name in enumerate(f["id"]):  # all that may be as near as the n-th; rough distances are rounded
-                    close = np.flatnonzero(np.isfinite(rough[i]) & ~(rough[i] > cut[i] + 1e-9 * (uu[i] + vv + cut[i])))
-                    exact = np.sqrt(((v[close] - u[i]) ** 2).sum(1))
-                    order = np.lexsort((ids[close], exact))[:n]
-                    found += zip([name] * len(order), ids[close][order].tolist(), exact[order].tolist(), strict=True)
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "distance"]).astype({"query_id": "int64", "vec_id": "int64", "distance": "float64"})
+                cut = np.partition(rough, min(n, len(v)) - 1, axis=1)[:, min(n, len(v)) - 1][:, None]
+                # all that may be as near as the n-th; rough distances are rounded
+                i, j = np.nonzero(np.isfinite(rough) & ~(rough > cut + 1e-9 * (uu[:, None] + vv[None] + cut)))
+                exact = np.empty(len(i))
+                for lo in range(0, len(i), 1 << 15):
+                    w = slice(lo, lo + (1 << 15))
+                    exact[w] = np.sqrt(((v[j[w]] - u[i[w]]) ** 2).sum(1))
+                order = np.lexsort((ids[j], exact, i))
+                place = np.arange(len(i)) - np.searchsorted(i, i)  # pairs come by query, before and after sorting
+                order = order[place < n]
+                found.append(pd.DataFrame({"query_id": names[i[order]], "vec_id": ids[j[order]], "distance": exact[order]}))
+        out = pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "distance": []})
+        return out.astype({"query_id": "int64", "vec_id": "int64", "distance": "float64"})
 
     return near
 
@@ -133,6 +146,7 @@ def flow_neighbors_approx(queries: DataFrame, corpus: DataFrame, n: int, tables:
     queries once a table and probe, in proportion to the input; a bucket of more than ``piece`` rows is cut and
     asked in parts. A query that finds fewer than n rows is compared with all of them.
     """
+    corpus = corpus.select("id", "grp", "vec").persist()  # read by every step
     size = corpus.count()
     bits = max(0, int(np.ceil(np.log2(max(size, 1) / bucket))))
     if not bits:
@@ -146,7 +160,8 @@ def flow_neighbors_approx(queries: DataFrame, corpus: DataFrame, n: int, tables:
             for f in frames:
                 if not len(f):
                     continue
-                x = np.array(f["vec"].tolist(), dtype=float) - center
+                x = np.array(f["vec"].tolist(), dtype=float)
+                f, x = f.assign(vec=[r.tobytes() for r in x]), x - center
                 for t in range(tables):
                     margins = x @ planes[t].T
                     code = ((margins > 0) << np.arange(bits)).sum(1)
@@ -159,8 +174,8 @@ def flow_neighbors_approx(queries: DataFrame, corpus: DataFrame, n: int, tables:
 
         return run
 
-    schema = corpus.select("id", "grp", "vec").schema.add("t", "integer").add("b", "long")
-    own = corpus.select("id", "grp", "vec").mapInPandas(sides(False), schema)
+    schema = corpus.select("id", "grp", F.lit(b"").alias("vec")).schema.add("t", "integer").add("b", "long")
+    own = corpus.mapInPandas(sides(False), schema)
     asked = queries.select("id", "grp", "vec").mapInPandas(sides(True), schema)
     cuts = own.groupBy("t", "b").agg(F.ceil(F.count("*") / piece).cast("long").alias("cuts")).where("cuts > 1").hint("merge")
     own = own.join(cuts, ["t", "b"], "left").withColumn("p", F.pmod(F.xxhash64("id"), F.coalesce("cuts", F.lit(1)))).drop("cuts")
@@ -168,9 +183,12 @@ def flow_neighbors_approx(queries: DataFrame, corpus: DataFrame, n: int, tables:
     found = asked.groupBy("t", "b", "p").cogroup(own.groupBy("t", "b", "p")).applyInPandas(_nearest_of(n), "query_id long, vec_id long, distance double")
     found = found.groupBy("query_id", "vec_id").agg(F.min("distance").alias("distance"))  # a row is found in several tables
     w = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).persist()  # searched once, read several times
     enough = ranked.where(F.col("rank") == n).select(F.col("query_id").alias("id"))
     few = queries.join(enough.hint("merge"), "id", "left_anti")
+    if not few.count():
+        corpus.unpersist()
+        return ranked
     rest = flow_neighbors(few, corpus, n)
     return ranked.join(enough.withColumnRenamed("id", "query_id").hint("merge"), "query_id", "left_semi").unionByName(rest)
 
