@@ -84,3 +84,18 @@ def test_used_up_tables_go(spark, tmp_path, monkeypatch):
     corpus_pipeline.run(spark, d).count()
     left = {p.name.rsplit("-", 1)[0] for p in scratch.iterdir()}
     assert "mixing" in left and not left & {"language", "minhash", "benchmark", "pii", "sketch", "classes", "bands", "buckets", "inside", "sets", "comps", "now", "open", "unsettled", "prefixes"}
+
+
+def test_plans_of_component_rounds_stay_small(spark, monkeypatch):
+    """No plan of a round reads its table dozens of times: the driver holds each of its versions."""
+    reads, write = [], common.materialize
+
+    def watched(df, name, *rest):
+        reads.append(df._jdf.queryExecution().optimizedPlan().toString().count("Relation ["))
+        return write(df, name, *rest)
+
+    monkeypatch.setattr(common, "materialize", watched)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
+    got = {r["node"]: r["component"] for r in common.connected_components(edges).collect()}
+    assert got == dict.fromkeys(range(41), 0) | {100: 100, 101: 100}
+    assert 0 < max(reads) <= 16

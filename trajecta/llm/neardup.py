@@ -276,6 +276,7 @@ def near_duplicate_rows(docs: DataFrame, k: int = 5, percent: int = 85, margin:
     counts = spark.sparkContext.broadcast(table.reshape(-1))
     prefixes = materialize(unsettled.mapInArrow(_prefixes(percent, counts), "key long, pos long, node long, comp long, late boolean, n long, p0 long, p1 long, p2 long, p3 long"), "prefixes")
     discard(unsettled)
+    counts.destroy()
     x, y = (prefixes.select("key", *[F.col(c).alias(c + t) for c in ("pos", "node", "comp", "late", "n", "p0", "p1", "p2", "p3")]) for t in "xy")
     need = f"ceil({percent} * (nx + ny) / {100 + percent}.0 - 1e-9)"
     apart = " + ".join(f"bit_count(p{i}x ^ p{i}y)" for i in range(4))
