@@ -669,3 +669,27 @@ def test_every_training_document_fits_weights_or_meets_the_refinement(spark):
     fits, meets = lmscore.halves(many)
     assert fits.unionByName(meets).distinct().count() == 60_000 and fits.intersect(meets).count() == 0
     assert 0.45 < fits.count() / 60_000 < 0.55
+
+
+def test_passes_over_text_stay_cheap(monkeypatch):
+    """Counting takes a piece's places as they are: no table-sized array is made for each piece, and gates are told apart once."""
+    rng = np.random.default_rng(5)
+    cls = np.append(rng.integers(0, 300, 999), lmscore.END)
+    code = lmscore.class_code(np.bincount(cls, minlength=lmscore.CLASSES + 3))
+    f = lmscore.tokens_of((cls | 1 << lmscore.KNOWN).astype(np.int32), np.array([0, 400, 1000]), np.array([True, False]), np.full(1000, -1), code.often)
+    want, sums = lmscore.empty_counts(code), np.zeros((lmscore.GATES, lmscore.INPUTS, lmscore.INPUTS + 1))
+    d = lmscore.decisions(f, slice(0, 1000), code)
+    for slot in d.slot:
+        want += np.bincount(2 * slot.astype(np.int64) + d.bit, minlength=len(want))
+    m = lmscore.model_of(want, code)
+    x, gate = lmscore.inputs(f, slice(0, 1000), d, m)
+    for g, z, bit in zip(gate, x.T.astype(float), d.bit, strict=True):
+        p = 1 / (1 + math.exp(-min(12, max(-12, m.weights[g] @ z))))
+        sums[g] += np.column_stack([z * (bit - p), p * (1 - p) * np.outer(z, z)])
+    made, bincount, scan = [], np.bincount, np.flatnonzero
+    monkeypatch.setattr(np, "bincount", lambda *a, **k: made.append(k.get("minlength", 0)) or bincount(*a, **k))
+    monkeypatch.setattr(np, "flatnonzero", lambda a: made.append("scan") or scan(a))
+    got = lmscore.empty_counts(code)
+    lmscore.count_tokens(f, code, got)
+    assert (got == want).all() and np.allclose(lmscore.fit_sums(f, m), sums, rtol=1e-9, atol=1e-6)
+    assert "scan" not in made and all(n <= 4 * lmscore.GATES for n in made)
