@@ -10,6 +10,7 @@ from collections import Counter as Counts
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -693,3 +694,41 @@ def test_passes_over_text_stay_cheap(monkeypatch):
     lmscore.count_tokens(f, code, got)
     assert (got == want).all() and np.allclose(lmscore.fit_sums(f, m), sums, rtol=1e-9, atol=1e-6)
     assert "scan" not in made and all(n <= 4 * lmscore.GATES for n in made)
+
+
+def test_matches_and_spelling_take_no_slow_way(monkeypatch):
+    """Continuations are placed for all texts at once, earlier pairs found by one plain sort, gates of spelling told apart once."""
+    rng = np.random.default_rng(8)
+    told = [None, [{"pos": 9, "next": [7, 8, 9]}, {"pos": 3, "next": [1, 2, 3, 4, 5, 6, 7]}], [], [{"pos": 3, "next": list(range(24))}], None]
+    size = [4, 30, 1, 12, 8]
+    value = [np.append(rng.integers(0, 6, n - 1), lmscore.END).astype(np.int32) | 1 << lmscore.KNOWN for n in size]
+    rows = [{"n_tokens": n, "learn": True, "seq": lmscore._squeeze(v), "told": t and [{"pos": x["pos"], "next": np.array(x["next"], np.uint16).tobytes()} for x in t]} for n, v, t in zip(size, value, told, strict=True)]
+    kind = pa.schema([("n_tokens", pa.int64()), ("learn", pa.bool_()), ("seq", pa.binary()), ("told", pa.list_(pa.struct([("pos", pa.int32()), ("next", pa.binary())])))])
+    batch = pa.RecordBatch.from_pylist([rows[-1], *rows], schema=kind).slice(1)
+    want = []
+    for v, t in zip(value, told, strict=True):
+        cls, said, after = (v & (1 << lmscore.KNOWN) - 1).tolist(), {}, {}
+        for x in sorted(t or [], key=lambda x: x["pos"]):
+            said |= dict(enumerate(x["next"], x["pos"] + 1))
+        for i, c in enumerate(cls):
+            pair = tuple(cls[i - 2 : i]) if i > 1 else None
+            want.append(said[i] if i in said and i < len(cls) - 1 else after.get(pair, -1))
+            if pair:
+                after[pair] = c
+    own = [g.guess for _, g in lmscore._tokens(iter([batch]), np.zeros(lmscore.CLASSES + 3, bool), 20)]
+    assert len(own) > 1 and np.concatenate(own).tolist() == want
+    text = b"".join(bytes(rng.integers(97, 101, n).tolist()) + b" " for n in rng.integers(1, 8, 200))
+    code, table, m = spelling.prefix_code(np.bincount(np.frombuffer(text, np.uint8), minlength=256)), np.zeros((2, spelling.OFFSETS[-1]), np.int64), spelling.fresh_mixer()
+    spelling.count_decisions(text, np.ones(200, np.int64), code, table)
+    sums = np.zeros((spelling.GATES, len(spelling.BITS), len(spelling.BITS) + 1))
+    for x, bits, gate, dot, _ in spelling._left_out(text, code, table, m):
+        assert (gate == np.count_nonzero(x, axis=0)).all() and np.allclose(dot, np.clip((x.T * m.weights[gate]).sum(1), -12, 12))
+        for g, z, bit, d in zip(gate, x.T.astype(float), bits, dot, strict=True):
+            p = 1 / (1 + math.exp(-d))
+            sums[g] += np.column_stack([z * (bit - p), p * (1 - p) * np.outer(z, z)])
+    made, scan, sort = [], np.flatnonzero, np.argsort
+    monkeypatch.setattr(np, "flatnonzero", lambda a: made.append("scan") or scan(a))
+    assert np.allclose(spelling.fit_sums(text, code, table, m), sums, rtol=1e-9, atol=1e-6)
+    monkeypatch.setattr(np, "argsort", lambda *a, **k: made.append("argsort") or sort(*a, **k))
+    lmscore.tokens_of(value[1], np.array([0, 30]), np.array([True]), np.full(30, -1), np.zeros(lmscore.CLASSES + 3, bool))
+    assert "argsort" not in made and made.count("scan") < 5
